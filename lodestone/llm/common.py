@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +72,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's texts, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def unit_hash(key: Column, seed: int) -> Column:
+    """A pseudorandom number in [0, 1) that depends on the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
+from . import ann, html_extraction, language_id, media, mixing, sentencepiece_spans, toxicity, url_filters
 
-MODULES = (url_filters, mixing)
+MODULES = (url_filters, toxicity, mixing, sentencepiece_spans, media, html_extraction, ann, language_id)
 
 
 def queries() -> dict:
