@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, n_words, table
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_SLOTS, ROUNDS, SEED = 64, 16_384, 65_536, 16, 20_011
-#: Documents in one ordered run of a source, about.
-RUN_DOCS = 2_000
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_SLOTS, ROUNDS, SEED = 64, 16_384, 65_536, 10, 20_011
+#: Documents in one ordered run of a source, and slots in one task, about.
+RUN_DOCS, TASK_SLOTS = 2_000, 100_000
 
 
 def permuted(x: Column, size: Column, key: Column, inverse: bool = False) -> Column:
@@ -86,15 +86,18 @@ def quotas(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHAR
     )
 
 
-def slots(plan: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """shard, source, slot (of the source, from 0), block, take: which words of which block fill each output slot."""
+def slots(plan: DataFrame, block: int = BLOCK_WORDS, tasks: int = 8) -> DataFrame:
+    """shard, source, slot (of the source, from 0), block, take: which words of which block fill each output slot.
+
+    The few rows of the plan become very many; `tasks` keeps them from being dealt to as few tasks as their own size suggests.
+    """
     chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))))
     first = F.col("chunk") * CHUNK_SLOTS
-    thrown = chunks.select("source", "slots", "shards", "chunk").repartition("source", "chunk").withColumn("throw", F.explode(F.sequence(first, F.least(F.col("slots"), first + CHUNK_SLOTS) - 1)))
+    thrown = chunks.select("source", "slots", "shards", "chunk").repartition(tasks, "source", "chunk").withColumn("throw", F.explode(F.sequence(first, F.least(F.col("slots"), first + CHUNK_SLOTS) - 1)))
     counts = thrown.groupBy("source", F.pmod(F.xxhash64("source", "throw", F.lit(SEED)), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
     from_ = F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     placed = counts.withColumn("from_slot", F.coalesce(from_, F.lit(0).cast("long")))
-    placed = placed.join(plan, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"]).repartition("source", "shard")
+    placed = placed.join(plan, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"]).repartition(tasks, "source", "shard")
     laid = placed.withColumn("slot", F.explode(F.sequence(F.col("from_slot"), F.col("from_slot") + F.col("n") - 1)))
     laid = laid.withColumn("block", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64("source")))
     whole = F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block).cast("long"))
@@ -110,7 +113,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
     """
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     base = scratch.write(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    runs = max(64, base.count() // RUN_DOCS)
+    n, words = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    runs, tasks = max(64, n // RUN_DOCS), max(8, int(words * share) // block // TASK_SLOTS)
     base = base.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(runs)))
     per_run = base.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     sources = scratch.write(source_targets(per_run.groupBy("source").agg(F.sum("run_size").alias("source_size")), weights, share, cap), "targets")
@@ -124,9 +128,10 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE
     at = placed.filter("size > 0").withColumn("at", F.col("to") - F.col("size"))
     parts = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / size).cast("long"), F.floor((F.col("to") - 1) / size).cast("long"))))
     parts = parts.select("row", "source", "block", F.greatest("at", F.col("block") * size).alias("lo"), F.least("to", (F.col("block") + 1) * size).alias("hi"))
-    used = slots(scratch.write(quotas(sources, block, shard_slots), "quotas"), block).groupBy("source", "block").agg(F.collect_list("take").alias("takes"))
+    used = slots(scratch.write(quotas(sources, block, shard_slots), "quotas"), block, tasks).groupBy("source", "block").agg(F.collect_list("take").alias("takes"))
     part = F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, take: sum_ + F.greatest(F.lit(0).cast("long"), F.least(F.col("hi"), F.col("block_") * size + take) - F.col("lo")))
-    met = parts.join(used.select(F.col("source").alias("source_"), F.col("block").alias("block_"), "takes"), F.col("source").eqNullSafe(F.col("source_")) & (F.col("block") == F.col("block_")))
+    used = used.select(F.col("source").alias("source_"), F.col("block").alias("block_"), "takes").hint("merge")
+    met = parts.join(used, F.col("source").eqNullSafe(F.col("source_")) & (F.col("block") == F.col("block_")))
     taken = met.groupBy("row").agg(F.sum(part).alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
