@@ -3,7 +3,8 @@
 A bounded sample gives centroids, which a greedy walk over an in-memory neighbour graph searches.
 Every vector is stored in its nearest list and, near a boundary, in further lists whose centroid
 distance is within a ratio of the nearest. A query visits the lists whose centroid distance is
-within a larger ratio of its own nearest, and scores their vectors exactly, in double precision.
+within a larger ratio of its own nearest, and scores their vectors exactly, in double precision. The
+FIRST_VISITS nearest lists give a bound, its k-th best score so far; the others yield what reaches it.
 
 Inner product becomes distance by one more coordinate, which brings every vector to the largest norm; a
 query's is 0. Lists are cut into parts of PART vectors, by a hash, so that no list, however
@@ -35,7 +36,7 @@ from .common import Scratch, table, unit_hash
 
 SAMPLE, LISTS, LIST_SIZE, PART, SEED = 20_000, 2_048, 512, 4_096, 77
 STORE_RATIO, STORE_LISTS, ROUNDS, NEIGHBOURS, BEAM = 1.05, 4, 8, 16, 64
-VISIT_RATIO, VISIT_SHARE, LEAST_VISITS = 1.25, 0.6, 24
+VISIT_RATIO, VISIT_SHARE, LEAST_VISITS, FIRST_VISITS = 1.25, 0.6, 24, 8
 
 
 def usable(vector) -> F.Column:
@@ -154,7 +155,7 @@ def fit(vectors: DataFrame) -> Centroids | None:
 
 
 def placed(vectors: DataFrame, index: Centroids, query: bool) -> DataFrame:
-    """vec_id, embedding, list, one row per list that stores the vector or that the query visits."""
+    """vec_id, embedding, list, turn (from 0, the nearest list), one row per list that stores the vector or that the query visits."""
     dim, n = index.points.shape[1] - 1, len(index.points)
     ratio, least, most = (VISIT_RATIO, LEAST_VISITS, max(LEAST_VISITS, int(n * VISIT_SHARE))) if query else (STORE_RATIO, 1, STORE_LISTS)
 
@@ -168,10 +169,10 @@ def placed(vectors: DataFrame, index: Centroids, query: bool) -> DataFrame:
                 x = index.lift(part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), query)
                 found = [index.near(v, ratio, least, most)[0] for v in x]
                 rows = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                yield pa.record_batch([part.column("vec_id").take(pa.array(rows)), part.column("embedding").take(pa.array(rows)), pa.array(np.concatenate(found).astype(np.int32))], ["vec_id", "embedding", "list"])
+                yield pa.record_batch([part.column("vec_id").take(pa.array(rows)), part.column("embedding").take(pa.array(rows)), pa.array(np.concatenate(found).astype(np.int32)), pa.array(np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]))], ["vec_id", "embedding", "list", "turn"])
 
     kinds = dict(vectors.dtypes)
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, embedding {kinds['embedding']}, list int")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, embedding {kinds['embedding']}, list int, turn int")
 
 
 def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20) -> DataFrame:
@@ -182,11 +183,11 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
     index = fit(vectors)
     if index is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    stored = scratch.write(placed(vectors, index, False), "postings")
+    stored = scratch.write(placed(vectors, index, False).drop("turn"), "postings")
     parts = stored.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     stored = stored.join(parts, "list").select("list", part.alias("part"), "vec_id", "embedding")
-    asked = placed(queries, index, True).join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "vec_id", "embedding")
+    asked = scratch.write(placed(queries, index, True), "visits").join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": left.column("vec_id").slice(0, 0), "vec_id": left.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
@@ -196,7 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
         ids, asking = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, candidates, got = ids[order], matrix(right)[order], []
-        everyone = matrix(left)
+        everyone, bounds = matrix(left), left.column("bound").to_numpy()
         for at in range(0, len(asking), 256):
             scores = everyone[at : at + 256] @ candidates.T
             scores[asking[at : at + 256, None] == ids[None]] = -np.inf
@@ -204,14 +205,22 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
                 least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                 keep = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
                 exact = (candidates[keep] * everyone[at + i]).sum(1)  # equal vectors get equal scores, whatever the block
+                keep, exact = keep[exact >= bounds[at + i]], exact[exact >= bounds[at + i]]
                 best = np.lexsort((ids[keep], -exact))[:k]
                 got.append((np.full(len(best), q), ids[keep][best], exact[best]))
         return pa.table({n: np.concatenate([g[i] for g in got]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    found = asked.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInArrow(scored, out.format(kind))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visit(asking: DataFrame) -> DataFrame:
+        asking = asking.select("list", "part", "vec_id", "embedding", "bound")
+        return asking.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInArrow(scored, out.format(kind))
+
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = visit(asked.filter(F.col("turn") < FIRST_VISITS).withColumn("bound", F.lit(float("-inf"))))
+    first = scratch.write(first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "first")
+    bounds = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    rest = asked.filter(F.col("turn") >= FIRST_VISITS).join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    found = first.drop("rank").unionByName(visit(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
