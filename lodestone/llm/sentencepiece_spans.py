@@ -1,23 +1,21 @@
 """SentencePiece BPE encoding that keeps byte spans of the original text, and decoding.
 
-Normalisation takes, at each place, the longest prefix that the model's compiled character map has
-(a double-array trie), or else one character, and records for every byte of the normalised text where
-in the source it came from. BPE merges by score, leftmost first on ties, run inside stretches that
-no piece of the vocabulary can cross: two neighbouring characters which never stand together in a
-piece are a safe cut. Projecting a piece's normalised bounds through the record gives its source span.
-
-Edge cases: null and empty texts give no ids and decode to an empty text; very long stretches merge
-through a heap; characters outside the vocabulary become byte pieces, of which the last spans the
-character; repeated rows get equal results; an empty table gives no rows; other columns are
-ignored. The vocabulary file is a parameter and is read on each executor.
+Normalisation is done here: at each place it takes the longest prefix that the model's compiled
+character map has (a double-array trie), or else one character, and records for every byte of the
+normalised text where in the source it came from. The library merges the normalised text into pieces,
+its own normalisation turned off in a copy of the model. Projecting each piece's normalised bounds
+through the record gives its source span.
+
+Edge cases: null and empty texts give no ids and decode to an empty text; characters outside the
+vocabulary become byte pieces, of which the last spans the character; repeated rows get equal
+results; an empty table gives no rows; other columns are ignored. The vocabulary file is a parameter
+and is read on each executor.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts_of
 
-SPACE, CACHED_STRETCHES, LONG = "▁", 400_000, 48
+SPACE = "▁"
+MARK = len(SPACE.encode())
 # Piece types of the public model format.
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 
 codecs.register_error("one_byte_each", lambda e: ("�", e.start + 1))
 
@@ -63,48 +62,34 @@ class CharacterMap:
 
 class PieceModel:
     def __init__(self, path: str):
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as formats
 
         proto = formats.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        if proto.trainer_spec.model_type != 2:
-            raise ValueError("only BPE models are read here")
         rules = proto.normalizer_spec
         self.prefix, self.squeeze, self.escape = rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces
-        self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.map = CharacterMap(rules.precompiled_charsmap)
-        self.scores, self.ids, self.bytes, self.unknown, self.surfaces = {}, {}, {}, 0, []
-        self.byte_fallback, pairs, own, self.unused = proto.trainer_spec.byte_fallback, set(), [], set()
+        self.suffix, self.map = proto.trainer_spec.treat_whitespace_as_suffix, CharacterMap(rules.precompiled_charsmap)
+        self.surfaces: list[bytes] = []
+        sizes, own, self.byte_ids = [], [], set()
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
-                self.bytes[int(p.piece[3:5], 16)] = i
+                self.byte_ids.add(i)
                 self.surfaces.append(bytes([int(p.piece[3:5], 16)]))
             elif p.type in (UNKNOWN, CONTROL):
-                self.unknown = i if p.type == UNKNOWN else self.unknown
                 self.surfaces.append((proto.trainer_spec.unk_surface or " ⁇ ").encode() if p.type == UNKNOWN else b"")
             else:
-                if p.type == USER_DEFINED:
-                    own.append(p.piece)
-                elif p.type == UNUSED:
-                    self.unused.add(p.piece)
-                self.scores[p.piece], self.ids[p.piece] = p.score, i
+                own += [p.piece] * (p.type == USER_DEFINED)
                 self.surfaces.append(p.piece.replace(SPACE, " ").encode())
-                pairs.update(zip(p.piece, p.piece[1:]))
-        if self.unused:
-            raise ValueError("unused pieces aren't supported")
-        self.pairs = pairs
+            sizes.append(1 if p.type == BYTE else len(p.piece.encode()))
+        #: Normalised bytes that each id stands for; without byte pieces an unknown one has no fixed size.
+        self.sizes, self.fixed = np.array(sizes, np.int64), proto.trainer_spec.byte_fallback
         self.own = re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True)))) if own else None
-        starts = not any(b == SPACE and a != SPACE for a, b in pairs)
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in pairs))
-        #: Stretches: cut before a run of spaces, and around characters that stand in no longer piece, where the vocabulary allows it.
-        if starts:
-            a = re.escape(alone)
-            self.stretch = re.compile(f"[{a}]|{SPACE}*[^{SPACE}{a}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        else:
-            self.stretch = re.compile("(?s).+")
         self.plain = not (self.map.units or self.squeeze or self.suffix or self.own) and self.prefix and self.escape
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        rules.precompiled_charsmap, rules.name = b"", "identity"
+        rules.add_dummy_prefix = rules.remove_extra_whitespaces = rules.escape_whitespaces = False
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each byte of it and its end the source byte it came from."""
@@ -153,133 +138,38 @@ class PieceModel:
             put(space, end)
         return b"".join(out).decode("utf-8", "surrogatepass"), np.array([*source, end], np.int64)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """BPE over symbols: the pair whose piece scores highest merges first, the leftmost of equals."""
-        scores = self.scores
-        if len(symbols) <= LONG:
-            worst = float("-inf")
-            ranks = [scores.get(x + y, worst) for x, y in zip(symbols, symbols[1:])]
-            while ranks and (best := max(ranks)) != worst:
-                i = ranks.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-                del ranks[i]
-                if i < len(ranks):
-                    ranks[i] = scores.get(symbols[i] + symbols[i + 1], worst)
-                if i:
-                    ranks[i - 1] = scores.get(symbols[i - 1] + symbols[i], worst)
-            return symbols
-        after, before, heap = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1)), []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < len(symbols) and (s := scores.get(symbols[i] + symbols[j])) is not None:
-                heapq.heappush(heap, (-s, i, j, symbols[i] + symbols[j]))
-
-        for i in range(len(symbols)):
-            offer(i)
-        while heap:
-            _, i, j, piece = heapq.heappop(heap)
-            if not symbols[i] or j >= len(symbols) or not symbols[j] or after[i] != j or symbols[i] + symbols[j] != piece:
-                continue
-            symbols[i], symbols[j] = piece, ""
-            after[i] = after[j]
-            if after[i] < len(symbols):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s in symbols if s]
-
-    def encoded(self, stretch: str) -> tuple[bytes, bytes]:
-        """32-bit ids of a stretch and the normalised bytes that each stands for."""
-        symbols, pairs, cache, start, ids, sizes = [*self._symbols(stretch)], self.pairs, self.cache, 0, [], []
-        for i in range(1, len(symbols) + 1):
-            if i < len(symbols) and (symbols[i - 1][-1], symbols[i][0]) in pairs:
-                continue
-            part = "".join(symbols[start:i])
-            got = cache.get(part) if len(part) <= LONG else None
-            if got is None:
-                got = self.pieces(self.merged(symbols[start:i]))
-                if len(part) <= LONG:
-                    cache[part] = got
-            ids.append(got[0])
-            sizes.append(got[1])
-            start = i
-        return b"".join(ids), b"".join(sizes)
-
-    def pieces(self, found: list[str]) -> tuple[bytes, bytes]:
-        """Ids and sizes of pieces; one outside the vocabulary falls back to its bytes."""
-        ids, sizes = array("i"), array("i")
-        for p in found:
-            data = p.encode("utf-8", "surrogatepass")
-            if p in self.ids:
-                ids.append(self.ids[p])
-                sizes.append(len(data))
-            elif self.byte_fallback:
-                ids.extend(self.bytes[b] for b in data)
-                sizes.extend([1] * len(data))
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(data))
-        return ids.tobytes(), sizes.tobytes()
-
-    def _symbols(self, stretch: str) -> Iterator[str]:
-        if not self.own:
-            yield from stretch
-            return
-        at = 0
-        for m in self.own.finditer(stretch):
-            yield from stretch[at : m.start()]
-            yield m[0]
-            at = m.end()
-        yield from stretch[at:]
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the source byte where each one's span starts and ends."""
-        if not text:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the source bytes where each one's span starts and ends."""
+        plain = [self.plain and SPACE not in t for t in texts]
+        normal = [(SPACE + t.replace(" ", SPACE) if t else "", None) if p else self.normalise(t) for t, p in zip(texts, plain)]
+        return [self._projected(t, *n, ids) for t, n, ids in zip(texts, normal, self.merger.encode([n[0] for n in normal], num_threads=1))]
+
+    def _projected(self, text: str, normalised: str, source: np.ndarray | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not ids:
             return (np.zeros(0, np.int32),) * 3
-        plain = self.plain and SPACE not in text
-        normalised, source = (SPACE + text.replace(" ", SPACE), None) if plain else self.normalise(text)
-        cache, found = self.cache, []
-        for stretch in self.stretch.findall(normalised):
-            got = cache.get(stretch)
-            if got is None:
-                if len(cache) >= CACHED_STRETCHES:
-                    cache.clear()
-                got = self.encoded(stretch)
-                if len(stretch) <= LONG:
-                    cache[stretch] = got
-            found.append(got)
-        ids = np.frombuffer(b"".join([g[0] for g in found]), "<i4")
-        bounds = np.concatenate([[0], np.frombuffer(b"".join([g[1] for g in found]), "<i4").cumsum()])
-        if plain:
-            # Only spaces changed: a normalised byte's source is the start of its character, one escaped space being three bytes.
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            spaces, size = data == 32, np.ones(len(data), np.int64)
-            size[spaces] = 3
-            starts = np.concatenate([[len(SPACE.encode())], len(SPACE.encode()) + size.cumsum()])
-            at = np.searchsorted(starts, bounds, side="right") - 1
-            first = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))
-            origin = np.concatenate([first, [len(data)]])[np.maximum(at, 0)]
+        found = np.array(ids, np.int32)
+        if self.fixed:
+            bounds = np.concatenate([[0], self.sizes[found].cumsum()])
         else:
-            origin = source[bounds]
-        return ids, origin[:-1].astype(np.int32), origin[1:].astype(np.int32)
+            pieces = self.merger.encode(normalised, out_type="immutable_proto").pieces
+            bounds = np.array([0, *np.cumsum([len(p.surface.encode()) for p in pieces])])
+        if source is None:
+            # Only spaces changed: every byte of an escaped space comes from that space, any other byte from the start of its character.
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            first = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data), dtype=np.int32), 0))
+            source = np.concatenate([np.zeros(MARK, np.int32), np.repeat(first, np.where(data == 32, MARK, 1)), np.array([len(data)], np.int32)])
+        origin = source[bounds].astype(np.int32)
+        return found, origin[:-1], origin[1:]
 
     def decode(self, ids) -> str:
         """The text of ids: spaces for their marks, bytes joined to characters (a byte that fits nowhere is U+FFFD), the added first space gone."""
         surfaces = self.surfaces
         parts = [surfaces[i] for i in ids]
         first = next((k for k, p in enumerate(parts) if p), None)
-        if self.prefix and not self.suffix and first is not None and parts[first][:1] == b" " and ids[first] not in self._byte_ids:
+        if self.prefix and not self.suffix and first is not None and parts[first][:1] == b" " and ids[first] not in self.byte_ids:
             parts[first] = parts[first][1:]
         return b"".join(parts).decode("utf-8", "one_byte_each")
 
-    @property
-    def _byte_ids(self) -> frozenset:
-        if not hasattr(self, "_byte_set"):
-            self._byte_set = frozenset(self.bytes.values())
-        return self._byte_set
-
 
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
@@ -298,16 +188,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, begins, ends (source byte spans) for every row of docs (doc_id, text)."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids, begins, ends (source byte spans) for every row of docs (doc_id, text); with `decoded` also the ids' text, decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for b in slices(batches, "text", most_bytes=1 << 20):
-            got = [pieces.encode(t) for t in texts_of(b, "text")]
-            yield pa.record_batch([b.column("doc_id"), *(_lists([g[i] for g in got]) for i in range(3))], ["doc_id", "ids", "begins", "ends"])
+            got = pieces.encode(texts_of(b, "text"))
+            columns, names = [b.column("doc_id"), *(_lists([g[i] for g in got]) for i in range(3))], ["doc_id", "ids", "begins", "ends"]
+            if decoded:
+                columns, names = [*columns, pa.array([pieces.decode(g[0].tolist()) for g in got], pa.string())], [*names, "text"]
+            yield pa.record_batch(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, begins array<int>, ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, begins array<int>, ends array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -326,10 +219,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    done = decode(encode(docs, path), path)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs; with `ids` also the ids."""
+    done = encode(docs, path, decoded=True)
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *(["ids"] if ids else []), F.sha2(text, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
