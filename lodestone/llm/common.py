@@ -77,3 +77,10 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 def unit_hash(key: Column, seed: int) -> Column:
     """A pseudorandom number in [0, 1) that depends on the key alone."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, made longer until it clashes with none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, table
+from .common import Scratch, fresh, n_words, table
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_SLOTS, ROUNDS, SEED = 64, 16_384, 65_536, 10, 20_011
@@ -143,11 +143,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs, each row as often as the mix takes its words: taken / size rounded half up; a row without words once."""
-    numbered = scratch.write(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
-    mixed = mix(numbered.select(F.col("mix_row").alias("doc_id"), "text", "source"), scratch)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    copies = mixed.select(F.col("doc_id").alias("mix_row"), copies.alias("mix_copies")).filter("mix_copies > 0")
-    return numbered.join(copies, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    row, copies = fresh("mix_row", docs.columns), fresh("mix_copies", docs.columns)
+    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    mixed = mix(numbered.select(F.col(row).alias("doc_id"), "text", "source"), scratch)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
+    times = mixed.select(F.col("doc_id").alias(row), times.alias(copies)).filter(F.col(copies) > 0)
+    return numbered.join(times, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 QUERIES = {"op3_mixing": op3_mixing}

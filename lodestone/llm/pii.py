@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, texts_of
+from .common import Scratch, fresh, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,17 +188,19 @@ def masked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (documents' columns) with personal data masked in text, and n_chars to match. Only rows with discovered spans are joined."""
     found = scratch.write(extract(docs), "found")
     more = discovered(found, confident_patterns(found, scratch))
-    more = found.select("row", F.col("doc_id").alias("mask_id"), "text_key").join(more, "row").dropDuplicates(["mask_id", "text_key"]).select("mask_id", "text_key", "more")
+    id_, key, extra = (fresh(c, docs.columns) for c in ("mask_id", "mask_key", "mask_more"))
+    more = found.select("row", F.col("doc_id").alias(id_), F.col("text_key").alias(key)).join(more, "row").dropDuplicates([id_, key]).select(id_, key, F.col("more").alias(extra))
     more = scratch.write(more, "more")
     side = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
-    met = docs.join(side, F.col("doc_id").eqNullSafe(F.col("mask_id")) & (F.xxhash64("text") == F.col("text_key")), "left").select(*docs.columns, "more")
+    met = docs.join(side, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left").select(*docs.columns, extra)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts, extra = b.column("text").to_pylist(), b.column("more").to_pylist()
-            done = [t if t is None else masked_text(t, m or []) for t, m in zip(texts, extra)]
-            new = {"text": pa.array(done, pa.string()), "n_chars": pa.array([n if t == d else len(d) for t, d, n in zip(texts, done, b.column("n_chars").to_pylist())], pa.int64())}
+            texts = b.column("text").to_pylist()
+            done = [t if t is None else masked_text(t, m or []) for t, m in zip(texts, b.column(extra).to_pylist())]
+            sizes = [n if t == d else len(d) for t, d, n in zip(texts, done, b.column("n_chars").to_pylist())]
+            new = {"text": pa.array(done, pa.string()), "n_chars": pa.array(sizes, b.column("n_chars").type)}
             yield pa.record_batch([new.get(c, b.column(c)) for c in names], names)
 
     return met.mapInArrow(run, docs.schema)

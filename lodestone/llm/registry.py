@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, language_id, media, mixing, sentencepiece_spans, toxicity, url_filters
+from . import ann, html_extraction, language_id, media, mixing, near_dup, pii, sentencepiece_spans, toxicity, url_filters
 
-MODULES = (url_filters, toxicity, mixing, sentencepiece_spans, media, html_extraction, ann, language_id)
+MODULES = (url_filters, toxicity, mixing, sentencepiece_spans, near_dup, media, html_extraction, ann, language_id, pii)
 
 
 def queries() -> dict:

@@ -145,17 +145,17 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return PositiveUnlabelled().fit(rows, positive, prior)
 
 
-def score(docs: DataFrame, model: PositiveUnlabelled) -> DataFrame:
-    """docs with a toxicity column, for docs that have text."""
+def score(docs: DataFrame, model: PositiveUnlabelled, name: str = "toxicity") -> DataFrame:
+    """docs, which have text, with a new column of scores."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             scores = pa.array([model.score(t) for t in texts_of(b, "text")], pa.float64())
-            yield pa.record_batch([*(b.column(c) for c in names), scores], [*names, "toxicity"])
+            yield pa.record_batch([*(b.column(c) for c in names), scores], [*names, name])
 
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, toxicity double")
+    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
