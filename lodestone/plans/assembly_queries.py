@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contacts, html_text
+from ..functions import lexicon as L
 from ..operators import assembly, sheet
 from . import fixtures as X
 from . import sql_parts as S
-from .record_queries import _score
-from .web_queries import page_html
+from .record_queries import _prices, _score
+from .web_queries import _HTML, page_html
 
 C = F.col
 
@@ -122,7 +123,19 @@ def _targeted() -> str:
     return f"select id, array_to_string(flatten(list_transform(d, lambda x: [n || ' @' || x, 'site:' || x || ' ' || n || ' email'])), '|') as queries from (select id, {domains} as d, {S.clean_name('name')} as n from {X.EMAILS.sql})"
 
 
+def _nodes(dropped: tuple[str, ...], between: str = "chr(10)") -> str:
+    """Text nodes one a line (or with something else between them), by patterns: comments and dropped elements go, runs of tags part nodes, a cut-off tag at the end goes."""
+    x = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '<x>', 'g')"
+    for tag in dropped:
+        x = f"regexp_replace({x}, '(?is)<{tag}(\\s[^>]*)?>.*?(</{tag}\\s*>|$)', '<x>', 'g')"
+    return S.unescape(f"regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]*$', ''), '(<[^>]*>)+', {between}, 'g'), '&amp$', '&')")
+
+
 ORACLES = {
+    "soup_text": f"select page_id, {S.layout(_nodes(('script', 'style', 'nav', 'header', 'footer', 'aside', 'form')))} as text from {_HTML}",
+    "flat_text": f"select page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_nodes(('script', 'style', 'nav', 'header', 'footer'), S.q(''))}, '{L.LINE_END}|\\n', '  ', 'g'), '  '), lambda x: {S.strip('x')}), lambda x: x <> ''), ' ') as text from {_HTML}",
+    "catalogue_lines": f"select vision, place, '| ' || concat_ws(' | ', '`' || name || '`', platform, input_price, output_price, note) || ' |' as line from ({_prices()})",
+    "line_text": f"select source, {S.collapse(S.unescape("regexp_replace(" + S.unescape('xml') + ", '<[^>]+>', ' ', 'g')"))} as text from {X.FEEDS.sql}",
     "chat_messages": "select conv_id, turn, contains(lower(if(turn % 2 = 0, 'Answer in JSON.', '') || text), 'json') as json_mode, cast(length(m) as bigint) as size, m as messages from (select *, '[' || if(turn % 2 = 0, '{\"role\":\"system\",\"content\":\"Answer in JSON.\"},', '') || '{\"role\":\"user\",\"content\":' || to_json(role) || '}]' as m from conversations where text is not null)",
     "stage_prompts": "select doc_id, md5('Find the deadline.' || chr(10) || 'Today: 2024-05-01' || chr(10) || '---' || chr(10) || coalesce(case when length(text) > 5000 then left(text, 5000) || '...' else text end, '') || chr(10) || '---') as prompt from documents",
     "joined_pages": f"select doc, string_agg('--- Page ' || page || ' ---' || chr(10) || {S.strip('text')}, chr(10) || chr(10) order by page) as text from {PAGED.sql} where page <= 10 and {S.strip(S.q('') + ' || coalesce(text, ' + S.q('') + ')')} <> '' group by doc",
