@@ -5,10 +5,11 @@ class gets two collections of half keys (2 * HALVES * HASHES minhashes); pairing
 one with every half key of the other gives HALVES * HALVES table keys, so that 40 minhashes do for
 100 tables of 4 hashes. A pair at the threshold shares a key but for about 7 cases in 100,000.
 
-Links are found in two steps, so that a bucket of n classes never becomes n * n pairs:
+Links are found in two steps, so that a bucket of n classes never becomes n * n rows:
 1. every member of a bucket against the bucket's smallest class, verified, gives components;
-2. in buckets that still hold several components, members of different components whose sketches
-   agree in at least half of the minhashes, each pair in the first table it shares, verified.
+2. in buckets that still hold several components, members that may be linked across components (their
+   sketches agree in at least half of the minhashes) get their full sets, and each two of them are
+   verified in place, in the first table they share; a bucket yields only links that join components.
 Pairs within a component need no check: they change no result. Buckets of more than BLOCK members
 are compared block by block, in different tasks.
 
@@ -20,6 +21,7 @@ and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,20 +155,23 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) that are links, by their full sets, which are made again from the texts concerned."""
-    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-ids")
+def full_sets(ids: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """id, shingles (ascending) of the texts concerned, made again from docs."""
+    ids = scratch.write(ids.distinct(), f"{label}-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join((F.broadcast(ids) if few else ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
-            sets = shingle_sets(texts_of(b, "text"))
+            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(b, "text"))]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
+            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+
+    return scratch.write(texts.mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, shingles array<long>"), f"{label}-sets")
+
 
-    sets = scratch.write(texts.mapInArrow(run, f"id {kind}, shingles array<long>"), f"{label}-sets")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets (id, shingles)."""
     of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -198,62 +203,106 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """a, b: members of one bucket (key, size, id, component, n, sketch) in different components that may be links, once for all tables."""
-    kind = dict(members.dtypes)["id"]
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "n", "sketch")
-    members = members.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-
-    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rows, n, parts, blocks = _sketch_rows(group.column("sketch")), group.column("n").to_numpy(), group.column("component").to_numpy(), group.column("block").to_numpy()
-        own = int(np.flatnonzero(table_keys(rows[:1])[0].view(np.int64) == group.column("key")[0].as_py())[0])
-        across = group.column("left")[0].as_py() != group.column("right")[0].as_py()
-        left, right = [], []
-        for i in range(len(rows) - 1):
-            other = np.flatnonzero((parts[i + 1 :] != parts[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * PERCENT) & ((blocks[i + 1 :] != blocks[i]) | (not across))) + i + 1
-            if not len(other):
-                continue
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted batches as one table for each run of equal keys; only the run at a batch's end is held over."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        whole = pa.Table.from_batches([b]) if b is not None else None
+        if rest is not None:
+            whole = pa.concat_tables([rest, whole]).combine_chunks() if whole is not None else rest
+        if whole is None or not whole.num_rows:
+            continue
+        marks = np.stack([whole.column(k).to_numpy() for k in keys])
+        bounds = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), whole.num_rows]
+        if b is not None:
+            bounds.pop()
+            rest = whole.slice(bounds[-1])
+        for s, e in zip(bounds, bounds[1:]):
+            yield whole.slice(s, e - s)
+
+
+GROUP = ("key", "left", "right")
+
+
+def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the later rows of its group that may be links: of another component (and block, in a group of two), near in
+    size, alike in their sketches, and meeting in no earlier table."""
+    rows, n, parts, blocks = _sketch_rows(group.column("sketch")), group.column("n").to_numpy(), group.column("component").to_numpy(), group.column("block").to_numpy()
+    own = int(np.flatnonzero(table_keys(rows[:1])[0].view(np.int64) == group.column("key")[0].as_py())[0])
+    across = group.column("left")[0].as_py() != group.column("right")[0].as_py()
+    for i in range(len(rows) - 1):
+        other = np.flatnonzero((parts[i + 1 :] != parts[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * PERCENT) & ((blocks[i + 1 :] != blocks[i]) | (not across))) + i + 1
+        if len(other):
             equal = rows[other] == rows[i]
             enough = equal.sum(1) >= LEAST_EQUAL
             halves = equal[enough].reshape(-1, 2 * HALVES, HASHES).all(2)
             first = halves[:, :HALVES].argmax(1) * HALVES + halves[:, HALVES:].argmax(1)
-            found = other[enough][first == own]
-            left.append(np.full(len(found), i))
-            right.append(found)
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(left or none), np.concatenate(right or none)
+            yield i, other[enough][first == own]
+
+
+def open_members(members: DataFrame) -> DataFrame:
+    """key, left, right, block, id, component: the members of a bucket (key, size, id, component, n, sketch) that may be linked
+    across components there. A bucket of more than BLOCK members is one group for every two blocks."""
+    kinds = dict(members.dtypes)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _and_last(batches):
-            whole = pa.Table.from_batches([b]) if b is not None else None
-            if rest is not None:
-                whole = pa.concat_tables([rest, whole]).combine_chunks() if whole is not None else rest
-            if whole is None or not whole.num_rows:
-                continue
-            marks = np.stack([whole.column(c).to_numpy() for c in ("key", "left", "right")])
-            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
-            bounds = [0, *cuts.tolist(), whole.num_rows]
-            last = len(bounds) - 1 if b is None else len(bounds) - 2
-            left, right = [], []
-            for s, e in zip(bounds[:last], bounds[1 : last + 1]):
-                if e - s > 1:
-                    i, j = pairs(whole.slice(s, e - s))
-                    left.append(i + s)
-                    right.append(j + s)
-            if left:
-                take = lambda x: whole.column("id").combine_chunks().take(pa.array(np.concatenate(x)))
-                yield pa.record_batch([take(left), take(right)], ["a", "b"])
-            rest = whole.slice(bounds[last]) if b is not None else None
+        for group in runs(batches, GROUP):
+            kept = np.zeros(group.num_rows, bool)
+            for i, found in partners(group):
+                kept[found] = True
+                kept[i] |= len(found) > 0
+            if kept.any():
+                yield from group.select([*GROUP, "block", "id", "component"]).filter(pa.array(kept)).combine_chunks().to_batches()
 
-    return members.mapInArrow(run, f"a {kind}, b {kind}")
+    ordered = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
+    return ordered.mapInArrow(run, f"key long, left int, right int, block int, id {kinds['id']}, component {kinds['component']}")
 
 
-def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def cross_links(members: DataFrame) -> DataFrame:
+    """a, b: links between components, verified on full sets inside each group (GROUP, block, id, component, n, sketch, shingles).
+
+    A group yields at most one link fewer than it has members: what joins nothing new is left out.
+    """
+    kind = dict(members.dtypes)["id"]
+
+    def links(group: pa.Table) -> Iterator[tuple[int, int]]:
+        column = group.column("shingles").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+        roots = {c: c for c in group.column("component").to_pylist()}
+        parts = list(group.column("component").to_pylist())
+
+        def root(c):
+            while roots[c] != c:
+                c = roots[c]
+            return c
+
+        for i, found in partners(group):
+            found = [j for j in found.tolist() if root(parts[j]) != root(parts[i])]
+            if not found:
+                continue
+            mine = flat[offsets[i] : offsets[i + 1]]
+            sizes = np.array([offsets[j + 1] - offsets[j] for j in found])
+            theirs = np.concatenate([flat[offsets[j] : offsets[j + 1]] for j in found])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.concatenate([[0], sizes.cumsum()[:-1]]))
+            for j in np.flatnonzero(both * 100 >= (len(mine) + sizes - both) * PERCENT).tolist():
+                x, y = root(parts[i]), root(parts[found[j]])
+                if x != y:
+                    roots[max(x, y)] = min(x, y)
+                    yield i, found[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, GROUP):
+            got = list(links(group)) if group.num_rows > 1 else []
+            if got:
+                ids = group.column("id").combine_chunks()
+                yield pa.record_batch([ids.take(pa.array([g[k] for g in got])) for k in (0, 1)], ["a", "b"])
+
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -267,13 +316,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = keyed(classes).withColumns({"size": F.count("*").over(bucket), "pivot": F.min("id").over(bucket)}).filter("size > 1")
     members = scratch.write(members, "members")
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.write(verified(scratch.write(plausible(stars, classes), "star-pairs"), docs, scratch, "star"), "star-links")
+    stars = scratch.write(plausible(stars, classes), "star-pairs")
+    sets = full_sets(stars.select(F.col("a").alias("id")).union(stars.select("b")), docs, scratch, "star")
+    links = scratch.write(verified(stars, sets), "star-links")
     parts = scratch.write(components(links, scratch, "star-parts"), "star-components")
     open_ = members.filter("size > 2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = open_.withColumns({"least": F.min("component").over(bucket), "most": F.max("component").over(bucket)}).filter("least <> most")
-    open_ = open_.join(classes.select("id", "n", "sketch"), "id").select("key", "size", "id", "component", "n", "sketch")
-    rest = scratch.write(cross_pairs(open_), "cross-pairs")
-    links = links.unionByName(scratch.write(verified(rest, docs, scratch, "cross"), "cross-links"))
+    kept = classes.select("id", "n", "sketch")
+    rest = scratch.write(open_members(open_.join(kept, "id").select("key", "size", "id", "component", "n", "sketch")), "open")
+    sets = full_sets(rest.select("id"), docs, scratch, "cross")
+    links = links.unionByName(scratch.write(cross_links(rest.join(kept, "id").join(sets, "id")), "cross-links"))
     parts = scratch.write(components(links, scratch, "parts"), "components")
     reached = classes.join(parts, "id", "left").select("one", "two", F.coalesce("component", "id").alias("component"))
     found = signed.withColumn("joins", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(reached.withColumn("joins", F.lit(True)), ["one", "two", "joins"], "left")
