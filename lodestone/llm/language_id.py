@@ -46,7 +46,8 @@ def gram_features(texts: list[str]) -> np.ndarray:
             grams.append(((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int32))
     out, start = np.empty((len(texts), BUCKETS), np.float32), 0
     for i, end in enumerate(ends):
-        out[i] = np.sqrt(sum(np.bincount(g[start:end], minlength=BUCKETS) for g in grams) / ((end - start) * len(grams)))
+        last = end - max(LENGTHS) + 1  # no gram starts in the padding, whose grams would reach the next text
+        out[i] = np.sqrt(sum(np.bincount(g[start:last], minlength=BUCKETS) for g in grams) / ((last - start) * len(grams)))
         start = end
     return out
 
@@ -118,8 +119,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, largest: int = LARG
             x = gram_features(b.column("text").to_pylist()).astype(np.float16)
             yield pa.record_batch([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    picked = rows.filter(unit_hash(F.col("doc_id"), SEED) < rate[F.col("lang")]).limit(2 * largest)
-    got = picked.mapInArrow(features, "lang string, x binary").toArrow()
+    picked = rows.filter(unit_hash(F.col("doc_id"), SEED) < rate[F.col("lang")])
+    got = picked.mapInArrow(features, "lang string, x binary").limit(2 * largest).toArrow()
     if not got.num_rows:
         return OutputCodes()
     langs = got.column("lang").to_pylist()

@@ -26,7 +26,7 @@ from .common import slices, table, texts_of
 UNIT, PAD, TAIL = 192, b" ", 16
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 24
 FRAME, HOP, MELS, WINDOW_FRAMES, BLOCK_FRAMES = 256, 128, 16, 32, 4_096
-FLOOR, ENTER_DB, LEAVE_DB, LEAST_FRAMES = 1e-6, 3.0, 0.0, 3
+FLOOR, ENTER_DB, LEAVE_DB, LEAST_FRAMES = 1e-6, 3.0, 1.0, 3
 
 
 def payload_of(text: str) -> bytes:

@@ -72,12 +72,13 @@ class PieceModel:
         self.prefix, self.squeeze, self.escape = rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces
         self.suffix, self.map = proto.trainer_spec.treat_whitespace_as_suffix, CharacterMap(rules.precompiled_charsmap)
         self.surfaces: list[bytes] = []
-        sizes, own, self.byte_ids = [], [], set()
+        sizes, own, self.spaceless = [], [], set()
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
-                self.byte_ids.add(i)
+                self.spaceless.add(i)
                 self.surfaces.append(bytes([int(p.piece[3:5], 16)]))
             elif p.type in (UNKNOWN, CONTROL):
+                self.spaceless.add(i)
                 self.surfaces.append((proto.trainer_spec.unk_surface or " ⁇ ").encode() if p.type == UNKNOWN else b"")
             else:
                 own += [p.piece] * (p.type == USER_DEFINED)
@@ -151,8 +152,8 @@ class PieceModel:
         if self.fixed:
             bounds = np.concatenate([[0], self.sizes[found].cumsum()])
         else:
-            pieces = self.merger.encode(normalised, out_type="immutable_proto").pieces
-            bounds = np.array([0, *np.cumsum([len(p.surface.encode()) for p in pieces])])
+            pieces = self.merger.encode(normalised, return_type="proto").pieces
+            bounds = np.array([0, *(p.end for p in pieces)])  # bytes of the normalised text
         if source is None:
             # Only spaces changed: every byte of an escaped space comes from that space, any other byte from the start of its character.
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -166,7 +167,7 @@ class PieceModel:
         surfaces = self.surfaces
         parts = [surfaces[i] for i in ids]
         first = next((k for k, p in enumerate(parts) if p), None)
-        if self.prefix and not self.suffix and first is not None and parts[first][:1] == b" " and ids[first] not in self.byte_ids:
+        if self.prefix and not self.suffix and first is not None and parts[first][:1] == b" " and ids[first] not in self.spaceless:
             parts[first] = parts[first][1:]
         return b"".join(parts).decode("utf-8", "one_byte_each")
 
