@@ -327,6 +327,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = full_sets(rest.select("id"), docs, scratch, "cross")
     links = links.unionByName(scratch.write(cross_links(rest.join(kept, "id").join(sets, "id")), "cross-links"))
     parts = scratch.write(components(links, scratch, "parts"), "components")
+    for label in ("members", "star-pairs", "star-ids", "star-sets", "star-links", "star-components", "open", "cross-ids", "cross-sets", "cross-links"):
+        scratch.drop(label)  # what is written above needs them no more
     reached = classes.join(parts, "id", "left").select("one", "two", F.coalesce("component", "id").alias("component"))
     found = signed.withColumn("joins", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(reached.withColumn("joins", F.lit(True)), ["one", "two", "joins"], "left")
     component = F.coalesce("component", "doc_id")
