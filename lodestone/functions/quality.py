@@ -34,24 +34,26 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}]", "")
 
 
+def once(c: Column, f) -> Column:
+    """f of a value that is worked out once: inside a lambda an expression is otherwise evaluated for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def most_common_share(c: Column) -> Column:
-    """The share of the commonest letter among all letters; null without letters."""
-    letters = F.array_sort(F.split(_letters(c), ""))
-    state = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """The share of the commonest letter among all letters; null without letters. A text has few different letters: each is counted by what its removal shortens."""
 
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(x == s["last"], s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+    def share(letters: Column) -> Column:
+        counts = F.transform(F.array_distinct(F.split(letters, "")), lambda x: F.length(letters) - F.length(F.replace(letters, x, F.lit(""))))
+        return F.when(letters != "", F.array_max(counts) / F.length(letters))
 
-    n = F.length(_letters(c))
-    return F.when(n > 0, F.aggregate(letters, state, step, lambda s: s["best"]) / n)
+    return once(_letters(c), share)
 
 
 def corrupted(c: Column) -> Column:
     """One letter makes over 40 %, words are over 25 letters on average, or runs of four signs are frequent."""
     c = text_of(c)
     words = F.filter(F.split(collapse(c), " "), lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))
-    long_words = (F.size(words) > 10) & (F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) > F.size(words) * 25)
+    long_words = once(words, lambda ws: (F.size(ws) > 10) & (F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w)) > F.size(ws) * 25))
     signs = F.regexp_count(c, F.lit(f"[^\\p{{L}}\\p{{N}}_{L.WS[1:-1]}]{{4,}}"))
     return F.coalesce(most_common_share(c) > 0.4, F.lit(False)) | long_words | (signs > F.length(c) / 200)
 
