@@ -76,8 +76,8 @@ def quotas(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHAR
     return (
         targets.filter(n > 0)
         .withColumns({"words": F.least(F.round("target").cast("long"), n * 2), "blocks": up(n)})
-        .withColumns({"short": n - (F.col("blocks") - 1) * size, "passes": F.floor(words / n).cast("long")})
-        .withColumns({"rest": words - F.col("passes") * n, "short_at": permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("source"), inverse=True)})
+        .withColumns({"short": n - (F.col("blocks") - 1) * size, "passes": F.floor(words / F.greatest(n, F.lit(1))).cast("long")})
+        .withColumns({"rest": words - F.col("passes") * n, "short_at": permuted(F.col("blocks") - 1, F.greatest("blocks", F.lit(1)), F.xxhash64("source"), inverse=True)})
         .withColumn("part", F.when(F.col("rest") == 0, F.lit(0).cast("long")).when(F.col("short_at") >= up(F.col("rest")), up(F.col("rest"))).otherwise(up(F.col("rest") + missing)))
         .withColumns({"slots": F.col("passes") * F.col("blocks") + F.col("part"), "last_take": F.when(F.col("part") > 0, F.col("rest") - before)})
         .withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("slots").over(W.partitionBy()) / shard_slots).cast("long")))
