@@ -16,7 +16,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), Scratch(spark, "stage2"))
     name = fresh("toxicity", docs.columns)
     return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).select(*docs.columns)
 

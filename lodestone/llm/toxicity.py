@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, texts_of, unit_hash
+from .common import Scratch, held_out, slices, table, texts_of, unit_hash
 
 POSITIVES, UNLABELLED, SEED = 2_500, 7_500, 411
 BUCKETS, PREFIXES, PAD_WORDS, SCALE = 1 << 17, (4, 5, 6, 7), 8, 100.0
@@ -43,6 +43,13 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for k in keys]
 
 
+def telling(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Buckets in at least LEAST_SHARE of one side's documents whose shares p and u differ by LEAST_Z standard errors; else rare words are learned by heart."""
+    both = (p * n_p + u * n_u) / (n_p + n_u)
+    z = np.abs(p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    return (z >= LEAST_Z) & (np.maximum(p, u) >= LEAST_SHARE)
+
+
 def words_of(text: str) -> Counter:
     return Counter(TOKEN.findall(text.lower()))
 
@@ -53,15 +60,17 @@ class PositiveUnlabelled:
     bias: float = 0.0
     cache: dict = field(default_factory=dict)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float) -> PositiveUnlabelled:
-        """rows: each document's buckets and values. Adam over the whole sample."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, told: np.ndarray | None = None) -> PositiveUnlabelled:
+        """rows: each document's buckets and values; told: the buckets that take part, found from the rows if not given. Adam over the whole sample."""
         index = np.concatenate([r[0] for r in rows]).astype(np.int32)
         value = np.concatenate([r[1] for r in rows]).astype(np.float32)
         lengths = np.array([len(r[0]) for r in rows])
         of = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
         n_p, n_u = positive.sum(), (~positive).sum()
-        told = self.telling(index, positive[of], n_p, n_u)[index]
-        index, value, of = index[told], value[told], of[told]
+        if told is None:
+            shares = [np.bincount(index[side], minlength=BUCKETS) / n for side, n in ((positive[of], n_p), (~positive[of], n_u))]
+            told = telling(*shares, n_p, n_u)
+        index, value, of = index[told[index]], value[told[index]], of[told[index]]
         w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
         m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
         for step in range(1, STEPS + 1):
@@ -82,15 +91,6 @@ class PositiveUnlabelled:
         self.weights, self.bias = w.astype(np.float32), b
         return self
 
-    @staticmethod
-    def telling(index: np.ndarray, in_positive: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-        """Buckets in at least LEAST_SHARE of one side's documents whose shares differ by LEAST_Z standard errors; else rare words are learned by heart."""
-        p = np.bincount(index[in_positive], minlength=BUCKETS) / n_p
-        u = np.bincount(index[~in_positive], minlength=BUCKETS) / n_u
-        both = (p * n_p + u * n_u) / (n_p + n_u)
-        z = np.abs(p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-        return (z >= LEAST_Z) & (np.maximum(p, u) >= LEAST_SHARE)
-
     def score(self, text: str) -> float:
         if self.weights is None:
             return 0.0
@@ -117,8 +117,9 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found.keys(), np.int32, len(found)), np.fromiter(found.values(), np.float32, len(found)) * np.float32(scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PositiveUnlabelled:
-    """Fit on the learning folds. Two counts and one pass over the texts, of which the sample alone is kept."""
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PositiveUnlabelled:
+    """Fit on the learning folds. One pass over the texts writes the sample's features; how many documents of either side have a
+    bucket is summed next to them, and only telling buckets reach the driver."""
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     rest = docs.filter(~held_out(F.col("doc_id"))).count() - n
@@ -134,15 +135,37 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
             x = [document_features(t) for t in texts_of(b, "text")]
-            columns = [pa.array([r[0].tobytes() for r in x], pa.binary()), pa.array([r[1].tobytes() for r in x], pa.binary())]
-            yield pa.record_batch([b.column("positive"), *columns], ["positive", "buckets", "shares"])
-
-    got = picked.select("text", F.col("toxic").isNotNull().alias("positive")).limit(2 * (positives + unlabelled)).mapInArrow(features, "positive boolean, buckets binary, shares binary").toArrow()
-    positive = np.array(got.column("positive").to_pylist(), bool)
-    if not positive.any() or positive.all():
+            columns = [pa.array([r[i].tobytes() for r in x], pa.binary()) for i in (0, 1)]
+            yield pa.record_batch([b.column("doc_id"), b.column("positive"), *columns], ["doc_id", "positive", "buckets", "shares"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    sample = picked.select("doc_id", "text", F.col("toxic").isNotNull().alias("positive"))
+    sample = scratch.write(sample.mapInArrow(features, f"doc_id {kind}, positive boolean, buckets binary, shares binary"), "sample")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        for b in batches:
+            for positive, buckets in zip(b.column("positive").to_pylist(), b.column("buckets").to_pylist()):
+                seen[int(positive), np.frombuffer(buckets, np.int32)] += 1
+                rows[int(positive)] += 1
+        yield pa.record_batch([pa.array([int(rows[0])]), pa.array([int(rows[1])]), pa.array([seen.tobytes()], pa.binary())], ["unlabelled", "positives", "seen"])
+
+    parts = sample.select("positive", "buckets").coalesce(16).mapInArrow(counts, "unlabelled long, positives long, seen binary").toArrow()
+    n_u, n_p = (sum(parts.column(c).to_pylist()) for c in ("unlabelled", "positives"))
+    if not n_u or not n_p:
         return PositiveUnlabelled()
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for a, s in zip(got.column("buckets").to_pylist(), got.column("shares").to_pylist())]
-    return PositiveUnlabelled().fit(rows, positive, prior)
+    seen = sum(np.frombuffer(x, np.int32).reshape(2, BUCKETS).astype(np.int64) for x in parts.column("seen").to_pylist())
+    told = telling(seen[1] / n_p, seen[0] / n_u, n_p, n_u)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(b.column("buckets").to_pylist(), b.column("shares").to_pylist())]
+            yield pa.record_batch([b.column("positive"), *(pa.array([r[i][told[r[0]]].tobytes() for r in rows], pa.binary()) for i in (0, 1))], ["positive", "buckets", "shares"])
+
+    ordered = sample.orderBy(unit_hash(F.col("doc_id"), SEED + 1), "doc_id").limit(2 * (positives + unlabelled)).select("positive", "buckets", "shares")
+    got = ordered.mapInArrow(kept, "positive boolean, buckets binary, shares binary").toArrow()
+    rows = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(got.column("buckets").to_pylist(), got.column("shares").to_pylist())]
+    return PositiveUnlabelled().fit(rows, np.array(got.column("positive").to_pylist(), bool), prior, told)
 
 
 def score(docs: DataFrame, model: PositiveUnlabelled, name: str = "toxicity") -> DataFrame:
@@ -160,7 +183,7 @@ def score(docs: DataFrame, model: PositiveUnlabelled, name: str = "toxicity") ->
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), Scratch(spark, "op2"))
     scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 

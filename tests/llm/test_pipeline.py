@@ -26,7 +26,7 @@ def test_stages_and_columns(stages):
 
 def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
     before, after = stages[0]
-    labels = toxicity.score(before, toxicity.learn(before, table(spark, DATA, "labels")))
+    labels = toxicity.score(before, toxicity.learn(before, table(spark, DATA, "labels"), Scratch(spark, "test")))
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in labels.filter("toxicity < 0.5").collect()}
 
 

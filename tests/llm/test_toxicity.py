@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import toxicity
+from lodestone.llm.common import Scratch
 
 from .support import documents, empty
 
@@ -23,9 +24,9 @@ def made_up(rng, n, share):
 def test_held_out_ranking_from_positives_and_unlabelled_text():
     rng = np.random.default_rng(3)
     texts, bad = made_up(rng, 3000, 0.15)
-    known = bad & (rng.random(len(bad)) < 0.4)
-    rows = [toxicity.document_features(t) for t, k in zip(texts[:2000], known[:2000])]
-    model = toxicity.PositiveUnlabelled().fit(rows, known[:2000], 0.15)
+    labelled = rng.random(len(bad)) < 0.4
+    used = [i for i in range(2000) if bad[i] or not labelled[i]]  # labelled clean texts stay out, as in learn()
+    model = toxicity.PositiveUnlabelled().fit([toxicity.document_features(texts[i]) for i in used], (bad & labelled)[used], 0.15)
     predicted = np.array([model.score(t) >= 0.5 for t in texts[2000:]])
     truth = bad[2000:]
     assert (predicted & truth).sum() / truth.sum() > 0.9
@@ -45,13 +46,13 @@ def test_scores_agree_with_document_features():
 def test_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 0), (4, 1), (7, 0), (99, 1)], "doc_id long, toxic int")
-    model = toxicity.learn(docs, labels)
+    model = toxicity.learn(docs, labels, Scratch(spark, "t"))
     out = toxicity.score(docs.drop("toxicity"), model).collect()
     assert len(out) == 10 and all(0 <= r["toxicity"] <= 1 for r in out)
     same = {r["toxicity"] for r in out if r["doc_id"] in (5, 6)}
     assert len(same) == 1
     for a, b in ((empty(spark), labels), (docs, labels.limit(0)), (empty(spark), labels.limit(0))):
-        nothing = toxicity.learn(a, b)
+        nothing = toxicity.learn(a, b, Scratch(spark, "t"))
         assert nothing.score("text") == 0.0
     assert toxicity.score(empty(spark).drop("toxicity"), model).count() == 0
 
