@@ -230,7 +230,6 @@ class BoostedTrees:
 
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     """True for kept nodes: the most likely labels where a dropped node's whole subtree is dropped. The root is kept."""
-    keep, drop = np.maximum(0, odds) - np.logaddexp(0, -np.abs(odds)) - np.maximum(0, odds), None
     keep, drop = -np.logaddexp(0, -odds.astype(float)), -np.logaddexp(0, odds.astype(float))
     best_keep, best_drop, above = keep.copy(), drop.copy(), np.full(len(nodes), -1)
     for i in range(len(nodes) - 1, 0, -1):
