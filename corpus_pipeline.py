@@ -2,6 +2,10 @@
 
 Rejected documents go (toxicity), one document of each near-duplicate group stays, personal data is masked,
 the mix repeats documents as often as it takes their words, and the last stage encodes them.
+
+Edge cases: a null or empty text is scored like one without words, is nobody's duplicate, has nothing to mask, is kept
+once by the mix and has no ids; a row without doc_id is nobody's duplicate; equal texts under several ids leave the smallest
+id; columns beyond those of documents pass through unchanged, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
