@@ -65,10 +65,13 @@ def generic_email(email: Column, name: Column) -> Column:
 
 def email_candidates(text: Column) -> Column:
     """Plain, spaced and spelled-out addresses, cleaned, distinct and sorted, without office prefixes."""
-    s = L.WS
-    plain = F.regexp_extract_all(text_of(text), F.lit(L.EMAIL), F.lit(0))
-    spaced = F.regexp_extract_all(text_of(text), F.lit(f"[A-Za-z0-9._%+-]+{s}*@{s}*[A-Za-z0-9.-]+(?:{s}*\\.{s}*[A-Za-z0-9.-]+)+"), F.lit(0))
-    spelled = F.regexp_extract_all(text_of(text), F.lit(f"(?i)[A-Za-z0-9._%+-]+{s}*(?:\\[at\\]|\\(at\\)|{s}at{s}){s}*[A-Za-z0-9.-]+{s}*(?:\\[dot\\]|\\(dot\\)|{s}dot{s}|\\.){s}*[A-Za-z.]{{2,}}"), F.lit(0))
+    s, t, none = L.WS, text_of(text), F.array().cast("array<string>")
+    # Few texts have an @ or its spelling: the patterns, which go over every word again and again, run on those alone.
+    found = lambda test, pattern: F.when(test, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+    signed, spelt = F.contains(t, F.lit("@")), F.rlike(t, F.lit(f"(?i)\\[at\\]|\\(at\\)|{s}at{s}"))
+    plain = found(signed, L.EMAIL)
+    spaced = found(signed, f"[A-Za-z0-9._%+-]+{s}*@{s}*[A-Za-z0-9.-]+(?:{s}*\\.{s}*[A-Za-z0-9.-]+)+")
+    spelled = found(spelt, f"(?i)[A-Za-z0-9._%+-]+{s}*(?:\\[at\\]|\\(at\\)|{s}at{s}){s}*[A-Za-z0-9.-]+{s}*(?:\\[dot\\]|\\(dot\\)|{s}dot{s}|\\.){s}*[A-Za-z.]{{2,}}")
     spaced = F.transform(spaced, lambda x: F.regexp_replace(x, f"{s}+", ""))
     done = F.transform(F.concat(plain, spaced, spelled), clean_email)
     office = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in L.BLOCKED_LOCALS])

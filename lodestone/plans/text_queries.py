@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import quality, text
 from ..operators import selection
+from ..sources.files import spread
 from . import fixtures as X
 from . import sql_parts as S
 
 
 def documents(spark: SparkSession, sf_dir: str, more: X.Fixture = X.TEXTS) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(more.frame(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(more.frame(spark))
 
 
 def _sql(more: X.Fixture = X.TEXTS) -> str:

@@ -9,6 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text, urls
 from ..operators import policy, postings, selection
 from ..sources import feeds
+from ..sources.files import spread
 from . import fixtures as X
 from . import sql_parts as S
 
@@ -29,7 +30,7 @@ def per_url(**columns):
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").unionByName(X.PAGES.frame(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).unionByName(X.PAGES.frame(spark))
 
 
 U = lambda: F.col("url")

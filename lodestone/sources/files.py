@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A smaller input than this many bytes a core is dealt out over the cores.
+SMALL_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a small file is often one row group, and so one task, however costly the expressions on it.
+
+    Large inputs keep their scan's partitions: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
 def open_table(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """A table by its suffix (parquet, csv, json, orc, xlsx); if it can't be read, the fallback's."""
     from pyspark.errors import AnalysisException, PySparkException
