@@ -36,7 +36,7 @@ from .common import Scratch, table, unit_hash
 
 SAMPLE, LISTS, LIST_SIZE, PART, SEED = 20_000, 2_048, 512, 4_096, 77
 STORE_RATIO, STORE_LISTS, ROUNDS, NEIGHBOURS, BEAM = 1.05, 4, 8, 16, 64
-VISIT_RATIO, VISIT_SHARE, LEAST_VISITS, FIRST_VISITS = 1.25, 0.6, 24, 8
+VISIT_RATIO, VISIT_SHARE, LEAST_VISITS, FIRST_VISITS = 1.25, 0.4, 24, 8
 
 
 def usable(vector) -> F.Column:
