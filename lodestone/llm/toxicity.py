@@ -33,7 +33,7 @@ from .common import Scratch, held_out, slices, table, texts_of, unit_hash
 
 POSITIVES, UNLABELLED, SEED = 2_500, 7_500, 411
 BUCKETS, PREFIXES, PAD_WORDS, SCALE = 1 << 17, (4, 5, 6, 7), 8, 100.0
-STEPS, RATE, DECAY, LEAST_Z, LEAST_SHARE, CACHED_WORDS = 120, 0.1, 1e-5, 4.0, 0.01, 300_000
+STEPS, RATE, DECAY, LEAST_Z, LEAST_SHARE, CACHED_WORDS = 120, 0.1, 1e-5, 4.0, 0.01, 100_000
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
