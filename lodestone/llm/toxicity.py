@@ -33,7 +33,7 @@ from .common import Scratch, held_out, slices, table, texts_of, unit_hash
 
 POSITIVES, UNLABELLED, SEED = 2_500, 7_500, 411
 BUCKETS, PREFIXES, PAD_WORDS, SCALE = 1 << 17, (4, 5, 6, 7), 8, 100.0
-STEPS, RATE, DECAY, LEAST_Z, LEAST_SHARE, CACHED_WORDS = 120, 0.1, 1e-5, 4.0, 0.01, 100_000
+STEPS, RATE, DECAY, LEAST_Z, LEAST_SHARE, CACHED_WORDS = 120, 0.1, 1e-5, 4.0, 0.01, 80_000
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -59,6 +59,7 @@ class PositiveUnlabelled:
     weights: np.ndarray | None = None
     bias: float = 0.0
     cache: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, told: np.ndarray | None = None) -> PositiveUnlabelled:
         """rows: each document's buckets and values; told: the buckets that take part, found from the rows if not given. Adam over the whole sample."""
@@ -98,9 +99,13 @@ class PositiveUnlabelled:
         for word, n in words.items():
             s = cache.get(word)
             if s is None:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                s = cache[word] = float(self.weights[word_features(word)].sum())
+                s = self.older.get(word)
+                if s is None:
+                    s = float(self.weights[word_features(word)].sum())
+                if len(cache) >= CACHED_WORDS:  # two generations, so that frequent words outlive a full cache
+                    self.older = cache
+                    cache = self.cache = {}
+                cache[word] = s
             total += n * s
         f = self.bias + SCALE * total / (sum(words.values()) + PAD_WORDS)
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, f)))))
