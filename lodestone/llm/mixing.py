@@ -22,6 +22,8 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_SLOTS, ROUNDS, SEED = 64, 16_384, 65_536, 10, 20_011
 #: Documents in one ordered run of a source, and slots in one task, about.
 RUN_DOCS, TASK_SLOTS = 2_000, 100_000
+#: A remainder of a copy is kept in units of 2 ** -UNIT_BITS.
+UNIT_BITS = 32
 
 
 def permuted(x: Column, size: Column, key: Column, inverse: bool = False) -> Column:
@@ -141,13 +143,39 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def whole_copies(mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, copies for the rows with words of mixed (doc_id once a row): floor(taken / size), and one more by a seeded systematic draw.
+
+    A source's remainders follow each other by size; a row gets one more copy where their running sum passes a whole number, so
+    that a source's words stay within its largest document of those taken. Sums go over (source, size, run) first.
+    """
+    size, whole = F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("long")
+    drawn = mixed.filter("size > 0").withColumn("whole", whole)
+    drawn = drawn.select("doc_id", "source", "size", "whole", F.floor((F.col("taken") - F.col("whole") * size) / size * float(1 << UNIT_BITS)).cast("long").alias("rest"))
+    n = mixed.count()
+    drawn = scratch.write(drawn.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(max(64, n // RUN_DOCS)))), "drawn")
+    unit = lambda c: F.pmod(c, F.lit(1 << UNIT_BITS))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    runs = scratch.write(drawn.groupBy("source", "size", "run").agg(unit(F.sum("rest")).alias("run_rest")), "draw_runs")
+    sizes = runs.groupBy("source", "size").agg(unit(F.sum("run_rest")).alias("size_rest"))
+    sizes = sizes.select("source", "size", unit(before("size_rest", W.partitionBy("source").orderBy("size")) + unit(F.xxhash64("source", F.lit(SEED)))).alias("size_start")).alias("b")
+    runs = runs.withColumn("run_start", before("run_rest", W.partitionBy("source", "size").orderBy("run"))).alias("a")
+    starts = runs.join(sizes, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
+    starts = starts.select("a.source", "a.size", "run", unit(F.col("run_start") + F.col("size_start")).alias("start")).alias("b")
+    upto = F.sum("rest").over(W.partitionBy("source", "size", "run").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
+    placed = drawn.withColumn("upto", upto).alias("a").join(starts, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.run") == F.col("b.run")))
+    to = F.col("start") + F.col("upto")
+    more = F.shiftright(to, UNIT_BITS) - F.shiftright(to - F.col("rest"), UNIT_BITS)
+    return placed.select("doc_id", (F.col("whole") + more).cast("int").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs, each row as often as the mix takes its words: taken / size rounded half up; a row without words once."""
+    """docs, each row in whole copies, drawn so that each source's words meet those that the mix takes; a row without words once."""
     row, copies = fresh("mix_row", docs.columns), fresh("mix_copies", docs.columns)
     numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    mixed = mix(numbered.select(F.col(row).alias("doc_id"), "text", "source"), scratch)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    times = mixed.select(F.col("doc_id").alias(row), times.alias(copies)).filter(F.col(copies) > 0)
+    mixed = scratch.write(mix(numbered.select(F.col(row).alias("doc_id"), "text", "source"), scratch), "mixed")
+    times = whole_copies(mixed, scratch).unionByName(mixed.filter("size = 0").select("doc_id", F.lit(1).alias("copies")))
+    times = times.select(F.col("doc_id").alias(row), F.col("copies").alias(copies)).filter(F.col(copies) > 0)
     return numbered.join(times, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 

@@ -86,3 +86,14 @@ def test_mixed_documents_keeps_columns(spark):
     docs = documents(spark)
     out = mixing.mixed_documents(docs, Scratch(spark, "t"))
     assert out.columns == docs.columns and out.filter("text is null").count() == 1
+
+
+def test_emitted_words_meet_the_targets(spark):
+    """Long documents are neither all dropped nor all kept: a source's words are within one document of its target."""
+    lengths = [1_000 + 37 * (i % 90) for i in range(400)]
+    docs = documents(spark, [(i, "w " * n, "en", ("hot", "b", "c", None)[min(3, i * 7 // 400)], 2 * n) for i, n in enumerate(lengths)])
+    expected = {r["source"]: r["target"] for r in mixing.mix(docs, Scratch(spark, "t")).collect()}
+    emitted = dict.fromkeys(expected, 0)
+    for r in mixing.mixed_documents(docs, Scratch(spark, "t")).collect():
+        emitted[r["source"]] += words(r["text"])
+    assert len(expected) == 4 and all(abs(emitted[s] - expected[s]) <= max(lengths) + 1 for s in expected), (emitted, expected)
