@@ -1,8 +1,10 @@
 """URL filters: rules first, then trust and distrust propagated over the host link graph.
 
 Native: DataFrame functions only. Personalised PageRank flows from trusted hosts along links;
-distrust flows from blocked hosts against the links, so that a host which links to blocked ones
-is distrusted. Both run in one table, keyed by (kind, host).
+distrust flows from blocked hosts against the links, each host taking it by the share of its own links, so
+that a host's distrust is the chance that a walk from it along links, which stops with 1 - DAMPING at each host, stops at a
+blocked one. That chance does not depend on how many others link there. Both run in one table, keyed by
+(kind, host), until no score changes by more than TOLERANCE.
 
 Edge cases: a null url, or one without ://, has empty host and path and is allowed, for no rule and
 no score reach it; null html has no links; repeated rows are judged alike; an empty table gives no
@@ -19,6 +21,8 @@ from .common import Scratch, table
 #: (verdict, rule); a rule is host/path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ROUNDS, DAMPING, LEAST_DISTRUST = 6, 0.85, 0.01
+#: Scores are written, and compared with those written before, every ROUNDS rounds.
+TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The authority of an absolute or scheme-relative link of an anchor.
@@ -56,14 +60,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    into = edges.groupBy("dst").agg(F.sum("p").alias("all"))
-    return edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("p") / F.col("all")).alias("p"))
+    """Each link turned round, with the share that it has of the links of the host it leaves."""
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """kind, src, dst, p and kind, host, seed -> kind, host, score, each seed giving a mass of 1. One join and one aggregation a round."""
-    rank = seeds.select("kind", "host", F.col("seed").alias("score"))
-    home = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+def propagate(edges: DataFrame, home: DataFrame, rank: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """kind, src, dst, p and kind, host, score -> kind, host, score some rounds on. One join and one aggregation a round."""
     for _ in range(rounds):
         flow = edges.alias("e").join(rank.alias("r"), (F.col("e.kind") == F.col("r.kind")) & (F.col("e.src") == F.col("r.host")))
         flow = flow.select("e.kind", F.col("e.dst").alias("host"), (F.col("e.p") * F.col("r.score") * damping).alias("score"))
@@ -71,6 +73,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return rank
 
 
+def converged(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """kind, host, score once no score changes by more than TOLERANCE within `rounds` rounds; each such step is written, which cuts the lineage.
+
+    A round shrinks what is left to change by the damping, so the steps end.
+    """
+    home = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    rank, step = home, 0
+    while True:
+        new = scratch.write(propagate(edges, home, rank, rounds, damping), f"rank-{step}")
+        both = new.unionByName(rank.select("kind", "host", (-F.col("score")).alias("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("change"))
+        change = both.agg(F.max("change")).first()[0]
+        if step:
+            scratch.drop(f"rank-{step - 1}")
+        if (change or 0.0) <= TOLERANCE:
+            return new
+        rank, step = new, step + 1
+
+
 def host_scores(pages: DataFrame, scratch: Scratch, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     """host, trust, distrust. Seeds are the hosts that the rules mostly allow (kind 1) or mostly block (kind 0)."""
     edges = scratch.write(host_edges(pages), "edges")
@@ -79,7 +99,7 @@ def host_scores(pages: DataFrame, scratch: Scratch, rules=RULES, rounds: int = R
     seeds = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("verdict")).filter("verdict is not null and host <> ''")
     seeds = seeds.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count("*").alias("n"))
     seeds = scratch.write(seeds.select(F.when(F.col("allowed") * 2 > F.col("n"), 1).otherwise(0).alias("kind"), "host", F.lit(1.0).alias("seed")), "seeds")
-    scores = propagate(both, seeds, rounds)
+    scores = converged(both, seeds, scratch, rounds)
     by_kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(by_kind(1).alias("trust"), by_kind(0).alias("distrust"))
 
@@ -104,7 +124,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, least: float = LEAST_DISTRUST) -> str:
-    """The same in SQL, its rounds written out."""
+    """In SQL: `rounds` rounds written out, and distrust divided among the hosts that link to one; verdicts may differ from the query's where hosts link to each other."""
     fits = [((f"(host = '{t.partition('/')[0]}' or ends_with(host, '.{t.partition('/')[0]}')) and starts_with(path, '/{t.partition('/')[2]}')"), w, t) for w, t in longest_first(rules)]
     case = lambda i: "case " + " ".join(f"when {f[0]} then '{f[i]}'" for f in fits) + " end"
     link = LINK.replace("'", "''")

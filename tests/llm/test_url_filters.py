@@ -65,3 +65,14 @@ def test_judge_of_nothing(spark):
 def test_plan_runs_no_python(spark):
     plan = url_filters.judge(spark.createDataFrame(ROWS, SCHEMA), Scratch(spark, "t"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_distrust_depends_on_own_links_and_reaches_its_end(spark):
+    """Referrers of a much-linked blocked host are all blocked; a chain is blocked as far as converged scores reach."""
+    rows = [(i, f"http://r{i}.org/", '<a href="http://bad.net/es/">', "h") for i in range(40)] + [(99, "http://bad.net/es/1", "", "h"), (98, "http://worse.net/fr/", "", "h")]
+    rows += [(100 + i, f"http://c{i}.org/", f'<a href="http://{f"c{i - 1}.org" if i > 1 else "worse.net"}/">', "h") for i in range(1, 21)]
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in url_filters.judge(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()}
+    assert all(got[i][0] == "block" for i in range(40))
+    for i in range(1, 21):
+        score = (1 - url_filters.DAMPING) * url_filters.DAMPING**i
+        assert abs(got[100 + i][1] - score) < 1e-5 and got[100 + i][0] == ("block" if score >= url_filters.LEAST_DISTRUST else "allow")
