@@ -197,16 +197,19 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
         ids, asking = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, candidates, got = ids[order], matrix(right)[order], []
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         everyone, bounds = matrix(left), left.column("bound").to_numpy()
         for at in range(0, len(asking), 256):
             scores = everyone[at : at + 256] @ candidates.T
             scores[asking[at : at + 256, None] == ids[None]] = -np.inf
             for i, (q, row) in enumerate(zip(asking[at : at + 256], scores)):
-                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                by_id = np.maximum.reduceat(row, starts) if len(starts) < len(row) else row  # rows of one vec_id are one candidate
+                least = np.partition(by_id, len(by_id) - k)[len(by_id) - k] if len(by_id) > k else -np.inf
                 keep = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
                 exact = (candidates[keep] * everyone[at + i]).sum(1)  # equal vectors get equal scores, whatever the block
                 keep, exact = keep[exact >= bounds[at + i]], exact[exact >= bounds[at + i]]
-                best = np.lexsort((ids[keep], -exact))[:k]
+                best = np.lexsort((ids[keep], -exact))
+                best = best[np.sort(np.unique(ids[keep][best], return_index=True)[1])][:k]
                 got.append((np.full(len(best), q), ids[keep][best], exact[best]))
         return pa.table({n: np.concatenate([g[i] for g in got]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 

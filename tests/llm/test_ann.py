@@ -82,3 +82,12 @@ def test_clusters_are_balanced():
     points = ann.balanced_centroids(x, 16)
     sizes = np.bincount(((x[:, None] - points[None]) ** 2).sum(2).argmin(1), minlength=16)
     assert len(points) == 16 and sizes.max() < 6 * sizes.mean()
+
+
+def test_repeated_rows_are_one_candidate(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 8)).astype(np.float32).astype(np.float64)
+    vectors = frame(spark, np.repeat(x, 25, axis=0), np.repeat(np.arange(60), 25))
+    got = found(ann.search(vectors, frame(spark, x[:3], np.arange(3)), Scratch(spark, "t")))
+    expected = brute(x, np.arange(60), range(3), 20)
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in expected.items()}
