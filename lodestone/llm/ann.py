@@ -36,7 +36,7 @@ from .common import Scratch, table, unit_hash
 
 SAMPLE, LISTS, LIST_SIZE, PART, SEED = 20_000, 2_048, 512, 4_096, 77
 STORE_RATIO, STORE_LISTS, ROUNDS, NEIGHBOURS, BEAM = 1.05, 4, 8, 16, 64
-VISIT_RATIO, VISIT_SHARE, LEAST_VISITS, FIRST_VISITS = 1.25, 0.4, 24, 8
+VISIT_RATIO, LEAST_VISITS, FIRST_VISITS = 1.25, 24, 8
 
 
 def usable(vector) -> F.Column:
@@ -157,7 +157,7 @@ def fit(vectors: DataFrame) -> Centroids | None:
 def placed(vectors: DataFrame, index: Centroids, query: bool) -> DataFrame:
     """vec_id, embedding, list, turn (from 0, the nearest list), one row per list that stores the vector or that the query visits."""
     dim, n = index.points.shape[1] - 1, len(index.points)
-    ratio, least, most = (VISIT_RATIO, LEAST_VISITS, max(LEAST_VISITS, int(n * VISIT_SHARE))) if query else (STORE_RATIO, 1, STORE_LISTS)
+    ratio, least, most = (VISIT_RATIO, LEAST_VISITS, n) if query else (STORE_RATIO, 1, STORE_LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

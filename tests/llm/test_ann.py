@@ -91,3 +91,10 @@ def test_repeated_rows_are_one_candidate(spark):
     got = found(ann.search(vectors, frame(spark, x[:3], np.arange(3)), Scratch(spark, "t")))
     expected = brute(x, np.arange(60), range(3), 20)
     assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in expected.items()}
+
+
+def test_all_lists_within_the_ratio_are_visited(spark):
+    points = np.eye(101)[:100]  # lists at equal distances from a query between them
+    index = ann.Centroids(points, ann.neighbour_graph(points), 1.0)
+    query = spark.createDataFrame([(1, [0.1] * 100)], "vec_id long, embedding array<float>")
+    assert ann.placed(query, index, True).count() == 100
