@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 FOLDS, HELD_OUT_FOLD = 5, 0
 
 
+#: Bytes of one Arrow batch to a Python worker, and of a side that is broadcast, at most.
+BATCH_BYTES, BROADCAST_BYTES = 4 << 20, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session are cut by bytes: rows alone say nothing of the memory that whole texts take."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast if its rows, measured whole, take at most most_bytes; else as it is, for a shuffle join."""
+    row = F.octet_length(F.to_json(F.struct(*df.columns))) + 32 * len(df.columns)
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most_bytes else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is kept from learning; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(True))
@@ -35,12 +54,15 @@ class Scratch:
     """Written tables under the shared folder that the session names in spark.checkpoint.dir.
 
     Writing a table cuts its lineage: what a lost executor held is read again from the shared
-    files. Where the session names no folder (tests on one machine), a temporary one is set.
+    files. A session without that setting is refused, but for one whose workers are threads of this machine.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
             spark.conf.set("spark.checkpoint.dir", top)
         self.spark, self.root = spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -50,8 +72,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, label: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+    def drop(self, label: str = "") -> None:
+        """Removes the table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

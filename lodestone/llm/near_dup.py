@@ -5,18 +5,21 @@ class gets two collections of half keys (2 * HALVES * HASHES minhashes); pairing
 one with every half key of the other gives HALVES * HALVES table keys, so that 40 minhashes do for
 100 tables of 4 hashes. A pair at the threshold shares a key but for about 7 cases in 100,000.
 
-Links are found in two steps, so that a bucket of n classes never becomes n * n rows:
+A bucket is the classes of one key. Bucket sizes come from partial aggregation, and buckets with the same
+members, which true copies share in most tables, are taken as one (that of the first table). Links are
+found in two steps, so that a bucket of n classes never becomes n * n rows:
 1. every member of a bucket against the bucket's smallest class, verified, gives components;
-2. in buckets that still hold several components, members that may be linked across components (their
-   sketches agree in at least half of the minhashes) get their full sets, and each two of them are
-   verified in place, in the first table they share; a bucket yields only links that join components.
-Pairs within a component need no check: they change no result. Buckets of more than BLOCK members
-are compared block by block, in different tasks.
+2. in buckets that still hold several components, the members outside the largest one meet all members in place: pairs whose
+   sketches agree in at least half of the minhashes (a pair at the threshold fails that in about 5 cases of a million) get their
+   full sets, and are verified in the first table they share; a bucket yields only links that join components.
+Pairs within a component need no check: they change no result. Buckets of more than BLOCK members, or
+BLOCK_SHINGLES shingles, are dealt as blocks of outside members against chunks of all members to different tasks: a bucket
+that is one component but for a few members stays linear.
 
 Edge cases: a text without words, or null, has an empty set and is linked with nothing; so is a row
-without doc_id; fewer than SHINGLE words are one shingle; repeated rows fall in one class; rows of
-one doc_id with several texts share that node; an empty table gives no rows; columns other than doc_id
-and text are ignored.
+without doc_id; fewer words than a shingle has are one shingle; repeated rows fall in one class; rows of
+one doc_id with several texts are one node, linked with all that any of them is near to; an empty table gives no rows; columns
+other than doc_id and text are ignored; a very long text is hashed alone, in memory that follows its length.
 """
 
 from __future__ import annotations
@@ -27,21 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, texts_of
+from .common import Scratch, few, slices, table, texts_of
 
-PERCENT, BLOCK = 80, 4_096
-#: Most ids that are broadcast to pick texts; more go by a shuffle.
-BROADCAST_IDS = 1_000_000
-SHINGLE, SEED = 4, 90_210
+PERCENT, BLOCK, BLOCK_SHINGLES = 80, 1_024, 4_000_000
+#: Words in a shingle if the caller names no other number, and the most that can be named.
+SHINGLE, MOST_WORDS, SEED = 5, 16, 90_210
 HASHES, HALVES = 2, 10  # minhashes in a half key; half keys in each of the two collections
 SKETCH = 2 * HASHES * HALVES
 LEAST_EQUAL = SKETCH // 2
 _RNG = np.random.default_rng(SEED)
 _ODD = lambda *shape: _RNG.integers(0, 2**63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE, PLACE, MULTIPLY, ADD = _ODD(256), _ODD(SHINGLE + 1), _ODD(SKETCH), _ODD(SKETCH)
+BYTE, PLACE, MULTIPLY, ADD = _ODD(256), _ODD(MOST_WORDS + 1), _ODD(SKETCH), _ODD(SKETCH)
 POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 POWER_INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 IS_WORD = np.ones(256, bool)
@@ -54,8 +55,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's distinct 64-bit shingle hashes, ascending.
+def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's distinct 64-bit hashes of runs of `shingle` words, ascending.
 
     All words of the slice are hashed at once: differences of one running sum of byte codes times
     powers give every word's polynomial, whatever its place.
@@ -75,14 +76,14 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     back = np.multiply.accumulate(back)
     words = mixed((sums[ends] - sums[starts]) * back[starts])
     first = np.searchsorted(starts, bounds)
-    n = max(0, len(words) - SHINGLE + 1)
-    runs = mixed(sum(words[k : k + n] * PLACE[k] for k in range(SHINGLE))) if n else np.zeros(0, np.uint64)
+    n = max(0, len(words) - shingle + 1)
+    runs = mixed(sum(words[k : k + n] * PLACE[k] for k in range(shingle))) if n else np.zeros(0, np.uint64)
     out = []
     for a, b in zip(first, first[1:]):
-        if b - a >= SHINGLE:
-            out.append(np.unique(runs[a : b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(np.unique(runs[a : b - shingle + 1]))
         elif b > a:
-            out.append(mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + PLACE[SHINGLE:] * np.uint64(b - a)))
+            out.append(mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + PLACE[-1:] * np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -106,12 +107,12 @@ def table_keys(rows: np.ndarray) -> np.ndarray:
     return mixed(halves[:, :HALVES, None] * PLACE[0] + halves[:, None, HALVES:] * PLACE[1] + number).reshape(len(rows), -1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, one, two (a 128-bit hash of the set), sketch for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
-            sets = shingle_sets(texts_of(b, "text"))
+            sets = shingle_sets(texts_of(b, "text"), shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             found: list = [None] * len(sets)
             for i, row in zip(full, sketches([sets[i] for i in full]) if full else ()):
@@ -128,17 +129,32 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """key, id for every class (id, sketch) and table."""
+    """key, place (the table's number), id for every class (id, sketch) and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                part = b.slice(at, 1_000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 keys = table_keys(_sketch_rows(part.column("sketch")))
-                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), ids], ["key", "id"])
+                n, tables = keys.shape
+                ids = part.column("id").take(pa.array(np.repeat(np.arange(n), tables)))
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(tables, dtype=np.int8), n)), ids], ["key", "place", "id"])
 
-    return classes.select("id", "sketch").mapInArrow(run, f"key long, id {dict(classes.dtypes)['id']}")
+    return classes.select("id", "sketch").mapInArrow(run, f"key long, place tinyint, id {dict(classes.dtypes)['id']}")
+
+
+def bucket_members(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, place, id, size, pivot (the smallest id): the members of each bucket of two or more, once for all buckets with the same
+    members. Sizes are counts of partial aggregation; the joins back can split a hot key."""
+    rows = keyed(classes)
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    met = scratch.write(rows.join(shared, "key"), "met")
+    alike = ("size", "pivot", "mark", "sign")
+    marks = met.groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("sign"))
+    first = marks.groupBy(*alike).agg(F.min_by("key", "place").alias("key")).select("key", "size", "pivot")
+    members = scratch.write(met.join(first, "key"), "members")
+    scratch.drop("met")
+    return members
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -155,19 +171,17 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """id, shingles (ascending) of the texts concerned, made again from docs."""
-    ids = scratch.write(ids.distinct(), f"{label}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join((F.broadcast(ids) if few else ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(few(ids.withColumnRenamed("id", "doc_id").distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
-            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(b, "text"))]
+            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(b, "text"), shingle)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["id", "shingles"])
 
-    return scratch.write(texts.mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, shingles array<long>"), f"{label}-sets")
+    return texts.mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,45 +238,61 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
 GROUP = ("key", "left", "right")
 
 
+def open_members(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members of buckets that hold several components, with sketches, one row for each group (GROUP) that they take part in.
+
+    outside tells a member that isn't of its bucket's largest component, asks one that meets the group's rows there, met one that is
+    met. Outside members are dealt to blocks (left), all members to chunks (right), both of a bounded size.
+    """
+    known = scratch.write(members.filter("size > 2").drop("size", "pivot").join(nodes, "id"), "known")
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    per_key = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.max(F.struct("rows", "component", "words")).alias("most"))
+    blocks = lambda rows, words: F.greatest(F.ceil(rows / BLOCK), F.ceil(words / BLOCK_SHINGLES)).cast("int")
+    per_key = per_key.filter("parts > 1").select("key", F.col("most.component").alias("largest"), blocks(F.col("rows") - F.col("most.rows"), F.col("words") - F.col("most.words")).alias("lefts"), blocks(F.col("rows"), F.col("words")).alias("rights"))
+    dealt = known.join(per_key, "key").withColumns({"outside": F.col("component") != F.col("largest"), "own_left": F.pmod(F.xxhash64("id", F.lit(SEED)), "lefts").cast("int"), "own_right": F.pmod(F.xxhash64("id"), "rights").cast("int")})
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda left, right, asks, met: F.struct(left.alias("left"), right.alias("right"), asks.alias("asks"), F.lit(met).alias("met"))
+    stays = F.transform(numbers("lefts"), lambda x: at(x, F.col("own_right"), F.col("outside") & (x == F.col("own_left")), True))
+    goes = F.transform(F.filter(numbers("rights"), lambda x: F.col("outside") & (x != F.col("own_right"))), lambda x: at(F.col("own_left"), x, F.lit(True), False))
+    return dealt.withColumn("at", F.explode(F.concat(stays, goes))).select("key", "at.left", "at.right", "at.asks", "at.met", "outside", "place", "id", "component", "n", "sketch")
+
+
 def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row with the later rows of its group that may be links: of another component (and block, in a group of two), near in
-    size, alike in their sketches, and meeting in no earlier table."""
-    rows, n, parts, blocks = _sketch_rows(group.column("sketch")), group.column("n").to_numpy(), group.column("component").to_numpy(), group.column("block").to_numpy()
-    own = int(np.flatnonzero(table_keys(rows[:1])[0].view(np.int64) == group.column("key")[0].as_py())[0])
-    across = group.column("left")[0].as_py() != group.column("right")[0].as_py()
-    for i in range(len(rows) - 1):
-        other = np.flatnonzero((parts[i + 1 :] != parts[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * PERCENT) & ((blocks[i + 1 :] != blocks[i]) | (not across))) + i + 1
+    """Each asking row with the rows of its group, in order of ids, that may be links: of another component, near in size, alike in
+    their sketches, meeting in no earlier table. Two outside members meet where the smaller id asks."""
+    column = lambda c: group.column(c).to_numpy()
+    rows, n, place = _sketch_rows(group.column("sketch")), column("n"), group.column("place")[0].as_py()
+    parts = group.column("component").combine_chunks().dictionary_encode()
+    parts = (parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts).indices.to_numpy()
+    asks, met, outside, at = column("asks"), column("met"), column("outside"), np.arange(group.num_rows)
+    for i in np.flatnonzero(asks).tolist():
+        other = np.flatnonzero(met & (parts != parts[i]) & (~outside | (at > i)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT))
         if len(other):
             equal = rows[other] == rows[i]
             enough = equal.sum(1) >= LEAST_EQUAL
             halves = equal[enough].reshape(-1, 2 * HALVES, HASHES).all(2)
             first = halves[:, :HALVES].argmax(1) * HALVES + halves[:, HALVES:].argmax(1)
-            yield i, other[enough][first == own]
+            found = other[enough][first == place]
+            if len(found):
+                yield i, found
 
 
-def open_members(members: DataFrame) -> DataFrame:
-    """key, left, right, block, id, component: the members of a bucket (key, size, id, component, n, sketch) that may be linked
-    across components there. A bucket of more than BLOCK members is one group for every two blocks."""
-    kinds = dict(members.dtypes)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "n", "sketch")
+def likely(members: DataFrame) -> DataFrame:
+    """The rows of open_members that take part in a pair worth verifying."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, GROUP):
             kept = np.zeros(group.num_rows, bool)
             for i, found in partners(group):
-                kept[found] = True
-                kept[i] |= len(found) > 0
+                kept[found] = kept[i] = True
             if kept.any():
-                yield from group.select([*GROUP, "block", "id", "component"]).filter(pa.array(kept)).combine_chunks().to_batches()
+                yield from group.filter(pa.array(kept)).combine_chunks().to_batches()
 
-    ordered = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id")
-    return ordered.mapInArrow(run, f"key long, left int, right int, block int, id {kinds['id']}, component {kinds['component']}")
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(run, members.schema)
 
 
 def cross_links(members: DataFrame) -> DataFrame:
-    """a, b: links between components, verified on full sets inside each group (GROUP, block, id, component, n, sketch, shingles).
+    """a, b: links between components, verified on full sets inside each group (the columns of open_members, and shingles).
 
     A group yields at most one link fewer than it has members: what joins nothing new is left out.
     """
@@ -272,12 +302,12 @@ def cross_links(members: DataFrame) -> DataFrame:
         column = group.column("shingles").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-        roots = {c: c for c in group.column("component").to_pylist()}
-        parts = list(group.column("component").to_pylist())
+        parts = group.column("component").to_pylist()
+        roots = {c: c for c in parts}
 
         def root(c):
             while roots[c] != c:
-                c = roots[c]
+                roots[c] = c = roots[roots[c]]
             return c
 
         for i, found in partners(group):
@@ -305,30 +335,33 @@ def cross_links(members: DataFrame) -> DataFrame:
     return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+def own_links(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: each doc_id that has several different sets with the classes that these fall in."""
+    several = linked.groupBy("doc_id").agg(F.min("one").alias("low"), F.max("one").alias("high")).filter("low <> high").select("doc_id")
+    sets = linked.join(several, "doc_id", "left_semi").select("doc_id", "one", "two").distinct()
+    return sets.join(classes, ["one", "two"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text), by sets of `shingle`-word shingles."""
     docs = docs.select("doc_id", "text")
-    signed = scratch.write(signatures(docs), "signatures")
+    signed = scratch.write(signatures(docs, shingle), "signatures")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
-    bucket = W.partitionBy("key")
-    members = keyed(classes).withColumns({"size": F.count("*").over(bucket), "pivot": F.min("id").over(bucket)}).filter("size > 1")
-    members = scratch.write(members, "members")
+    members = bucket_members(classes, scratch)
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = scratch.write(plausible(stars, classes), "star-pairs")
-    sets = full_sets(stars.select(F.col("a").alias("id")).union(stars.select("b")), docs, scratch, "star")
-    links = scratch.write(verified(stars, sets), "star-links")
-    parts = scratch.write(components(links, scratch, "star-parts"), "star-components")
-    open_ = members.filter("size > 2").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = open_.withColumns({"least": F.min("component").over(bucket), "most": F.max("component").over(bucket)}).filter("least <> most")
-    kept = classes.select("id", "n", "sketch")
-    rest = scratch.write(open_members(open_.join(kept, "id").select("key", "size", "id", "component", "n", "sketch")), "open")
-    sets = full_sets(rest.select("id"), docs, scratch, "cross")
-    links = links.unionByName(scratch.write(cross_links(rest.join(kept, "id").join(sets, "id")), "cross-links"))
-    parts = scratch.write(components(links, scratch, "parts"), "components")
-    for label in ("members", "star-pairs", "star-ids", "star-sets", "star-links", "star-components", "open", "cross-ids", "cross-sets", "cross-links"):
-        scratch.drop(label)  # what is written above needs them no more
+    sets = scratch.write(full_sets(stars.select(F.col("a").alias("id")).union(stars.select("b")), docs, shingle), "star-sets")
+    links = scratch.write(verified(stars, sets).unionByName(own_links(linked, classes)), "star-links")
+    parts = components(links, scratch, "star-parts")
+    nodes = classes.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "sketch")
+    rest = scratch.write(likely(open_members(members, nodes, scratch)), "open")
+    sets = scratch.write(full_sets(rest.select("id"), docs, shingle), "cross-sets")
+    links = scratch.write(links.unionByName(cross_links(rest.join(sets, "id"))), "links")
+    parts = components(links, scratch, "parts")
+    for label in ("members", "star-pairs", "star-sets", "star-links", "known", "open", "cross-sets"):
+        scratch.drop(label)  # the links are written and need them no more
     reached = classes.join(parts, "id", "left").select("one", "two", F.coalesce("component", "id").alias("component"))
     found = signed.withColumn("joins", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(reached.withColumn("joins", F.lit(True)), ["one", "two", "joins"], "left")
     component = F.coalesce("component", "doc_id")
@@ -336,8 +369,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), shingle=4)
 
 
 QUERIES = {"op5_near_duplicates": op5_near_duplicates}
-ORACLES: dict[str, str] = {}

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,12 +10,12 @@ from lodestone.llm.common import Scratch
 from .support import documents, empty
 
 
-def brute_force(rows):
-    """Every pair of texts, compared."""
+def brute_force(rows, size=4):
+    """Every pair of texts, compared; rows of one doc_id are one node."""
     sets = []
     for doc_id, text in rows:
-        w = (text or "").encode().lower().split()
-        sets.append((doc_id, {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())))
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append((doc_id, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())))
     parent = {i: i for i, _ in sets}
 
     def find(x):
@@ -45,15 +46,51 @@ def copies(rng, n_bases, n, words, change):
 def test_components_equal_brute_force(spark, n_bases, n, words, change):
     rows = copies(random.Random(n), n_bases, n, words, change)
     rows += [(1000 + i, t.upper().replace(" ", "\t ")) for i, t in rows[:5]] + [(2000, "three words here"), (2001, "Three  words\nhere"), (2002, "a b c d"), (2003, ""), (2004, " "), (2005, "x")]
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_force(rows)
+    assert found(spark, rows, 4) == brute_force(rows)
 
 
-def test_small_blocks_give_the_same(spark, monkeypatch):
+def found(spark, rows, size):
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), size)
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("limits", [("BLOCK", 8), ("BLOCK_SHINGLES", 200)])
+def test_small_blocks_give_the_same(spark, monkeypatch, limits):
     rows = copies(random.Random(3), 2, 60, 60, 0.02)
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_force(rows)
+    monkeypatch.setattr(near_dup, *limits)
+    assert found(spark, rows, 5) == brute_force(rows, 5)
+
+
+def test_texts_of_one_doc_id_are_one_node(spark):
+    rows = [(3, "b b b b b b"), (5, "a one a two a"), (5, "b b b b b b"), (7, "a one a two a"), (9, "other words stand in here")]
+    assert [x[::2] for x in found(spark, rows, 4)] == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)] == [x[::2] for x in brute_force(rows)]
+
+
+def test_documents_that_share_a_passage(spark):
+    """A bucket of texts that mostly aren't links: a common passage in texts of their own words, and chains of small changes."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(500)}" for _ in range(rng.randrange(8, 30))])) for i in range(150)]
+    assert found(spark, rows, 4) == brute_force(rows)
+
+
+def test_documents_equal_brute_force(spark):
+    """The rows of documents whose id is divisible by 5, against each other."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id % 5 = 0").select("doc_id", "text").collect()]
+    assert found(spark, rows, 4) == brute_force(rows)
+
+
+def test_sketches_of_pairs_at_the_threshold_agree_enough():
+    """Recall of the sketch filter: pairs of similarity 0.8 agree in LEAST_EQUAL minhashes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(2_000):
+        x = rng.integers(0, 2**63, 120).astype(np.uint64)
+        sets += [np.unique(x[:108]), np.unique(np.concatenate([x[:96], x[108:]]))]  # 96 of 120 in common
+    rows = near_dup.sketches(sets)
+    assert ((rows[::2] == rows[1::2]).sum(1) >= near_dup.LEAST_EQUAL).all()
+    keys = near_dup.table_keys(rows)
+    assert (keys[::2] == keys[1::2]).any(1).all()
 
 
 def test_odd_rows(spark):

@@ -1,3 +1,5 @@
+import duckdb
+
 from lodestone.llm import url_filters
 from lodestone.llm.common import Scratch
 
@@ -47,15 +49,15 @@ def by_hand(rows):
     return sorted((page, host, path, str(rule), verdict or ("block" if score[0].get(host, 0) >= url_filters.LEAST_DISTRUST and score[0].get(host, 0) > score[1].get(host, 0) else "allow")) for page, host, path, rule, verdict, _ in out)
 
 
-def test_judge_equals_a_plain_walk_and_sql(spark, duck):
+def test_judge_equals_a_plain_walk_and_sql(spark):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     got = url_filters.judge(pages, Scratch(spark, "t"))
     ours = sorted((r["page_id"], r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in got.collect())
     assert ours == by_hand(ROWS)
     assert ("block" in {r[4] for r in ours if r[3] == "None"}) and ("allow" in {r[4] for r in ours if r[3] == "None"})
-    frame = pages.toPandas()  # noqa: F841  (read by name)
-    duck.execute("create or replace temp view pages as select page_id, url, html from frame")
-    assert sorted((r[0], r[1], r[2], str(r[3]), r[4]) for r in duck.execute(url_filters.oracle()).fetchall()) == ours
+    own = duckdb.connect()  # a view of the same name would stay on the session's connection
+    own.register("pages", pages.select("page_id", "url", "html").toArrow())
+    assert sorted((r[0], r[1], r[2], str(r[3]), r[4]) for r in own.execute(url_filters.oracle()).fetchall()) == ours
 
 
 def test_judge_of_nothing(spark):
