@@ -13,7 +13,8 @@ hash of doc_id; every row and every whole text is scored.
 Edge cases: null and empty texts get the score of a text without words; without a confirmed toxic
 or an unlabelled document to learn from, every score is 0; a document with several labels is toxic if
 one says so; repeated rows score alike; an empty table gives no rows; columns other than doc_id and
-text (and doc_id and toxic of the labels) are ignored.
+text (and doc_id and toxic of the labels) are ignored; a null label is none; documents are chosen by id before any text is read, and a
+very long text is one document like the others, counted whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, slices, table, texts_of, unit_hash
+from .common import Scratch, few, held_out, slices, table, texts_of, unit_hash
 
 POSITIVES, UNLABELLED, SEED = 2_500, 7_500, 411
 BUCKETS, PREFIXES, PAD_WORDS, SCALE = 1 << 17, (4, 5, 6, 7), 8, 100.0
@@ -50,6 +51,19 @@ def telling(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
     return (z >= LEAST_Z) & (np.maximum(p, u) >= LEAST_SHARE)
 
 
+def risk_and_slopes(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Of logistic loss on margins f: the positives' part of the risk, the corrected unlabelled part, and the direction to descend by.
+
+    Where the second part is below zero, which no true risk can be, the direction climbs back on it alone.
+    """
+    n_p, n_u = positive.sum(), (~positive).sum()
+    p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    plus, minus = np.logaddexp(0, -f), np.logaddexp(0, f)
+    negative = minus[~positive].mean() - prior * minus[positive].mean()
+    down = np.where(positive, -prior * p / n_p, p / n_u)
+    return prior * plus[positive].mean(), negative, down + np.where(positive, -prior * (1 - p) / n_p, 0) if negative >= 0 else -down
+
+
 def words_of(text: str) -> Counter:
     return Counter(TOKEN.findall(text.lower()))
 
@@ -76,11 +90,7 @@ class PositiveUnlabelled:
         m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
         for step in range(1, STEPS + 1):
             f = np.bincount(of, weights=value * w[index], minlength=len(rows)) + b
-            p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            minus = np.logaddexp(0, f)
-            negative = minus[~positive].mean() - prior * minus[positive].mean()
-            down = np.where(positive, -prior * p / n_p, p / n_u)
-            g = down + np.where(positive, -prior * (1 - p) / n_p, 0) if negative >= 0 else -down
+            _, _, g = risk_and_slopes(f, positive, prior)
             grad = np.bincount(index, weights=value * g[of], minlength=BUCKETS) + DECAY * w
             gb = g.sum()
             m += 0.1 * (grad - m)
@@ -125,17 +135,19 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PositiveUnlabelled:
     """Fit on the learning folds. One pass over the texts writes the sample's features; how many documents of either side have a
     bucket is summed next to them, and only telling buckets reach the driver."""
-    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    learning = ~held_out(F.col("doc_id"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learning).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
-    rest = docs.filter(~held_out(F.col("doc_id"))).count() - n
+    rest = docs.filter(learning).count() - n
     if not toxic or docs.isEmpty():
         return PositiveUnlabelled()
     prior = min(0.9, toxic / n)
     rate_p, rate_u = positives / toxic, unlabelled / max(1, rest)
     u = unit_hash(F.col("doc_id"), SEED)
-    near = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & (u < max(rate_p, rate_u)))
-    picked = near.join(known.filter(unit_hash(F.col("doc_id"), SEED) < max(rate_p, rate_u)), "doc_id", "left")
-    picked = picked.filter(F.when(F.col("toxic") == 1, u < rate_p).otherwise(F.col("toxic").isNull() & (u < rate_u)))
+    sure = known.filter((F.col("toxic") == 1) & (u < rate_p)).select("doc_id", F.lit(True).alias("positive"))
+    open_ = docs.select("doc_id").filter(learning & F.col("doc_id").isNotNull() & (u < rate_u)).distinct().join(known, "doc_id", "left_anti")
+    chosen = scratch.write(sure.unionByName(open_.withColumn("positive", F.lit(False))), "chosen")
+    picked = docs.select("doc_id", "text").join(few(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
@@ -144,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, positives: int =
             yield pa.record_batch([b.column("doc_id"), b.column("positive"), *columns], ["doc_id", "positive", "buckets", "shares"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    sample = picked.select("doc_id", "text", F.col("toxic").isNotNull().alias("positive"))
+    sample = picked.select("doc_id", "text", "positive")
     sample = scratch.write(sample.mapInArrow(features, f"doc_id {kind}, positive boolean, buckets binary, shares binary"), "sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

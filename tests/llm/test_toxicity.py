@@ -43,6 +43,25 @@ def test_scores_agree_with_document_features():
         assert model.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(f, -30, 30))), abs=1e-4)
 
 
+def test_risk_and_its_slopes_by_hand():
+    """The estimator written out, and its slopes by differences; below zero the corrected part alone climbs."""
+    rng = np.random.default_rng(6)
+    for prior, shift in ((0.2, 0.0), (0.6, 0.0), (0.9, 3.0)):
+        positive = rng.random(40) < 0.4
+        f = rng.normal(size=40) + np.where(positive, shift, -shift)
+        loss = lambda z: np.log1p(np.exp(-z))
+        plus = lambda f: prior * sum(loss(x) for x in f[positive]) / positive.sum()
+        rest = lambda f: sum(loss(-x) for x in f[~positive]) / (~positive).sum() - prior * sum(loss(-x) for x in f[positive]) / positive.sum()
+        first, second, slopes = toxicity.risk_and_slopes(f, positive, prior)
+        assert first == pytest.approx(plus(f)) and second == pytest.approx(rest(f))
+        assert (second < 0) == (shift > 0)
+        whole = (lambda f: plus(f) + rest(f)) if second >= 0 else (lambda f: -rest(f))
+        for i in range(40):
+            step = np.zeros(40)
+            step[i] = 1e-5
+            assert slopes[i] == pytest.approx((whole(f + step) - whole(f - step)) / 2e-5, abs=1e-7)
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 0), (4, 1), (7, 0), (99, 1)], "doc_id long, toxic int")
