@@ -5,10 +5,11 @@ n-grams; the language whose codeword has the least logistic loss against the cla
 wins, and a small gap to the runner-up flags ambiguity.
 
 The classifiers learn from a bounded sample: about PER_LANGUAGE documents of each language, chosen
-by a hash of doc_id, and LARGEST in all. Everything else reads every row and every whole text.
+by a hash of doc_id, and 2 * LARGEST rows in all, the first by another hash. Everything else reads every row and every whole text.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing
-can be learned. A single learned language is always predicted, with score 1. Repeated rows get equal
+can be learned. Languages at the same loss go to the first by name. A very long text is counted whole, alone, in memory
+that follows its length. A single learned language is always predicted, with score 1. Repeated rows get equal
 results, an empty table no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -117,10 +118,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, largest: int = LARG
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = gram_features(b.column("text").to_pylist()).astype(np.float16)
-            yield pa.record_batch([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.record_batch([b.column("at"), b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["at", "lang", "x"])
 
-    picked = rows.filter(unit_hash(F.col("doc_id"), SEED) < rate[F.col("lang")])
-    got = picked.mapInArrow(features, "lang string, x binary").limit(2 * largest).toArrow()
+    picked = rows.filter(unit_hash(F.col("doc_id"), SEED) < rate[F.col("lang")]).select(F.xxhash64("doc_id", F.lit(SEED + 1), "text").alias("at"), "lang", "text")
+    got = picked.mapInArrow(features, "at long, lang string, x binary").orderBy("at", "lang").limit(2 * largest).toArrow()
     if not got.num_rows:
         return OutputCodes()
     langs = got.column("lang").to_pylist()
@@ -133,7 +134,7 @@ def identify(docs: DataFrame, model: OutputCodes) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", most_rows=256):
+        for b in slices(batches, "text", most_bytes=1 << 20, most_rows=256):
             texts = b.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
             langs, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
