@@ -4,8 +4,9 @@ Rejected documents go (toxicity), one document of each near-duplicate group stay
 the mix repeats documents as often as it takes their words, and the last stage encodes them.
 
 Edge cases: a null or empty text is scored like one without words, is nobody's duplicate, has nothing to mask, is kept
-once by the mix and has no ids; a row without doc_id is nobody's duplicate; equal texts under several ids leave the smallest
-id; columns beyond those of documents pass through unchanged, whatever their names; an empty table gives no rows.
+once by the mix and has no ids; a row without doc_id is nobody's duplicate; near-duplicates (five-word shingles, similarity 0.8)
+leave the row of the smallest id, and of several rows with words under that id one; columns beyond those of documents pass
+through unchanged, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, near_dup, pii, sentencepiece_spans, toxicity
-from lodestone.llm.common import Scratch, fresh, table
-
-BROADCAST_IDS = 1_000_000
+from lodestone.llm.common import Scratch, bound_batches, few, fresh, n_words, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "stage5")
-    gone = scratch.write(near_dup.near_duplicates(docs, scratch).filter("not kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch, names = Scratch(spark, "stage5"), docs.columns
+    found = scratch.write(near_dup.near_duplicates(docs, scratch).select("doc_id", "n_shingles", "kept"), "found")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    repeated = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    left = docs.join(few(gone), "doc_id", "left_anti").select(*names)
+    again = left.join(few(repeated), "doc_id", "left_semi").select(*names)
+    row = F.to_json(F.struct(*names))
+    one = again.filter(n_words(F.col("text")) > 0).groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64(row), row)).alias("row"))
+    single = left.join(few(repeated), "doc_id", "left_anti").select(*names)
+    return single.unionByName(one.select("row.*")).unionByName(again.filter(n_words(F.col("text")) == 0))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the decoded text."""
+    bound_batches(spark)
     return sentencepiece_spans.digests(docs, sentencepiece_spans.default_path(), ids=True)
 
 
