@@ -131,13 +131,26 @@ def word_spans(text: str) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def joined(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' codes behind each other, a 0 after each text, and where each text starts."""
+    codes, zero = [words.codes(t) for t in texts], np.zeros(1, np.uint64)
+    return np.concatenate([x for c in codes for x in (c, zero)] or [zero]), np.cumsum([0, *(len(c) + 1 for c in codes)])[:-1]
+
+
+def by_text(at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text with rows of at (places in joined codes), and those rows."""
+    of = np.searchsorted(starts, at, side="right") - 1
+    order = np.argsort(of, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(rows):
+            yield int(of[rows[0]]), rows
+
+
 def slots(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The patterns, two-before and around, of fillers from word first to word last (inclusive); 0 where words are missing."""
-    n = len(codes)
-    at = lambda i: codes[np.clip(i, 0, max(0, n - 1))]
-    two = np.where(first >= 2, _mix(_mix(at(first - 2), at(first - 1)), TWO_BEFORE), np.uint64(0))
-    around = np.where((first >= 1) & (last + 1 < n), _mix(_mix(at(first - 1), at(last + 1)), AROUND), np.uint64(0))
-    return two, around
+    inside = lambda i: np.where((i >= 0) & (i < len(codes)), codes[np.clip(i, 0, max(0, len(codes) - 1))], np.uint64(0))
+    second, one, after = inside(first - 2), inside(first - 1), inside(last + 1)
+    return np.where((second != 0) & (one != 0), _mix(_mix(second, one), TWO_BEFORE), np.uint64(0)), np.where((one != 0) & (after != 0), _mix(_mix(one, after), AROUND), np.uint64(0))
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -146,14 +159,18 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def fillers(codes: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """pattern, first, last of every filling of a slot among patterns (ascending). Two words before are filled by the next word."""
-    found, n = [], len(codes)
-    for size in range(1, FILL + 1):
-        first = np.arange(1, max(1, n - size + 1))
-        two, around = slots(codes, first, first + size - 1)
-        for keys in (two, around) if size == 1 else (around,):
-            hit = np.flatnonzero((keys != 0) & _among(keys, patterns))
-            found.append((keys[hit], first[hit], first[hit] + size - 1))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    found, n, gaps = [], len(codes), np.concatenate([[0], np.cumsum(codes == 0)])
+
+    def keep(keys: np.ndarray, before: int, size: int, after: int) -> None:
+        hit = np.flatnonzero(_among(keys, patterns))
+        hit = hit[gaps[hit + before + size + after] == gaps[hit]]  # no text ends inside
+        found.append((keys[hit], hit + before, hit + before + size - 1))
+
+    if n > 2:
+        keep(_mix(_mix(codes[:-2], codes[1:-1]), TWO_BEFORE), 2, 1, 0)
+    for size in range(1, min(FILL, n - 2) + 1):
+        keep(_mix(_mix(codes[: n - size - 1], codes[size + 1 :]), AROUND), 1, size, 1)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def instance_keys(codes: np.ndarray, size: int) -> np.ndarray:
@@ -229,9 +246,8 @@ def slot_totals(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros(len(patterns), np.int64)
-        for b in slices(batches, "text"):
-            for text in texts_of(b, "text"):
-                np.add.at(total, np.searchsorted(patterns, fillers(words.codes(text), patterns)[0]), 1)
+        for b in slices(batches, "text", most_bytes=1 << 20):
+            np.add.at(total, np.searchsorted(patterns, fillers(joined(texts_of(b, "text"), words)[0], patterns)[0]), 1)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(_signed(patterns[seen])), pa.array(total[seen])], ["pattern", "n"])
 
@@ -243,16 +259,15 @@ def slot_fillers(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in slices(batches, "text"):
-            found = []
-            for text in texts_of(b, "text"):
-                codes = words.codes(text)
-                _, first, last = fillers(codes, patterns)
-                if len(first):
-                    free, _ = outside_base(text, first, last)
-                    for size in range(1, FILL + 1):
-                        rows = free & (last - first + 1 == size)
-                        found.append((np.unique(instance_keys(codes, size)[first[rows]]), size))
+        for b in slices(batches, "text", most_bytes=1 << 20):
+            texts, found = texts_of(b, "text"), []
+            codes, starts = joined(texts, words)
+            _, first, last = fillers(codes, patterns)
+            free = np.zeros(len(first), bool)
+            for i, rows in by_text(first, starts):
+                free[rows] = outside_base(texts[i], first[rows] - starts[i], last[rows] - starts[i])[0]
+            for size in range(1, FILL + 1):
+                found.append((np.unique(instance_keys(codes, size)[first[free & (last - first + 1 == size)]]), size))
             if sum(len(k) for k, _ in found):
                 yield pa.record_batch([pa.array(_signed(np.concatenate([k for k, _ in found]))), pa.array(np.concatenate([np.full(len(k), size, np.int32) for k, size in found]))], ["instance", "size"])
 
@@ -264,16 +279,19 @@ def instance_edges(docs: DataFrame, instances: np.ndarray, sizes: list[int]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in slices(batches, "text"):
-            pairs = []
-            for text in texts_of(b, "text"):
-                codes = words.codes(text)
-                for size in sizes:
-                    keys = instance_keys(codes, size)
-                    first = np.flatnonzero(_among(keys, instances))
-                    if len(first):
-                        first = first[outside_base(text, first, first + size - 1)[0]]
-                        pairs += [(keys[first][slot != 0], slot[slot != 0]) for slot in slots(codes, first, first + size - 1)]
+        for b in slices(batches, "text", most_bytes=1 << 20):
+            texts, pairs = texts_of(b, "text"), []
+            codes, starts = joined(texts, words)
+            gaps = np.concatenate([[0], np.cumsum(codes == 0)])
+            for size in sizes:
+                keys = instance_keys(codes, size)
+                first = np.flatnonzero(_among(keys, instances))
+                first = first[gaps[first + size] == gaps[first]]
+                free = np.zeros(len(first), bool)
+                for i, rows in by_text(first, starts):
+                    free[rows] = outside_base(texts[i], first[rows] - starts[i], first[rows] - starts[i] + size - 1)[0]
+                first = first[free]
+                pairs += [(keys[first][slot != 0], slot[slot != 0]) for slot in slots(codes, first, first + size - 1)]
             if pairs:
                 keys, at = (np.concatenate(x) for x in zip(*pairs))
                 yield pa.record_batch([pa.array(_signed(keys)), pa.array(_signed(at))], ["instance", "pattern"])
@@ -342,28 +360,24 @@ def discovered(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
 def _marked(rows: DataFrame, kind: str, patterns: np.ndarray, told: dict, instances: np.ndarray) -> DataFrame:
     span = pa.list_(pa.struct([("confidence", pa.float64()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def spans_in(text: str, words: Words) -> list[dict]:
-        codes = words.codes(text)
-        slot, first, last = fillers(codes, patterns)
-        if not len(first):
-            return []
-        ok = np.zeros(len(first), bool)
-        for size in range(1, FILL + 1):
-            mine = last - first + 1 == size
-            ok[mine] = _among(instance_keys(codes, size)[first[mine]], instances)
-        slot, first, last = slot[ok], first[ok], last[ok]
-        if not len(first):
-            return []
-        free, at = outside_base(text, first, last)
-        return [dict(zip(("kind", "confidence"), told[int(p)])) | {"start": int(at[f, 0]), "end": int(at[e, 1])} for p, f, e, x in zip(slot, first, last, free) if x]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in slices(batches, "text"):
-            found = [spans_in(text, words) for text in texts_of(b, "text")]
-            kept = [i for i, x in enumerate(found) if x]
-            if kept:
-                yield pa.record_batch([b.column("doc_id").take(pa.array(kept)), b.column("text_key").take(pa.array(kept)), pa.array([found[i] for i in kept], span)], ["doc_id", "text_key", "more"])
+        for b in slices(batches, "text", most_bytes=1 << 20):
+            texts, found = texts_of(b, "text"), {}
+            codes, starts = joined(texts, words)
+            slot, first, last = fillers(codes, patterns)
+            ok = np.zeros(len(first), bool)
+            for size in range(1, FILL + 1):
+                mine = last - first + 1 == size
+                ok[mine] = _among(instance_keys(codes, size)[first[mine]], instances)
+            slot, first, last = slot[ok], first[ok], last[ok]
+            for i, rows in by_text(first, starts):
+                free, at = outside_base(texts[i], first[rows] - starts[i], last[rows] - starts[i])
+                spans = [dict(zip(("kind", "confidence"), told[int(slot[r])])) | {"start": int(at[first[r] - starts[i], 0]), "end": int(at[last[r] - starts[i], 1])} for r in rows[free]]
+                if spans:
+                    found[i] = spans
+            if found:
+                yield pa.record_batch([b.column("doc_id").take(pa.array(list(found))), b.column("text_key").take(pa.array(list(found))), pa.array(list(found.values()), span)], ["doc_id", "text_key", "more"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, more array<struct<confidence:double,kind:int,start:int,end:int>>")
 
@@ -434,7 +448,7 @@ def masked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     met = _with_more(docs, scratch, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", most_bytes=1 << 20):
             texts = b.column("text").to_pylist()
             done = [t if t is None else masked_text(t, m) for t, m in zip(texts, b.column(extra).to_pylist())]
             new = {"text": pa.array(done, pa.string())}
