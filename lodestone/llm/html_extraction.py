@@ -11,6 +11,9 @@ per Python process that asks for them.
 Blocks are block-level elements' own text: white space becomes one space, the ends are trimmed and
 empty blocks vanish; a <br> is white space.
 
+Scripts, styles and their kin, form controls and drawings are never text; all else is left to the trees. Every step is linear in a page's
+length, however its tags nest or stray.
+
 Edge cases: null, empty and tag-free html without words gives an empty text; text outside any element
 belongs to the body; unclosed and cut-off markup is closed at the end, and a cut-off tag is dropped;
 repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
@@ -32,8 +35,8 @@ from .common import slices, table, texts_of
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-NEVER = frozenset("script style title textarea noscript template iframe noembed noframes head select option button svg math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
+NEVER = frozenset("script style title textarea noscript template iframe noembed noframes head select option button svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img object canvas audio video meter progress output math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
 #: What an opening tag ends, and the elements that stop the search for it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"})}
@@ -66,11 +69,33 @@ class Node:
         self.tag, self.parent, self.children, self.tokens, self.texts = tag, parent, [], tokens, 0
 
 
+class Chain:
+    """The open elements, and for each tag where it stands among them, so that no search walks the tree."""
+
+    def __init__(self, root: Node):
+        self.open, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags; 0, the root's, without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at the place, and all inside it."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
-    """The page's tree. A child is a Node or a text, in page order."""
-    root = node = Node("html", None)
+    """The page's tree. A child is a Node or a text, in page order. An end tag of nothing open is passed over."""
+    root = Node("html", None)
+    chain, blocks, has_body = Chain(root), [0], False  # blocks: the places of open elements that aren't inline
     at, n = 0, len(page)
     while at < n:
+        node = chain.open[-1]
         m = MARK.search(page, at)
         if not m:
             rest = page[at:]
@@ -83,40 +108,39 @@ def parse(page: str) -> Node:
         if not tag or m[0][-1] != ">":
             continue
         tag = tag.lower()
+        place = 0
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            place = chain.last((tag,))
+        elif tag == "html" or tag == "body" and has_body:
             continue
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(c, Node) and c.tag == "body" for c in root.children)):
+        else:
+            if tag in ENDS:
+                ended, stops = ENDS[tag]
+                place = chain.last(ended)
+                place = place if place > chain.last(stops) else 0
+            if tag in CLOSES_P and not place and chain.open[blocks[-1]].tag == "p":
+                place = blocks[-1]
+        if place:
+            chain.close(place)
+            while blocks[-1] >= place:
+                blocks.pop()
+            node = chain.open[-1]
+        if m[1]:
             continue
-        stops = ENDS.get(tag)
-        up = node
-        if stops:
-            while up is not root and up.tag not in stops[0] and up.tag not in stops[1]:
-                up = up.parent
-            if up.tag in stops[0]:
-                node = up.parent
-        if tag in CLOSES_P:
-            up = node
-            while up is not root and (up.tag in INLINE or up.tag == "p"):
-                if up.tag == "p":
-                    node = up.parent
-                    break
-                up = up.parent
         tokens = ()
         if "=" in m[3]:
             tokens = tuple(t for a in ATTRIBUTE.finditer(m[3]) for t in TOKENS.findall((a[2] or a[3] or a[4] or "").lower()))
         child = Node(tag, node, tokens)
         node.children.append(child)
+        has_body |= tag == "body" and node is root
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             child.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            node = child
+            if tag not in INLINE:
+                blocks.append(len(chain.open))
+            chain.push(child)
     return root
 
 

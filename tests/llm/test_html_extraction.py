@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,18 @@ def test_small_pages(page, expected):
     assert hx.extract([page], hx.trained()) == [expected]
 
 
+@pytest.mark.parametrize("page", ["<b>" * 250_000 + "x</i>" * 50_000, "<div>" * 100_000 + "<li>x</li>" * 50_000, "<p><div>" + "<b>" * 100_000 + "<div>y</div>" * 50_000, "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 50_000])
+def test_parsing_stray_and_nested_tags_is_linear(page):
+    began = time.process_time()
+    hx.parse(page)
+    assert time.process_time() - began < 5
+
+
+def test_formulas_and_media_text_inside_an_article_stay():
+    page = "<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Sums</h1><p>We see <math><mi>x</mi></math> here, and it is a long enough sentence to be kept.</p><p>Another <object>fallback</object> sentence stands here, with some more words.</p></article></body>"
+    assert hx.extract([page], hx.trained()) == ["Sums\nWe see x here, and it is a long enough sentence to be kept.\nAnother fallback sentence stands here, with some more words."]
+
+
 def test_dropped_parents_drop_their_children():
     root = hx.parse("<body><nav><p>a</p><div><p>b</p></div></nav><article><p>c</p></article></body>")
     nodes, _ = hx.scored_nodes(root)
