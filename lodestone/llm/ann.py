@@ -7,10 +7,11 @@ within a larger ratio of its own nearest, and scores their vectors exactly, in d
 FIRST_VISITS nearest lists give a bound, its k-th best score so far; the others yield what reaches it.
 
 Inner product becomes distance by one more coordinate, which brings every vector to the largest norm; a
-query's is 0. Lists are cut into parts of PART vectors, by a hash, so that no list, however
-full of copies, is scored in one task.
+query's is 0. Lists are cut into parts of PART vectors, and the queries that visit one into parts of PART
+queries, by hashes, so that no list, however full of copies or however often visited, is scored in one task.
 
-Only the sample (SAMPLE rows, at most) and the centroids (LISTS, at most) reach the driver.
+There are as many lists as the square root of the vectors, so that a list grows as slowly as their number; a sample of SAMPLE
+rows gives LISTS of them at most. Only the sample and the centroids reach the driver.
 
 Edge cases: vectors that are null, zero, of another length than most of the sample, or hold a null
 or non-finite component take no part; ties go to the smaller vec_id; rows of one vec_id are
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, unit_hash
+from .common import Scratch, table
 
-SAMPLE, LISTS, LIST_SIZE, PART, SEED = 20_000, 2_048, 512, 4_096, 77
+SAMPLE, LISTS, PART, SEED = 40_000, 4_096, 4_096, 77
 STORE_RATIO, STORE_LISTS, ROUNDS, NEIGHBOURS, BEAM = 1.05, 4, 8, 16, 64
 VISIT_RATIO, LEAST_VISITS, FIRST_VISITS = 1.25, 24, 8
 
@@ -140,16 +141,18 @@ def neighbour_graph(points: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame) -> Centroids | None:
-    """Centroids from a bounded sample; about LIST_SIZE vectors a list, LISTS at most."""
+    """Centroids from a bounded sample, the first rows by a hash: the square root of the vectors, LISTS at most."""
     n, norm = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)))).first()
     if not n:
         return None
-    picked = vectors.filter(unit_hash(F.col("vec_id"), SEED) < min(1.0, SAMPLE / n)).select("vec_id", F.transform("embedding", lambda v: v.cast("float")).alias("e")).limit(2 * SAMPLE)
-    rows = sorted(picked.collect()) or sorted(vectors.select("vec_id", F.col("embedding").alias("e")).limit(1).collect())
-    dim = pd.Series([len(r["e"]) for r in rows]).mode()[0]
-    x = np.array([r["e"] for r in rows if len(r["e"]) == dim], np.float64)
+    picked = vectors.select(F.xxhash64("vec_id", F.lit(SEED), "embedding").alias("at"), F.transform("embedding", lambda v: v.cast("float")).alias("e"))
+    rows = picked.filter(F.shiftrightunsigned("at", 11) / float(1 << 53) < min(1.0, 0.9 * SAMPLE / n)).orderBy("at", "e").limit(SAMPLE).toArrow()
+    rows = rows.column("e") if rows.num_rows else picked.orderBy("at", "e").limit(1).toArrow().column("e")
+    lengths = pa.compute.list_value_length(rows)
+    dim = int(pd.Series(lengths.to_numpy()).mode()[0])
+    x = rows.filter(pa.compute.equal(lengths, dim)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     out = Centroids(x[:1], np.zeros((1, 1), np.int64), float(norm))
-    points = balanced_centroids(out.lift(x), int(np.clip(n // LIST_SIZE, 1, min(LISTS, len(x)))))
+    points = balanced_centroids(out.lift(x), int(np.clip(round(n**0.5), 1, min(LISTS, len(x)))))
     out.points, out.links = points, neighbour_graph(points)
     return out
 
@@ -184,16 +187,19 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
     if index is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     stored = scratch.write(placed(vectors, index, False).drop("turn"), "postings")
-    parts = stored.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    stored = stored.join(parts, "list").select("list", part.alias("part"), "vec_id", "embedding")
-    asked = scratch.write(placed(queries, index, True), "visits").join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = scratch.write(placed(queries, index, True), "visits")
+    counted = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    parts = counted(stored, "parts").join(counted(asked, "askers"), "list")
+    numbers = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda name: F.pmod(F.xxhash64("vec_id"), F.col(name)).cast("int")
+    stored = stored.join(parts, "list").select("list", own("parts").alias("part"), numbers("askers").alias("asker"), "vec_id", "embedding")
+    asked = asked.join(parts, "list").select("list", numbers("parts").alias("part"), own("askers").alias("asker"), "vec_id", "embedding", "turn")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": left.column("vec_id").slice(0, 0), "vec_id": left.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        matrix = lambda t: np.array(t.column("embedding").to_pylist(), np.float64)
+        matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         ids, asking = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, candidates, got = ids[order], matrix(right)[order], []
@@ -214,8 +220,9 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 20
         return pa.table({n: np.concatenate([g[i] for g in got]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     def visit(asking: DataFrame) -> DataFrame:
-        asking = asking.select("list", "part", "vec_id", "embedding", "bound")
-        return asking.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInArrow(scored, out.format(kind))
+        asking = asking.select("list", "part", "asker", "vec_id", "embedding", "bound")
+        key = ("list", "part", "asker")
+        return asking.groupBy(*key).cogroup(stored.groupBy(*key)).applyInArrow(scored, out.format(kind))
 
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     first = visit(asked.filter(F.col("turn") < FIRST_VISITS).withColumn("bound", F.lit(float("-inf"))))

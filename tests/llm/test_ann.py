@@ -30,7 +30,7 @@ def frame(spark, x, ids):
 
 @pytest.mark.parametrize("norms", [False, True])
 def test_recall_and_exact_scores(spark, monkeypatch, norms):
-    monkeypatch.setattr(ann, "LIST_SIZE", 64)
+    monkeypatch.setattr(ann, "PART", 100)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 24)) * 0.7
     x *= rng.uniform(0.3, 3, (3000, 1)) if norms else 1 / np.linalg.norm(x, axis=1, keepdims=True)
@@ -46,6 +46,18 @@ def test_recall_and_exact_scores(spark, monkeypatch, norms):
         assert rows == sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, size):
+    """Every row whose id is divisible by 50 against all rows, at two sizes."""
+    vectors = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = vectors.filter(ann.usable("embedding")).select("vec_id", "embedding").toArrow()
+    ids, x = rows.column("vec_id").to_numpy(), np.array(rows.column("embedding").to_pylist(), np.float64)
+    expected = brute(x, ids, np.flatnonzero(ids % 50 == 0), 20)
+    got = found(ann.search(vectors, vectors.filter("vec_id % 50 = 0"), Scratch(spark, "t")))
+    assert got.keys() == expected.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) / 20 for q in expected]) >= 0.95
+
+
 def test_copies_and_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 50)
     rng = np.random.default_rng(8)
