@@ -373,3 +373,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_near_duplicates": op5_near_duplicates}
+#: Exact pairs by a join on shingles, and components by a closure over links: for small tables.
+ORACLES = {
+    "op5_near_duplicates": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end)) as g from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b using (g) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (select doc_id as id, doc_id as root from documents union select links.b, r.root from r join links on links.a = r.id)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.root) as component_id, d.doc_id = min(r.root) as kept from documents d join r on r.id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id"""
+}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -116,3 +117,12 @@ def test_minhash_shares_estimate_similarity():
     sk = near_dup.sketches([np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))])
     assert abs((sk[0] == sk[1]).mean() - 0.8) < 0.2
     assert near_dup.table_keys(sk).shape == (2, near_dup.HALVES**2)
+
+
+def test_query_equals_its_sql(spark):
+    path = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{path}/documents.parquet'")
+    theirs = sorted(duck.execute(near_dup.ORACLES["op5_near_duplicates"]).fetchall())
+    got = near_dup.op5_near_duplicates(spark, path)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and sorted(map(tuple, got.collect())) == theirs
