@@ -1,75 +1,90 @@
-"""HTML parsed by the standard library, for texts that patterns can't take apart: unclosed tags, tags inside scripts."""
+"""HTML parsed by the standard library, for pages that patterns can't take apart: unclosed tags, tags inside scripts.
+
+Only the parsing is Python: it returns a page's text nodes in Arrow batches, and column functions do the rest.
+"""
 
 from __future__ import annotations
 
-import html
-import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from . import lexicon as L
+from .text import collapse, layout, strip, text_of, unescape
 
 # Elements whose whole content is left out, by the kind of reading.
 MAIN_DROPPED = frozenset(("script", "style", "nav", "header", "footer", "aside", "form"))
+LEGACY_DROPPED = frozenset(("script", "style", "nav", "header", "footer", "aside"))
 FLAT_DROPPED = frozenset(("script", "style", "nav", "header", "footer"))
 NO_CONTENT = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 
 
-class _Texts(HTMLParser):
+class _Nodes(HTMLParser):
     """Text nodes outside dropped elements. A dropped element ends with its own end tag, or that of an element around it."""
 
     def __init__(self, dropped: frozenset):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.open, self.texts = dropped, [], []
+        self.dropped, self.path, self.count, self.hidden, self.nodes = dropped, [], Counter(), 0, []
 
     def handle_starttag(self, tag, attrs):
         if tag not in NO_CONTENT:
-            self.open.append(tag)
+            self.path.append(tag)
+            self.count[tag] += 1
+            self.hidden += tag in self.dropped
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+        while self.count[tag]:
+            last = self.path.pop()
+            self.count[last] -= 1
+            self.hidden -= last in self.dropped
+            if last == tag:
+                return
 
     def handle_data(self, data):
-        if not self.dropped.intersection(self.open):
-            self.texts.append(data)
+        if not self.hidden:
+            self.nodes.append(data)
 
 
-def texts(page: str | None, dropped: frozenset) -> list[str]:
-    parser = _Texts(dropped)
-    parser.feed(page or "")
-    parser.close()
-    return parser.texts
+def _nodes(dropped: frozenset):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            found = []
+            for page in pages:
+                parser = _Nodes(dropped)
+                parser.feed(page or "")
+                parser.close()
+                found.append(parser.nodes)
+            yield pd.Series(found, dtype=object)
 
+    return run
 
-def layout(text: str) -> str:
-    text = text.replace("\xa0", " ").replace("\ufeff", "")
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))).strip()
 
+def main_text(html: str) -> Column:
+    """A node a line, with the page's layout."""
+    return layout(F.array_join(_nodes(MAIN_DROPPED)(html), "\n"))
 
-def flattened(page: str | None, dropped: frozenset = FLAT_DROPPED) -> str:
-    """All phrases (parted by line ends and double spaces) in one line."""
-    phrases = (p.strip() for line in "".join(texts(page, dropped)).splitlines() for p in line.strip().split("  "))
-    return " ".join(p for p in phrases if p)
 
+def _phrases(html: str, dropped: frozenset) -> Column:
+    """Line ends and double spaces part phrases; the phrases that aren't blank make one line."""
+    parted = F.regexp_replace(F.array_join(_nodes(dropped)(html), ""), f"{L.LINE_END}|\\n", "  ")
+    return F.array_join(F.filter(F.transform(F.split(parted, "  "), strip), lambda x: x != ""), " ")
 
-def one_line(fragment: str | None) -> str:
-    """An escaped fragment as one line: references first, then tags, then white space."""
-    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", html.unescape(fragment or "")))).strip()
 
+def flat_text(html: str) -> Column:
+    return _phrases(html, FLAT_DROPPED)
 
-def _udf(f):
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([f(x) for x in s], dtype=object)
 
-    return run
+def legacy_text(html: str) -> Column:
+    """The older reading: sidebars go too, spaces are evened, and nothing left is null."""
+    return F.nullif(layout(_phrases(html, LEGACY_DROPPED)), F.lit(""))
 
 
-main_text = _udf(lambda x: layout("\n".join(texts(x, MAIN_DROPPED))))
-flat_text = _udf(flattened)
-line_text = _udf(one_line)
+def line_text(fragment: Column) -> Column:
+    """An escaped fragment as one line: references first, then tags, then white space."""
+    return collapse(unescape(F.regexp_replace(unescape(text_of(fragment)), "<[^>]+>", " ")))

@@ -30,6 +30,30 @@ def messages(system: Column, prompt: Column, images: Column | None = None) -> Co
     return F.concat(F.lit("["), F.when(is_blank(system), "").otherwise(F.concat(system_json, F.lit(","))), user_json, F.lit("]"))
 
 
+def local_prompt(system: Column, prompt: Column) -> Column:
+    """The text that a local model completes: turns between its chat marks, the system's only if there is one."""
+    turn = lambda role, text: F.concat(F.lit(f"<|im_start|>{role}\n"), text_of(text), F.lit("<|im_end|>\n"))
+    return F.concat(F.when(text_of(system) == "", "").otherwise(turn("system", system)), turn("user", prompt), F.lit("<|im_start|>assistant\n"))
+
+
+def rendered_text(extracted: Column, shown: Column, least: int = 100) -> Column:
+    """The text extracted from a rendered page, else what the browser showed; null unless it has more than `least` characters."""
+    text = F.when(text_of(extracted) == "", shown).otherwise(extracted)
+    return F.when(F.length(strip(text_of(text))) > least, text)
+
+
+def attempt_log(attempts: DataFrame) -> DataFrame:
+    """page_id, attempts, tried, selected, status of fetch attempts (page_id, ord, method, content, quality, score, reason).
+
+    tried lists method, quality, score and content length in order; the selected method has content and the best score, the first of equals.
+    """
+    length = F.coalesce(F.length("content"), F.lit(0))
+    line = F.concat_ws(":", "method", "quality", F.coalesce(F.col("score").cast("string"), F.lit("-")), length.cast("string"))
+    tried = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x["t"]), ",")
+    selected = F.min_by(F.when(length > 0, F.col("method")), F.when(length > 0, F.struct(-F.coalesce("score", F.lit(-1)), "ord")))
+    return attempts.groupBy("page_id").agg(F.count("*").alias("attempts"), tried.alias("tried"), selected.alias("selected"), F.when(F.max(length) > 0, "success").otherwise("failed").alias("status"))
+
+
 def stage_prompt(task: Column, text: Column, today: Column) -> Column:
     """A stage's prompt: its task, the day that years are inferred from, and the text between rules."""
     return F.concat(task, F.lit("\nToday: "), F.date_format(today, "yyyy-MM-dd"), F.lit("\n---\n"), text_of(text), F.lit("\n---"))

@@ -25,6 +25,7 @@ SEARCHED = X.Fixture(
         (2, "web", 0, "A", "https://a.org", ""), (2, "web", 1, "B", "https://b.org", ""), (2, "web", 2, "C", "https://c.org", ""), (2, "second", 0, "D", "https://d.org", "email at late.org"), (2, "targeted", 0, "E", "https://e.org", ""), (3, "second", 0, "A", "https://a.org", ""), (3, "tool", 0, "B", "https://b.edu", ""), (3, "tool", 1, "B", "https://b.edu", "again"),
     ],
 )
+ATTEMPTS = X.Fixture("page_id long, ord int, method string, content string, quality string, score int, reason string", [(1, 0, "http", "short", "low", 10, "thin"), (1, 1, "tls", "a longer text", "good", 60, ""), (1, 2, "browser", "another text", "good", 60, ""), (2, 0, "http", None, "empty", 0, "no content"), (3, 0, "http", "x", "low", None, "n/a")])
 PICKED = X.Fixture("query_id long, rank int, url string", [(1, 1, "https://uni.edu/x"), (1, 2, "https://z.org"), (3, 1, "https://a.org")])
 
 
@@ -36,19 +37,49 @@ def flat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_html(spark, sf_dir).select("page_id", html_text.flat_text("html").alias("text"))
 
 
+def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_html(spark, sf_dir).select("page_id", html_text.legacy_text("html").alias("text"))
+
+
 def line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.FEEDS.frame(spark).select("source", html_text.line_text("xml").alias("text"))
+    return X.FEEDS.frame(spark).select("source", html_text.line_text(C("xml")).alias("text"))
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text is not null").select("conv_id", "turn", "role", "text")
     system = F.when(C("turn") % 2 == 0, F.lit("Answer in JSON."))
-    return turns.select("conv_id", "turn", assembly.wants_json(system, C("text")).alias("json_mode"), F.length(assembly.messages(system, C("role"))).cast("long").alias("size"), assembly.messages(system, C("role")).alias("messages"))
+    return turns.select("conv_id", "turn", assembly.wants_json(system, C("text")).alias("json_mode"), F.length(assembly.messages(system, C("text"))).cast("long").alias("size"), assembly.messages(system, C("text")).alias("messages"))
 
 
 def stage_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(assembly.stage_prompt(F.lit("Find the deadline."), assembly.trimmed(C("text"), 5000, "..."), F.lit("2024-05-01").cast("date"))).alias("prompt"))
+    return docs.select("doc_id", F.md5(assembly.stage_prompt(F.lit("Find the deadline."), C("text"), F.lit("2024-05-01").cast("date"))).alias("prompt"))
+
+
+def local_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of a local model, with a system text for every other document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", assembly.local_prompt(F.when(C("doc_id") % 2 == 0, F.lit("Answer in JSON.")), C("text")).alias("prompt"))
+
+
+def fetched_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search reads of a fetched page: its first 5,000 characters and a mark, as the feature has it."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", assembly.trimmed(C("text"), 5000, "...").alias("text"))
+
+
+def snapshot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 4,000 characters of a snapshot, as the feature has it."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", assembly.trimmed(C("text"), 4000).alias("context"))
+
+
+def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered page's text, or the browser's own where nothing was extracted, if it is long enough."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", assembly.rendered_text(F.when(C("doc_id") % 3 != 0, C("text")), C("text")).alias("text"))
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.attempt_log(ATTEMPTS.frame(spark))
 
 
 def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +128,7 @@ def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.catalogue_lines(X.PRICES.frame(spark))
 
 
-QUERIES = {f.__name__: f for f in (soup_text, flat_text, line_text, chat_messages, stage_prompts, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
+QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
 
 
 def _cascade() -> str:
@@ -134,10 +165,16 @@ def _nodes(dropped: tuple[str, ...], between: str = "chr(10)") -> str:
 ORACLES = {
     "soup_text": f"select page_id, {S.layout(_nodes(('script', 'style', 'nav', 'header', 'footer', 'aside', 'form')))} as text from {_HTML}",
     "flat_text": f"select page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_nodes(('script', 'style', 'nav', 'header', 'footer'), S.q(''))}, '{L.LINE_END}|\\n', '  ', 'g'), '  '), lambda x: {S.strip('x')}), lambda x: x <> ''), ' ') as text from {_HTML}",
+    "legacy_text": f"select page_id, nullif({S.layout("array_to_string(list_filter(list_transform(string_split(regexp_replace(" + _nodes(('script', 'style', 'nav', 'header', 'footer', 'aside'), S.q('')) + ", '" + L.LINE_END + "|\\n', '  ', 'g'), '  '), lambda x: " + S.strip('x') + "), lambda x: x <> ''), ' ')")}, '') as text from {_HTML}",
+    "local_prompt": "select doc_id, case when doc_id % 2 = 0 then '<|im_start|>system' || chr(10) || 'Answer in JSON.<|im_end|>' || chr(10) else '' end || '<|im_start|>user' || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from documents",
+    "fetched_page": "select doc_id, case when length(text) > 5000 then left(text, 5000) || '...' else text end as text from documents",
+    "snapshot_context": "select doc_id, left(text, 4000) as context from documents",
+    "rendered_text": f"select doc_id, case when length({S.strip("coalesce(text, '')")}) > 100 then text end as text from documents",
+    "attempt_log": f"select page_id, cast(count(*) as bigint) as attempts, string_agg(method || ':' || quality || ':' || coalesce(cast(score as varchar), '-') || ':' || coalesce(length(content), 0), ',' order by ord) as tried, arg_max(method, coalesce(score, -1) * 1000 - ord) filter (where coalesce(content, '') <> '') as selected, case when count_if(coalesce(content, '') <> '') > 0 then 'success' else 'failed' end as status from {ATTEMPTS.sql} group by page_id",
     "catalogue_lines": f"select vision, place, '| ' || concat_ws(' | ', '`' || name || '`', platform, input_price, output_price, note) || ' |' as line from ({_prices()})",
     "line_text": f"select source, {S.collapse(S.unescape("regexp_replace(" + S.unescape('xml') + ", '<[^>]+>', ' ', 'g')"))} as text from {X.FEEDS.sql}",
-    "chat_messages": "select conv_id, turn, contains(lower(if(turn % 2 = 0, 'Answer in JSON.', '') || text), 'json') as json_mode, cast(length(m) as bigint) as size, m as messages from (select *, '[' || if(turn % 2 = 0, '{\"role\":\"system\",\"content\":\"Answer in JSON.\"},', '') || '{\"role\":\"user\",\"content\":' || to_json(role) || '}]' as m from conversations where text is not null)",
-    "stage_prompts": "select doc_id, md5('Find the deadline.' || chr(10) || 'Today: 2024-05-01' || chr(10) || '---' || chr(10) || coalesce(case when length(text) > 5000 then left(text, 5000) || '...' else text end, '') || chr(10) || '---') as prompt from documents",
+    "chat_messages": "select conv_id, turn, contains(lower(if(turn % 2 = 0, 'Answer in JSON.', '') || text), 'json') as json_mode, cast(length(m) as bigint) as size, m as messages from (select *, '[' || if(turn % 2 = 0, '{\"role\":\"system\",\"content\":\"Answer in JSON.\"},', '') || '{\"role\":\"user\",\"content\":' || to_json(text) || '}]' as m from conversations where text is not null)",
+    "stage_prompts": "select doc_id, md5('Find the deadline.' || chr(10) || 'Today: 2024-05-01' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || '---') as prompt from documents",
     "joined_pages": f"select doc, string_agg('--- Page ' || page || ' ---' || chr(10) || {S.strip('text')}, chr(10) || chr(10) order by page) as text from {PAGED.sql} where page <= 10 and {S.strip(S.q('') + ' || coalesce(text, ' + S.q('') + ')')} <> '' group by doc",
     "block_texts": "select * from (values (cast(1 as bigint), 'ab', 'x' || chr(10) || 'z'), (2, '', '')) as v(id, lines, blocks)",
     "targeted_queries": _targeted(),

@@ -91,7 +91,7 @@ def chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = json_text.data_url(F.lit("text/plain"), F.left("text", F.lit(40)).cast("binary"))
+    url = json_text.data_url(F.lit("text/plain"), C("text").cast("binary"))
     kind, encoded = json_text.split_data_url(C("data_url"))
     return documents(spark, sf_dir).filter("text is not null").select("doc_id", url.alias("data_url")).select("doc_id", "data_url", kind.alias("media_type"), encoded.alias("encoded"))
 
@@ -369,7 +369,7 @@ select p.contact_id, case when doctors * 2 > pages then 'Dr.' when gender = 'mal
     "json_array": """select * from (values (cast(1 as bigint), '[]'), (2, '[]'), (3, '[]'), (4, '[1,2]'), (5, '[]'), (6, '[]'), (7, '[1,2]'), (8, '[{"a":1}]'), (9, '[]'), (10, '[]'), (11, '[]'), (12, '[]'), (13, '[]')) as v(id, found)""",
     "chat_text": f"""select id, case json_type(payload, '$.choices[0].message.content') when 'ARRAY' then array_to_string(list_transform(json_extract(payload, '$.choices[0].message.content[*]'), lambda x: coalesce(x->>'$.text', '')), '') else coalesce(payload->>'$.choices[0].message.content', '') end as chat,
 {S.strip("array_to_string(payload->>'$.output[*].content[*].text', chr(10))")} as response, {S.strip("array_to_string(payload->>'$.candidates[*].content.parts[*].text', chr(10))")} as candidates from {X.PAYLOADS.sql}""",
-    "data_urls": f"select doc_id, 'data:text/plain;base64,' || e as data_url, 'text/plain' as media_type, e as encoded from (select doc_id, base64(encode(left(text, 40))) as e from (select doc_id, text from documents union all select * from {X.TEXTS.sql}) where text is not null)",
+    "data_urls": f"select doc_id, 'data:text/plain;base64,' || e as data_url, 'text/plain' as media_type, e as encoded from (select doc_id, base64(encode(text)) as e from (select doc_id, text from documents union all select * from {X.TEXTS.sql}) where text is not null)",
     "stage_validate": f"""select id, case when {_EMPTY} then 'empty' when {_lacks(L.STAGE1_FIELDS)} then 'missing fields' else 'ok' end as facts, case when {_EMPTY} then 'empty' when not ({_ONES}) then 'not one' when {_GEO_N} = 0 then 'no direction' when {_GEO_N} > 3 then 'too many directions' else 'ok' end as flags,
 coalesce(len(list_filter({_keys()}, lambda k: not list_contains({X.literal(L.STAGE2_FIELDS)}, k))) = 0 and {_ONES} and {_GEO_N} between 1 and 3, false) as flags_strict,
 case when {_EMPTY} then 'empty' when {_lacks(L.STAGE3_FIELDS)} then 'missing fields' when {S.strip(f"coalesce({_field('WX_Label1')}, '')")} = '' then 'no label' else 'ok' end as labels from {_R}""",
