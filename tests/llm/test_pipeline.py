@@ -73,3 +73,11 @@ def test_stages_take_odd_tables(spark):
         assert pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
         if data:
             assert {r["doc_id"] for r in docs.collect()} >= {1, 2, 4} and 5 not in {r["doc_id"] for r in docs.collect()}
+
+
+def test_repeated_rows_leave_one(spark):
+    text = "a text of more than five words that stands here several times"
+    rows = [(3, text, "en", "a", 62), (3, text, "en", "a", 62), (3, "", "en", "a", 0), (3, "", "en", "a", 0), (8, text, "en", "b", 62), (None, text, "en", "b", 62), (9, "quite another text with words of its own", "en", "b", 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.drop_near_duplicates(spark, docs, DATA).collect()
+    assert sorted(((r["doc_id"] or -1), r["text"]) for r in out) == sorted([(3, text), (3, ""), (3, ""), (-1, text), (9, rows[-1][1])])
