@@ -30,6 +30,21 @@ def messages(system: Column, prompt: Column, images: Column | None = None) -> Co
     return F.concat(F.lit("["), F.when(is_blank(system), "").otherwise(F.concat(system_json, F.lit(","))), user_json, F.lit("]"))
 
 
+def request_body(model: Column, messages_json: Column, most_tokens: Column, temperature: Column, json_mode: Column) -> Column:
+    """The body of one chat call as JSON; a null temperature is left to the model."""
+    member = lambda name, value: F.concat(F.lit(f',"{name}":'), value)
+    quoted = F.substring_index(F.to_json(F.struct(model.alias("m"))), '{"m":', -1)
+    quoted = F.left(quoted, F.length(quoted) - 1)
+    warmth = F.coalesce(member("temperature", temperature.cast("string")), F.lit(""))
+    shape = F.when(json_mode, member("response_format", F.lit('{"type":"json_object"}'))).otherwise("")
+    return F.concat(F.lit('{"model":'), quoted, member("messages", messages_json), member("max_tokens", most_tokens.cast("string")), warmth, shape, F.lit("}"))
+
+
+def answer_or_null(text: Column) -> Column:
+    """A call's trimmed answer; one without text is a failed call, here null."""
+    return F.nullif(strip(text_of(text)), F.lit(""))
+
+
 def local_prompt(system: Column, prompt: Column) -> Column:
     """The text that a local model completes: turns between its chat marks, the system's only if there is one."""
     turn = lambda role, text: F.concat(F.lit(f"<|im_start|>{role}\n"), text_of(text), F.lit("<|im_end|>\n"))

@@ -46,22 +46,27 @@ def chain_results(requests: DataFrame) -> DataFrame:
     """client, ord, tried, model from requests (client, ord, ts, outcomes: model and status in the chain's order).
 
     Blocked models are passed over, unless all are; the first success ends a request; a refused login (re)starts that model's
-    block. A client's requests fold in order, with a map from model to the end of its block as the state.
+    block. A client's requests are read in order of ord, then ts, in one pass that keeps only the current client's blocks; rows equal
+    in both come in the order of their outcomes.
     """
-    kind = "struct<blocks:map<string,bigint>,out:array<struct<ord:bigint,tried:string,model:string>>>"
-    start = F.from_json(F.lit('{"blocks":{},"out":[]}'), kind)
-
-    def one_request(s, r):
-        blocked = lambda o: F.coalesce(F.try_element_at(s["blocks"], o["model"]), F.lit(0).cast("bigint")) > r["ts"]
-        live = F.filter(r["outcomes"], lambda o: ~blocked(o))
-        chain = F.when(F.size(live) > 0, live).otherwise(r["outcomes"])
-        first_ok = F.array_position(F.transform(chain, lambda o: o["status"] == 200), True).cast("int")
-        tried = F.when(first_ok > 0, F.slice(chain, 1, first_ok)).otherwise(chain)
-        tripped = F.filter(tried, lambda o: o["status"].isin(L.AUTH_FAILURES))
-        kept = F.map_filter(s["blocks"], lambda k, v: ~F.exists(tripped, lambda o: o["model"] == k))
-        blocks = F.map_concat(kept, F.map_from_entries(F.transform(tripped, lambda o: F.struct(o["model"], (r["ts"] + L.BLOCK_SECONDS).cast("bigint")))))
-        out = F.struct(r["ord"].cast("bigint").alias("ord"), F.array_join(F.transform(tried, lambda o: o["model"]), ",").alias("tried"), F.when(first_ok > 0, F.get(chain, first_ok - 1)["model"]).alias("model"))
-        return F.struct(blocks.alias("blocks"), F.concat(s["out"], F.array(out)).alias("out"))
-
-    per = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("ord", "ts", "outcomes"))).alias("requests"))
-    return per.select("client", F.explode(F.aggregate("requests", start, one_request, lambda s: s["out"])).alias("o")).select("client", "o.*")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, blocks = object(), {}
+        for part in parts:
+            tried, models = [], []
+            for client, ts, names, statuses in zip(part["client"], part["ts"], part["names"], part["statuses"]):
+                if client != current:
+                    current, blocks = client, {}
+                chain = list(zip(names, statuses))
+                chain = [o for o in chain if blocks.get(o[0], 0) <= ts] or chain
+                ends = next((i for i, o in enumerate(chain) if o[1] == 200), None)
+                chain = chain if ends is None else chain[: ends + 1]
+                blocks |= {name: ts + L.BLOCK_SECONDS for name, status in chain if status in L.AUTH_FAILURES}
+                tried.append(",".join(o[0] for o in chain))
+                models.append(None if ends is None else chain[ends][0])
+            yield part[["client", "ord"]].assign(tried=tried, model=models)
+
+    part = lambda name, kind: F.transform("outcomes", lambda o: o[name].cast(kind))
+    rows = requests.select("client", F.col("ord").cast("long").alias("ord"), F.col("ts").cast("long").alias("ts"), part("model", "string").alias("names"), F.transform(part("status", "int"), lambda s: F.coalesce(s, F.lit(0))).alias("statuses"))
+    ordered = rows.repartition("client").sortWithinPartitions("client", "ord", "ts", "names", "statuses")
+    return ordered.mapInPandas(run, f"client {dict(requests.dtypes)['client']}, ord long, tried string, model string")

@@ -211,6 +211,23 @@ CHAINS = Fixture(
     "client string, ord long, ts long, models array<string>, statuses array<string>",
     [("c", 0, 0, ["a", "b"], ["401", "200"]), ("c", 1, 10, ["a", "b"], ["200", "200"]), ("c", 2, 20, ["a", "b"], ["200", "403"]), ("c", 3, 30, ["a", "b"], ["401", "500"]), ("c", 4, 1820, ["a", "b"], ["200", "200"]), ("c", 5, 1830, ["a", "b"], ["200", "200"]), ("d", 0, 5, ["a"], ["500"]), ("d", 1, 6, ["a"], ["200"])],
 )
+_HITS = "".join(f'<div class="result"><a class="result__a" href="https://u{i}.edu/">T{i}</a></div>' for i in range(12))
+RESULT_PAGES = Fixture(
+    "query_id long, provider string, html string, contact string",
+    [
+        (1, "duckduckgo", """<div id=links><div class="x result web"><h2 class=result__title><a href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.edu%2Fp%3Fq%3D1&rut=z"><b>Jo</b> Lee &amp; co</a></h2><a class=result__snippet> a <b>b</b>
+ c</a></div><div class="result"><a class="result__a" href=" https://b.org/people/x "><img src=i>Second</a></div><div class=result>no link</div><div class="result"><a class=result__a href="https://www.wikipedia.org/w">W</a></div>
+<div class=results><a class=result__a href="https://c.edu/">not in a block</a></div><div class=result><a class=result__a href="https://plain.org/jo">Jo Lee</a><p class=result__snippet>Professor of maps</p></div></div>""", "Dr. Jo Lee"),
+        (2, "bing", """<ol><li class="b_algo"><h2><a href="https://uni.ac.uk/">Uni</a></h2><div class=b_snippet>outside</div><div class="b_caption"><p>in caption</p><p>more</p></div></li><li class=b_algo><h2><a href="/staff/1">Staff</a></h2><span class=b_snippet>loose</span></li>
+<li class=other><h2><a href="https://d.edu/">no</a></h2></li><li class=b_algo><a href="https://e.edu/">no heading</a></li><li class=b_algo><h2><a href="ftp://f.edu/">no page</a></h2></li></ol>""", "Dr. Jo Lee"),
+        (3, "duckduckgo", _HITS, None), (4, "bing", None, "Jo Lee"), (5, "other", _HITS, "Jo Lee"), (6, None, "", None),
+    ],
+)
+PRICE_FEEDS = Fixture(
+    "payload string",
+    [('{"data":[{"model_name":"a","model_ratio":1.5,"completion_ratio":4,"quota_type":0,"model_price":0,"owner_by":"x","supported_endpoint_types":["openai","gemini"]},{"model_name":"b","quota_type":1,"model_price":0.25}]}',), ('{"models":[{"model_name":"c","model_ratio":2.0,"supported_endpoint_types":[]}]}',), ('{"data":[]}',), ("{}",), (None,)],
+)
+CATALOGUES = Fixture("id long, generated string, today string", [(1, "2024-05-01 00:00:00", "2024-05-31 23:59:59"), (2, "2024-04-30 23:59:59", "2024-05-01 00:00:00"), (3, "2023-05-10 08:00:00", "2024-05-10 08:00:00"), (4, None, "2024-05-10 08:00:00")])
 LOADS = Fixture("page string, ord int, content_hash long, content_length int", [("a", 0, 1, 10), ("a", 1, 2, 20), ("a", 2, 2, 20), ("a", 3, 2, 20), ("a", 4, 2, 20), ("b", 0, 1, 10), ("b", 1, 1, 10), ("b", 2, 1, 11), ("b", 3, 1, 11), ("c", 0, 7, 7), ("c", 1, 7, 7), ("c", 2, 7, 7)])
 PRICES = Fixture(
     "model_name string, model_ratio double, completion_ratio double, quota_type int, model_price double, owner_by string, endpoints array<string>",

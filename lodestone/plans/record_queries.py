@@ -67,10 +67,11 @@ def contact_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vote's shape over the shared tables: per source, whether over half of the labelled documents are good."""
+    """The vote over the shared tables: sources as contacts, labelled documents as pages, good quality as the doctorate."""
     labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
-    per = labels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if(C("quality") == 1).alias("good"), F.count("*").alias("n"))
-    return per.select("source", "good", "n", (C("good") * 2 > C("n")).alias("accepted"))
+    none = F.lit(None).cast("string")
+    pages = labels.join(docs.select("doc_id", "source"), "doc_id").select(C("source").alias("contact_id"), C("doc_id").alias("ord"), (C("quality") == 1).alias("has_doctorate"), *[none.alias(c) for c in ("gender", "email_address", "contact_name")])
+    return selection.vote(pages).select(C("contact_id").alias("source"), C("doctors").alias("good"), C("pages").alias("n"), (C("title") == "Dr.").alias("accepted"))
 
 
 def contact_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

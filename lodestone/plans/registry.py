@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly_queries, record_queries, text_queries, web_queries
+from . import assembly_queries, outside_queries, record_queries, text_queries, web_queries
 
-MODULES = (text_queries, web_queries, record_queries, assembly_queries)
+MODULES = (text_queries, web_queries, record_queries, assembly_queries, outside_queries)
 
 
 def queries() -> dict:

@@ -136,9 +136,11 @@ def load(spark: SparkSession, path: str, sheet: str = "Unfilled") -> DataFrame:
 
 
 def save(df: DataFrame, path: str, sheet: str = "Unfilled", most_rows: int = 1_048_575) -> None:
-    """Write the sheet (at most what the format holds) beside the file and move it over; null cells stay empty."""
+    """Write the sheet beside the file and move it over; null cells stay empty. More rows than the format holds are refused, none is dropped."""
     names = [c for c in df.columns if c != "row_index"]
-    rows = [list(r) for r in df.orderBy("row_index").select(*names).limit(most_rows).collect()]
+    rows = [list(r) for r in df.orderBy("row_index").select(*names).limit(most_rows + 1).collect()]
+    if len(rows) > most_rows:
+        raise ValueError(f"a sheet holds {most_rows} rows at most; write parts, or another format")
     old = None
     if os.path.exists(path):
         with open(path, "rb") as f:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import contacts, json_text, quality, text, urls
 from lodestone.functions import lexicon as L
 from lodestone.operators import model_calls, policy, rules
-from lodestone.sources import files, workbook
+from lodestone.sources import files, result_pages, workbook
 from lodestone.streaming import queue
 
 
@@ -83,6 +83,37 @@ def test_breaker_equals_a_plain_model(spark):
             blocks[c, m] = t + L.BLOCK_SECONDS if status in (401, 403) else 0
 
 
+def test_chains_equal_a_plain_model(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, want = [], {}
+    for c in "xy":
+        blocks = {}
+        for i, t in enumerate(sorted(rng.randrange(20_000) for _ in range(80))):
+            chain = [(m, rng.choice([200, 401, 403, 500])) for m in rng.sample("abcd", 3)]
+            rows.append((c, i, t, chain))
+            free = [o for o in chain if blocks.get(o[0], 0) <= t] or chain
+            tried, got = [], None
+            for m, status in free:
+                tried.append(m)
+                if status == 200:
+                    got = m
+                    break
+                if status in (401, 403):
+                    blocks[m] = t + L.BLOCK_SECONDS
+            want[c, i] = (",".join(tried), got)
+    frame = spark.createDataFrame(rows, "client string, ord long, ts long, outcomes array<struct<model:string,status:int>>")
+    assert {(r["client"], r["ord"]): (r["tried"], r["model"]) for r in model_calls.chain_results(frame).collect()} == want
+
+
+def test_result_pages_in_odd_markup():
+    page = '<div class="result"><div class="result"><a class="result__a" href="u">a<b>b</b></a></div></p></div><a class="result__a" href="v">c</a>' + "</i>" * 1000
+    assert result_pages.results_of(page, "duckduckgo") == [("u", "a b", "")] * 2
+    assert result_pages.results_of('<li class=b_algo><h2><a>t', "bing") == [("", "t", "")]
+    assert result_pages.results_of(None, "bing") == result_pages.results_of(page, None) == []
+
+
 def test_breaker_stream(spark, tmp_path):
     rows = [("c", "m", 0, 0, 401), ("c", "m", 1, 10, 200), ("c", "m", 2, 1799, 200), ("c", "m", 3, 1800, 200)]
     schema = "client string, model string, ord long, ts long, status int"
@@ -113,6 +144,9 @@ def test_workbook_round_trip(spark, tmp_path):
     assert workbook.load(spark, path).filter("Verifier = 'LLM'").count() == 2
     with zipfile.ZipFile(path) as z:
         assert "xl/workbook.xml" in z.namelist()
+    with pytest.raises(ValueError):
+        workbook.save(df, path, most_rows=1)
+    assert workbook.load(spark, path).count() == 2
     with pytest.raises(Exception):
         bad = workbook.write_sheet(None, "Unfilled", [["Notes"]])
         with open(path, "wb") as f:
