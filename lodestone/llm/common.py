@@ -97,6 +97,30 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+#: A key of more than one row in so many is cut before a shuffle.
+CUT = 64
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
+    """rows joined with side on the columns on, nulls equal; side has each key once, and in weight the number of its rows.
+
+    The rows of a key that has more than one in CUT of them are dealt out over salts, and its row of side is copied to each
+    salt. Fewer than CUT keys can have that many, so the list of them that is broadcast and the copies have a bound whatever the input.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    copies = F.ceil(F.col(weight) * F.lit(CUT) / F.lit(max(total, 1))).cast("int")
+    met = lambda mine: [F.col(f"on_{i}").eqNullSafe(F.col(f"{mine}_{i}")) for i in range(len(on))]
+    keys = lambda prefix: [F.col(c).alias(f"{prefix}_{i}") for i, c in enumerate(on)]
+    heavy = side.filter(F.col(weight) * CUT > total).select(*keys("heavy"), copies.alias("copies"))
+    dealt = rows.select("*", *keys("on")).join(F.broadcast(heavy), met("heavy"), "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("copies"))).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)).alias("side_salt")
+    others = [c for c in side.columns if c not in on and c not in rows.columns]
+    copied = side.select(*keys("side"), *others, salts)
+    joined = dealt.join(copied, [*met("side"), F.col("salt") == F.col("side_salt")], how)
+    return joined.select(*rows.columns, *others)
+
+
 def unit_hash(key: Column, seed: int) -> Column:
     """A pseudorandom number in [0, 1) that depends on the key alone."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, language_id, media, mixing, near_dup, pii, sentencepiece_spans, toxicity, url_filters
+from . import ann, centroids, html_extraction, language_id, line_dedup, media, mixing, near_dup, pii, sentencepiece_spans, timestamps, toxicity, url_filters
 
-MODULES = (url_filters, toxicity, mixing, sentencepiece_spans, near_dup, media, html_extraction, ann, language_id, pii)
+MODULES = (url_filters, toxicity, mixing, sentencepiece_spans, near_dup, media, html_extraction, ann, language_id, pii, line_dedup, centroids, timestamps)
 
 
 def queries() -> dict:

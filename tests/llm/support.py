@@ -14,3 +14,18 @@ def documents(spark, rows=ODD):
 
 def empty(spark):
     return spark.createDataFrame([], DOCUMENTS)
+
+
+def agrees(spark, duck, name, folder):
+    """The registered query's rows equal those of its SQL on the tables of folder."""
+    import os
+
+    import __spark_entry__ as entry
+
+    for file in os.listdir(folder):
+        duck.execute(f"create or replace view {file.removesuffix('.parquet')} as select * from '{folder}/{file}'")
+    ours = entry.queries()[name](spark, folder)
+    cursor = duck.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(ours.columns) == sorted(columns)
+    assert sorted((tuple(r) for r in ours.select(columns).collect()), key=str) == sorted(cursor.fetchall(), key=str)
