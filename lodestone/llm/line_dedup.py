@@ -6,7 +6,7 @@ hashes of the key), never as texts:
 2. the rows of those keys are written, and their different documents counted, first by (key, document), then by key, so that a
    line that a third of the documents hold is counted in many tasks;
 3. the places of dropped lines are gathered by text, as a mask over its lines, and each text is put together again by place.
-Texts move once, in the join with the masks, and not at all where the masks are few bytes.
+Texts move once, in the join with the masks.
 
 Edge cases: a null or empty text is one empty line, and a null text stays null; a row without doc_id is in no count and is never
 the one that keeps a line; rows that repeat a doc_id are one document, and all of them keep what the largest doc_id keeps; a line
@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, few, fresh, spread_join, table
+from .common import Scratch, fresh, spread_join, table
 
 #: Stripped from both ends of a line.
 SPACE = " \t\n\x0b\f\r"
@@ -65,7 +65,7 @@ def without_shared_lines(docs: DataFrame, scratch: Scratch, least_chars: int = L
     n_lines, n_dropped = (fresh(c, names) for c in ("n_lines", "n_dropped"))
     id_, key, mask = (fresh(c, names) for c in ("line_id", "line_key", "line_mask"))
     gone = dropped_places(docs.select("doc_id", "text"), scratch, least_chars, least_docs)
-    side = few(gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("n").alias(n_dropped), F.col("mask").alias(mask)))
+    side = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("n").alias(n_dropped), F.col("mask").alias(mask))
     met = docs.join(side, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
     left = F.filter(split_lines(F.col("text")), lambda x, i: ~F.coalesce(F.get(mask, i), F.lit(False)))
     text = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
