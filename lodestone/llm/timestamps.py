@@ -28,68 +28,57 @@ from .common import Scratch, spread_join, table
 SPACE = " \t\n\x0b\f\r"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 YEAR, TWO = "20[0-9][0-9]", "[0-9][0-9]"
-#: y-m-d, ymd, d.m.y, d b y, and d/m/y or m/d/y.
-DATE = f"(?:{YEAR}-{TWO}-{TWO}|{YEAR}{TWO}{TWO}|{TWO}[.]{TWO}[.]{YEAR}|{TWO} (?:{'|'.join(MONTHS)}) {YEAR}|{TWO}/{TWO}/{YEAR})"
-TIME = rf"(?:[T ]{TWO}:{TWO}(?::{TWO})?(?: ?[AP]M)?(?: ?(?:Z|[+-]{TWO}:?{TWO}))?)?"
-SECOND, MINUTE, HOUR, DAY = 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000
+#: y-m-d, ymd, d.m.y, d b y, and d/m/y or m/d/y; a group for each part.
+DATE = f"(?:({YEAR})-({TWO})-({TWO})|({YEAR})({TWO})({TWO})|({TWO})[.]({TWO})[.]({YEAR})|({TWO}) ({'|'.join(MONTHS)}) ({YEAR})|({TWO})(/)({TWO})/({YEAR}))"
+TIME = rf"(?:[T ]({TWO}):({TWO})(?::({TWO}))?(?: ?([AP])M)?(?: ?(Z|[+-]{TWO}:?{TWO}))?)?"
+#: The parts of a text that matches, of whichever form: year, month, day, slash, hour, minute, second, half of the day, offset.
+PARTS = "$1$4$9$12$16,$2$5$8$11$15,$3$6$7$10$13,$14,$17,$18,$19,$20,$21"
+SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
 #: The other side needs more than this many times its votes.
 LEAD = 1
 #: A zone is tried at this instant, to see if there is one of that name.
 KNOWN = "2024-01-01 00:00:00"
 
 
-def _number(text: Column, at: int | Column, length: int = 2) -> Column:
-    return F.substr(text, at if isinstance(at, Column) else F.lit(at), F.lit(length)).try_cast("int")
-
-
 def zone_offset(utc_us: Column, zone: Column) -> Column:
     """Microseconds that the zone's wall clock is ahead of UTC at an instant."""
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc_us), zone)) - utc_us
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
+def _date(year: str, month: str, day: str) -> Column:
     """Days since 1970-01-01; null where there is no such date. Every fourth year from 2000 to 2099 is a leap year."""
-    days = F.when(month == 2, F.when(year % 4 == 0, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.when(month.between(1, 12) & day.between(1, days), F.unix_date(F.make_date(year, month, day)))
+    days = F.get(F.array(*[F.lit(n) for n in (0, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)]), F.col(month)) - F.when((F.col(month) == 2) & (F.col(year) % 4 != 0), 1).otherwise(0)
+    return F.when(F.col(month).between(1, 12) & F.col(day).between(1, days), F.unix_date(F.make_date(year, month, day)))
 
 
 def parsed(stamps: DataFrame) -> DataFrame:
-    """stamp_id, source, zone, epoch_us, time_us (since midnight), offset_us (null without one), slashed, first_day and second_day: days of the candidates, day-first (or only) and month-first."""
+    """stamp_id, source, zone, epoch_us, time_us (since midnight), offset_us (null without one), slashed, first_day and second_day: days of the candidates, day-first (or only) and month-first.
+
+    Each step is a projection of few expressions that uses the one before it: in one piece they outgrow what the JVM compiles.
+    """
     rows = stamps.select("stamp_id", "source", "zone", F.btrim("raw", F.lit(SPACE)).alias("t"))
-    t = F.col("t")
-    digits = t.rlike(r"\A(?:[0-9]{10}|[0-9]{13})\z")
-    rows = rows.withColumn("epoch_us", F.when(digits, t.try_cast("long") * F.when(F.char_length(t) == 10, SECOND).otherwise(1000)))
-    rows = rows.withColumn("t", F.when(~digits & t.rlike(rf"\A{DATE}{TIME}\z"), t))
-    third, fifth = F.substr(t, F.lit(3), F.lit(1)), F.substr(t, F.lit(5), F.lit(1))
-    form = F.when(third == "/", "slashed").when(third == ".", "dotted").when(third == " ", "named").when(fifth == "-", "dashed").when(t.isNotNull(), "digits")
-    rows = rows.withColumn("form", form)
-    form = F.col("form")
-    rest = F.when(form == "named", F.substr(t, F.lit(12))).when(form == "digits", F.substr(t, F.lit(9))).otherwise(F.substr(t, F.lit(11)))
-    rows = rows.withColumn("rest", rest)
-    rest = F.col("rest")
-    seconds = F.substr(rest, F.lit(7), F.lit(1)) == ":"
-    tail = F.replace(F.replace(F.when(seconds, F.substr(rest, F.lit(10))).otherwise(F.substr(rest, F.lit(7))), F.lit(" ")), F.lit(":"))
-    half = F.when(F.substr(tail, F.lit(2), F.lit(1)) == "M", F.substr(tail, F.lit(1), F.lit(1)))
-    rows = rows.select("*", F.when(seconds, _number(rest, 8)).otherwise(0).alias("second"), half.alias("half"), F.when(half.isNotNull(), F.substr(tail, F.lit(3))).otherwise(tail).alias("offset"))
-    hour, minute, second, half, offset = _number(rest, 2), _number(rest, 5), F.col("second"), F.col("half"), F.col("offset")
-    right_hour = F.when(half.isNull(), hour.between(0, 23)).otherwise(hour.between(1, 12))
-    hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "P", 12).otherwise(0))
-    time = F.when(rest == "", 0).when(right_hour & minute.between(0, 59) & second.between(0, 59), hour.cast("long") * HOUR + minute.cast("long") * MINUTE + second.cast("long") * SECOND)
-    ahead, past = _number(offset, 2), _number(offset, 4)
-    sign = F.when(F.substr(offset, F.lit(1), F.lit(1)) == "-", -1).otherwise(1)
-    moved = F.when(offset == "Z", 0).when(ahead.between(0, 14) & past.between(0, 59), sign * (ahead.cast("long") * HOUR + past.cast("long") * MINUTE))
-    good = (F.coalesce(offset, F.lit("")) == "") | moved.isNotNull()
-    rows = rows.select("*", F.when(good, time).cast("long").alias("time_us"), moved.cast("long").alias("offset_us"))
-    month = F.floor((F.instr(F.lit("".join(MONTHS)), F.substr(t, F.lit(4), F.lit(3))) + 2) / 3).cast("int")
-    only = F.when(form == "dashed", _date(_number(t, 1, 4), _number(t, 6), _number(t, 9)))
-    only = only.when(form == "digits", _date(_number(t, 1, 4), _number(t, 5), _number(t, 7)))
-    only = only.when(form == "named", _date(_number(t, 8, 4), month, _number(t, 1)))
-    only = only.otherwise(_date(_number(t, 7, 4), _number(t, 4), _number(t, 1)))
-    other = F.when(form == "slashed", _date(_number(t, 7, 4), _number(t, 1), _number(t, 4)))
-    zone = F.col("zone")
-    known = F.col("offset_us").isNotNull() | F.try_to_timestamp(F.concat(F.lit(KNOWN + " "), zone), F.lit("yyyy-MM-dd HH:mm:ss VV")).isNotNull()
-    placed = lambda days: F.when(F.col("time_us").isNotNull() & known, days)
-    return rows.select("stamp_id", "source", "zone", "epoch_us", "time_us", "offset_us", F.coalesce(form == "slashed", F.lit(False)).alias("slashed"), placed(only).alias("first_day"), placed(other).alias("second_day"))
+    rows = rows.select("*", F.regexp_replace("t", rf"\A{DATE}{TIME}\z", PARTS).alias("parts"), F.when(F.col("t").rlike(r"\A(?:[0-9]{10}|[0-9]{13})\z"), F.col("t").cast("long")).alias("number"))
+    epoch = F.col("number") * F.when(F.char_length("t") == 10, SECOND).otherwise(1000)
+    # a text that matches has no comma, and its parts have some
+    rows = rows.select("stamp_id", "source", "zone", epoch.alias("epoch_us"), F.split(F.when(F.col("number").isNull() & (F.col("parts") != F.col("t")), F.col("parts")), ",").alias("parts"))
+    part = lambda i: F.get("parts", i)
+    # an empty text is null before it is cast: a cast that fails costs an exception in the JVM, even where it gives null
+    number = lambda text: F.when(F.char_length(text) > 0, text).cast("int")
+    names = {"year": 0, "day": 2, "hour": 4, "minute": 5, "second": 6}
+    whole = rows.select("stamp_id", "source", "zone", "epoch_us", *[number(part(i)).alias(n) for n, i in names.items()], part(1).alias("month"), (part(3) == "/").alias("slashed"), part(7).alias("half"), F.replace(part(8), F.lit(":")).alias("offset"))
+    month = F.when(F.char_length("month") == 2, F.col("month").cast("int")).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), F.col("month")).cast("int"))
+    rows = whole.withColumn("month", month)
+    rows = rows.select("*", *[number(F.substr("offset", F.lit(at), F.lit(2))).alias(n) for n, at in (("ahead", 2), ("past", 4))])
+    hour, half, offset = F.col("hour"), F.col("half"), F.col("offset")
+    good = F.when(half == "", hour <= 23).otherwise(hour.between(1, 12)) & (F.col("minute") <= 59) & (F.coalesce("second", F.lit(0)) <= 59)
+    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "P", 12).otherwise(0))
+    time = F.when(hour.isNull() & (F.col("year") > 0), 0).when(good, hour * 3600 + F.col("minute") * 60 + F.coalesce("second", F.lit(0)))
+    moved = F.when(offset == "Z", 0).when((F.col("ahead") <= 14) & (F.col("past") <= 59), F.when(offset.startswith("-"), -1).otherwise(1) * (F.col("ahead") * 60 + F.col("past")))
+    rows = rows.select("stamp_id", "source", "zone", "epoch_us", "year", "month", "day", "slashed", "offset", time.cast("long").alias("time"), moved.cast("long").alias("moved"))
+    known = F.try_to_timestamp(F.concat(F.lit(KNOWN + " "), F.when(offset == "", F.col("zone"))), F.lit("yyyy-MM-dd HH:mm:ss VV")).isNotNull()
+    rows = rows.withColumn("year", F.when(F.col("time").isNotNull() & (F.col("moved").isNotNull() | known), F.col("year")))
+    second = F.when(F.col("slashed"), _date("year", "day", "month"))
+    return rows.select("stamp_id", "source", "zone", "epoch_us", (F.col("time") * SECOND).alias("time_us"), (F.col("moved") * MINUTE).alias("offset_us"), F.coalesce("slashed", F.lit(False)).alias("slashed"), _date("year", "month", "day").alias("first_day"), second.alias("second_day"))
 
 
 def candidates(stamps: DataFrame) -> DataFrame:
@@ -144,7 +133,7 @@ def op13_timestamp_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     two, year, named = "([0-9][0-9])", "(20[0-9][0-9])", f"({'|'.join(MONTHS)})"
-    full = f"^{DATE}(?:[T ]{two}:{two}(?::{two})?(?: ?([AP])M)?(?: ?(Z|[+-][0-9][0-9]:?[0-9][0-9]))?)?$"
+    full = f"^{DATE.replace('(', '(?:').replace('(?:?:', '(?:')}{TIME}$"
     part = lambda i, form=full: f"nullif(regexp_extract(t, '{form}', {i}), '')"
     dashed, digits, dotted, worded, slashed = (f"^{form}(?:[T ].*)?$" for form in (f"{year}-{two}-{two}", f"{year}{two}{two}", f"{two}[.]{two}[.]{year}", f"{two} {named} {year}", f"{two}/{two}/{year}"))
     date = lambda y, m, d: f"CASE WHEN {m}::INT BETWEEN 1 AND 12 AND {d}::INT >= 1 THEN try_cast({y} || '-' || lpad({m}, 2, '0') || '-' || {d} AS DATE) END"
