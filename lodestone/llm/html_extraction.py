@@ -41,7 +41,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: What an opening tag ends, and the elements that stop the search for it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"})}
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag ends at the first > outside its quotes; a quote that never closes is a character like others, so that no tag becomes text.
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
+CUT_OFF = re.compile(r"<[/!a-zA-Z]")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKENS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -63,10 +65,10 @@ FLAT = frozenset("nav header footer aside form".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "tokens", "texts", "at")
+    __slots__ = ("tag", "parent", "children", "tokens", "at", "block")
 
     def __init__(self, tag: str, parent, tokens=()):
-        self.tag, self.parent, self.children, self.tokens, self.texts = tag, parent, [], tokens, 0
+        self.tag, self.parent, self.children, self.tokens = tag, parent, [], tokens
 
 
 class Chain:
@@ -98,9 +100,8 @@ def parse(page: str) -> Node:
         node = chain.open[-1]
         m = MARK.search(page, at)
         if not m:
-            rest = page[at:]
-            cut = re.search(r"<[/!a-zA-Z][^>]*\Z", rest)
-            node.children.append(rest[: cut.start()] if cut else rest)
+            cut = CUT_OFF.search(page, max(at, page.rfind(">") + 1))
+            node.children.append(page[at : cut.start()] if cut else page[at:])
             break
         if m.start() > at:
             node.children.append(page[at : m.start()])
@@ -181,10 +182,12 @@ def scored_nodes(root: Node) -> tuple[list[Node], np.ndarray]:
         hits = [sum(t in g for t in node.tokens) for g in GROUPS] if node.tokens else [0] * len(GROUPS)
         if node.tag not in INLINE:
             words, chars, linked, links, paragraphs, below, commas = stack[node]
-            node.at = len(nodes)
+            node.at = node.block = len(nodes)
             nodes.append(node)
             up = stack[node.parent] if node.parent else stack[node]
             rows.append([TAG_AT.get(node.tag, 0), node.tag in FLAT, node.tag in ("article", "main"), level, place, max(0, siblings - 1 - place), np.log1p(words), np.log1p(chars), chars / whole, chars / max(1, up[1]), linked / max(1, chars), links / (below + 1), paragraphs, below, chars / (below + 1), commas / max(1, words), seen / whole, bad > 1, good, *hits])
+        else:
+            node.block = node.parent.block
         nested = (bad + (node.tag in FLAT or sum(hits[1:]) > 0), good or node.tag in ("article", "main") or hits[0] > 0)
         for i, c in enumerate(kids):
             depth[c] = (level + 1, 0, i, len(kids), *nested, ())
@@ -257,12 +260,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     keep, drop = -np.logaddexp(0, -odds.astype(float)), -np.logaddexp(0, odds.astype(float))
     best_keep, best_drop, above = keep.copy(), drop.copy(), np.full(len(nodes), -1)
     for i in range(len(nodes) - 1, 0, -1):
-        up = nodes[i].parent
-        while up.tag in INLINE:
-            up = up.parent
-        above[i] = up.at
-        best_keep[up.at] += max(best_keep[i], best_drop[i])
-        best_drop[up.at] += best_drop[i]
+        above[i] = up = nodes[i].parent.block
+        best_keep[up] += max(best_keep[i], best_drop[i])
+        best_drop[up] += best_drop[i]
     kept = np.zeros(len(nodes), bool)
     kept[:1] = True
     for i in range(1, len(nodes)):

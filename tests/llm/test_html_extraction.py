@@ -49,6 +49,31 @@ def test_parsing_stray_and_nested_tags_is_linear(page):
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("page", ["<b>{}<div>x</div>", "<div>{}<li>x</li>", "<b>{}<div><i>y</i></div>", "<a {}\"", "</{}>", "<p title='{}x\""])
+def test_extraction_is_linear(page):
+    start, end = page.split("{}")
+    took = []
+    for size in (250_000, 500_000, 1_000_000):
+        html_ = start * (size // 2 // len(start)) + end * (size // 2 // len(end))
+        began = time.process_time()
+        hx.extract([html_], hx.trained())
+        took.append(time.process_time() - began)
+    assert took[2] < 8 * took[0] + 2  # four times, if linear; sixteen, if quadratic
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<p title="a>quoted text</p>', "quoted text"), ("<p title='a>it\"s here</p>", 'it"s here'), ('<p title="a>b" id=\'c>one</p><p>two</p>', "one\ntwo"), ('<p>whole</p><p title="cut off', "whole"), ("<p>3 < 4 and </ x", "3 < 4 and"),
+        ('<p title="a>b">kept</p>', "kept"), ("<p>it's</p><p>isn't</p>", "it's\nisn't"),
+    ],
+)
+def test_open_quotes_never_become_text(page, expected):
+    root = hx.parse(page)
+    nodes, _ = hx.scored_nodes(root)
+    assert hx.written(root, nodes, np.ones(len(nodes), bool)) == expected
+
+
 def test_formulas_and_media_text_inside_an_article_stay():
     page = "<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Sums</h1><p>We see <math><mi>x</mi></math> here, and it is a long enough sentence to be kept.</p><p>Another <object>fallback</object> sentence stands here, with some more words.</p></article></body>"
     assert hx.extract([page], hx.trained()) == ["Sums\nWe see x here, and it is a long enough sentence to be kept.\nAnother fallback sentence stands here, with some more words."]
