@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from lodestone.llm import pii
 from lodestone.llm.common import Scratch
 
-from .support import documents, empty
+from .support import agrees, documents, empty
 
 
 def plain(text):
@@ -154,9 +154,14 @@ def test_odd_rows_and_masks(spark):
     assert pii.masked(more, Scratch(spark, "t")).columns == more.columns
 
 
-def test_query_digests(spark):
-    out = pii.op10_pii(spark, "/root/testdata/sf0.001").collect()
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+def test_query_columns_equal_the_plain_patterns(spark, duck):
+    out = pii.op10_pii(spark, "/root/testdata/sf0.01").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(out) == len(texts)
     for r in out:
-        base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in plain(texts[r["doc_id"]] or ""))
-        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        base = plain(texts[r["doc_id"]] or "")
+        told = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest() and r["spans"] == told  # no discovered span on this table
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(kind == i for kind, _, _ in base) for i in range(4)]
+    assert len({tuple(r[f"n_{k}"] for k in pii.KINDS) for r in out}) > 4
+    agrees(spark, duck, "op10_pii", "/root/testdata/sf0.001")
