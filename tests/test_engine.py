@@ -83,6 +83,70 @@ def test_breaker_equals_a_plain_model(spark):
             blocks[c, m] = t + L.BLOCK_SECONDS if status in (401, 403) else 0
 
 
+def plain_breaker(rows):
+    """rows (client, model, ord, ts, status) with their actions, one by one."""
+    blocks, out = {}, []
+    for c, m, i, t, status in sorted(rows, key=lambda r: (str(r[:2]), r[3], r[2])):
+        action, blocks[c, m] = model_calls.next_block(blocks.get((c, m), 0), t, status)
+        out.append((c, m, i, t, status, action))
+    return sorted(out, key=str)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9000), st.booleans()), max_size=40), st.integers(0, 12_000), st.integers(0, 40))
+def test_summaries_of_calls_compose(calls, start, cut):
+    import numpy as np
+
+    calls = sorted(calls)
+    ts, refused = np.array([c[0] for c in calls], np.int64), np.array([c[1] for c in calls], bool)
+    unblock, want = start, []
+    for t, r in calls:
+        action, unblock = model_calls.next_block(unblock, t, 401 if r else 200)
+        want.append(action == "skip")
+    whole, parts = model_calls.Steps.of(ts, refused), model_calls.Steps.of(ts[:cut], refused[:cut]).then(model_calls.Steps.of(ts[cut:], refused[cut:]))
+    skip, left = model_calls.skipped(ts, refused, start)
+    assert whole(start) == parts(start) == left == unblock and skip.tolist() == want
+    assert all(whole(u) == parts(u) for u in range(0, 12_000, 97))
+
+
+def hot_calls():
+    """A third of the rows has one key, in bursts with ties of time; some rows have no client."""
+    import random
+
+    rng = random.Random(11)
+    keys = [("hot", "m")] * 600 + [(f"c{i % 40}", f"m{i % 3}") for i in range(1000)] + [(None, "m")] * 200
+    return [(c, m, i, rng.randrange(40) * 450 + rng.choice([0, 0, rng.randrange(400)]), rng.choice([200, 200, 200, 401, 403, 500, None])) for i, (c, m) in enumerate(keys)]
+
+
+def test_hot_keys_of_the_breaker_are_cut(spark):
+    rows = hot_calls()
+    frame = spark.createDataFrame(rows, "client string, model string, ord long, ts long, status int").repartition(4)
+    for parts in (1, 7, 64):
+        assert sorted([tuple(r) for r in model_calls.breaker(frame, parts=parts).collect()], key=str) == plain_breaker(rows)
+    sizes = model_calls.chunks.cut(frame, ["client", "model"], "ts", 16).filter("client = 'hot'").groupBy("chunk").count().collect()
+    assert len(sizes) >= 10 and max(r["count"] for r in sizes) < 150
+    odd = spark.createDataFrame([("c", "m", 1, None, 401), ("c", "m", 2, 5, 200), ("c", "m", 3, 6, None)], "client string, model string, ord long, ts long, status int")
+    assert [r["action"] for r in model_calls.breaker(odd).collect()] == ["call"] * 3
+    assert model_calls.breaker(odd.limit(0)).count() == 0
+
+
+def test_hot_clients_of_chains_are_cut(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], []
+    for client, n, bad in (("hot", 500, 0.1), ("bad", 300, 0.9), (None, 200, 0.3), ("few", 9, 0.5)):
+        blocks = {}
+        for i, t in enumerate(sorted(rng.randrange(400_000) for _ in range(n))):
+            t -= rng.choice([0, 0, 900])  # not always in the order of ord
+            chain = [(m, rng.choice([401, 403]) if rng.random() < bad else rng.choice([200, 500])) for m in rng.sample("abcd", 3)]
+            rows.append((client, i, t, chain))
+            want.append((client, i, *model_calls.answered(chain, t, blocks)))
+    frame = spark.createDataFrame(rows, "client string, ord long, ts long, outcomes array<struct<model:string,status:int>>").repartition(3)
+    for parts in (1, 9):
+        assert sorted(map(str, [tuple(r) for r in model_calls.chain_results(frame, parts=parts).collect()])) == sorted(map(str, want))
+    assert model_calls.chain_results(frame.limit(0)).count() == 0
+
+
 def test_chains_equal_a_plain_model(spark):
     import random
 
