@@ -185,8 +185,14 @@ def breaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of three models over the fixture and over events: each event is its user's request, its kind, value and number say how the models answer, its number which is asked first."""
     outcomes = F.transform(F.arrays_zip("models", "statuses"), lambda x: F.struct(x["models"].alias("model"), x["statuses"].cast("int").alias("status")))
-    return model_calls.chain_results(X.CHAINS.frame(spark).select("client", "ord", "ts", outcomes.alias("outcomes")))
+    kind, id_ = C("event_type"), C("event_id").cast("long")
+    statuses = {"a": F.when(kind == "error", 401).when(kind == "click", 500).otherwise(200), "b": F.when(C("value") > 30, 403).when(kind == "purchase", 500).otherwise(200), "c": F.when(id_ % 4 == 0, 401).when(id_ % 4 == 1, 429).otherwise(200)}
+    chain = F.array(*[F.struct(F.lit(m).alias("model"), status.cast("int").alias("status")) for m, status in statuses.items()])
+    turned = F.concat(F.slice(chain, (id_ % 3 + 1).cast("int"), 3), F.slice(chain, F.lit(1), (id_ % 3).cast("int")))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(C("user_id").cast("string").alias("client"), id_.alias("ord"), F.unix_timestamp("ts").alias("ts"), turned.alias("outcomes"))
+    return model_calls.chain_results(X.CHAINS.frame(spark).select("client", "ord", "ts", outcomes.alias("outcomes")).unionByName(asked))
 
 
 def model_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +339,23 @@ w as (select *, cast(0 as bigint) as unblock, 'call' as action, case when status
 select client, model, ord, ts, cast(status as integer) as status, action from w"""
 
 
+def _chains() -> str:
+    """The fixture's results by hand, the events' by a walk along each user's requests with the three models' blocks."""
+    use = "if(len(list_filter(chain, lambda o: o.u <= ts)) = 0, chain, list_filter(chain, lambda o: o.u <= ts))"
+    block = lambda m: f"case when len(list_filter(tried, lambda o: o.m = '{m}' and o.s in (401, 403))) > 0 then ts + 1800 else u{m} end as u{m}"
+    walk = lambda source, blocks: f"""select client, ord, k, {", ".join(map(block, "abc"))}, array_to_string(list_transform(tried, lambda o: o.m), ',') as tried, list_filter(tried, lambda o: o.s = 200)[1].m as model
+      from (select *, use[1:coalesce(list_position(list_transform(use, lambda o: o.s), 200), len(use))] as tried from (select *, {use} as use from (select c.client, c.ord, c.k, c.ts, {blocks}, chain_of(c.n, c.sa, c.sb, c.sc, ua, ub, uc) as chain from {source})))"""
+    turned = lambda a, b, c: "[" + ", ".join(f"{{'m': '{m}', 's': c.s{m}, 'u': u{m}}}" for m in (a, b, c)) + "]"
+    chain = f"case c.n when 0 then {turned(*'abc')} when 1 then {turned(*'bca')} else {turned(*'cab')} end"
+    first, later = (walk(source, blocks).replace("chain_of(c.n, c.sa, c.sb, c.sc, ua, ub, uc)", text) for source, blocks, text in (("c where c.k = 1", "0::bigint as ua, 0::bigint as ub, 0::bigint as uc", chain.replace("ua", "0::bigint").replace("ub", "0::bigint").replace("uc", "0::bigint")), ("w join c on c.client = w.client and c.k = w.k + 1", "ua, ub, uc", chain)))
+    return f"""
+with recursive c as (select cast(user_id as varchar) as client, event_id as ord, cast(floor(epoch(ts)) as bigint) as ts, event_id % 3 as n, case event_type when 'error' then 401 when 'click' then 500 else 200 end as sa,
+  case when value > 30 then 403 when event_type = 'purchase' then 500 else 200 end as sb, case event_id % 4 when 0 then 401 when 1 then 429 else 200 end as sc, row_number() over (partition by user_id order by event_id, ts) as k from events),
+w as ({first} union all {later})
+select client, ord, tried, model from w union all
+select * from (values ('c', cast(0 as bigint), 'a,b', 'b'), ('c', 1, 'b', 'b'), ('c', 2, 'b', null), ('c', 3, 'a,b', null), ('c', 4, 'b', 'b'), ('c', 5, 'a', 'a'), ('d', 0, 'a', null), ('d', 1, 'a', 'a')) as v(client, ord, tried, model)"""
+
+
 def _prices() -> str:
     low = "lower(model_name)"
     starts = lambda words: " or ".join(f"starts_with({low}, '{w}')" for w in words)
@@ -392,7 +415,7 @@ case when {_EMPTY} then 'empty' when {_lacks(L.STAGE3_FIELDS)} then 'missing fie
     "conversation_log": "select conv_id, printf('row_%04d.txt', conv_id) as name, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) order by turn) as log from conversations group by conv_id",
     "breaker_timeline": _breaker(),
     # The chains' folds, worked out by hand.
-    "chain_pick": "select * from (values ('c', cast(0 as bigint), 'a,b', 'b'), ('c', 1, 'b', 'b'), ('c', 2, 'b', null), ('c', 3, 'a,b', null), ('c', 4, 'b', 'b'), ('c', 5, 'a', 'a'), ('d', 0, 'a', null), ('d', 1, 'a', 'a')) as v(client, ord, tried, model)",
+    "chain_pick": _chains(),
     "model_prices": _prices(),
     "model_counts": f"select vision, count(*) as models from ({_prices()}) group by vision",
 }
