@@ -25,6 +25,8 @@ UI_LINE = r"(like|reply|comment|share|repost|follow|connect|\p{Nd}+@*(reaction|r
 # Trust in a method and its head start.
 METHOD_WEIGHTS = {"json-ld": (1.0, 1200.0), "trafilatura": (1.0, 300.0), "resiliparse": (1.0, 300.0), "og:description": (0.9, -200.0), "innerText": (0.40, 0.0), "soup": (0.35, 0.0)}
 OTHER_WEIGHT = (0.5, 0.0)
+# Our own main-text candidates have the trust of the extractors they stand in for.
+METHOD_WEIGHTS |= {"wide_segment": (1.0, 300.0), "tight_segment": (1.0, 300.0)}
 
 # Clean-up.
 ENCODING_FIXES = [("\ufeff", ""), ("\xa0", " "), ("\u2013", "-"), ("\u2014", "--"), ("\u201c", '"'), ("\u201d", '"'), ("\u2018", "'"), ("\u2019", "'"), ("\u2026", "...")]

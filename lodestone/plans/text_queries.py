@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import quality, text
-from ..operators import selection
+from ..operators import main_text, selection
 from ..sources.files import spread
 from . import fixtures as X
 from . import sql_parts as S
 
 
+#: Added to page ids beside a fixture's.
+PAGES = 1_000_000
+
+
 def documents(spark: SparkSession, sf_dir: str, more: X.Fixture = X.TEXTS) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(more.frame(spark))
 
@@ -40,7 +44,15 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.pick_candidates(X.CANDIDATES.frame(spark)).withColumn("score", F.round("score", 6))
+    """Each page's best candidate (main-text segments, its whole text, its own description), and the fixture's; pages are told apart from these by PAGES."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + PAGES).alias("doc_id"), "html"))
+    other = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("method"), t.alias("text")) for i, (m, t) in enumerate((("innerText", text.html_to_layout(F.col("html"))), ("og:description", selection.description(F.col("html")))), 2)])
+    found = main_text.main_texts(pages, "doc_id").unionByName(pages.select("doc_id", F.explode(other).alias("c")).select("doc_id", "c.*"))
+    return selection.pick_candidates(found.unionByName(X.CANDIDATES.frame(spark))).withColumn("score", F.round("score", 6))
+
+
+def main_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))).select("page_id", "method", "text")
 
 
 def pdf_backend_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +147,38 @@ select doc_id, cast(score as integer) as score, case when not solid and score >=
   if(chal >= 2, 'challenge_page', null), if(portal >= 2, 'portal_shell_page', null), if(sess, 'session_placeholders', null), if(body = 0, 'missing_body_keywords', null), if(portal >= 2 and detail < 2, 'missing_detail_sections', null), if(not solid, 'insufficient_substance', null)) end as flags from s"""
 
 
+def _segments() -> str:
+    """The segments by prefix sums: the largest difference of a sum and the least one before it; the last least one starts the stretch."""
+    space, h = main_text.SPACE, "coalesce(html, '')"
+    h = f"array_to_string(list_transform(string_split({h}, '-->'), lambda x: regexp_replace(x, '(?s)<!--.*', ' ')), ' ')"
+    for tag in main_text.UNREAD:
+        h = f"array_to_string(list_transform(string_split_regex({h}, '(?i)</{tag}[^<>]*>'), lambda x: regexp_replace(x, '(?is)<{tag}[{space}/>].*', ' ')), ' ')"
+    costs = ", ".join(f"({i}, '{m}', {c})" for i, (m, c) in enumerate(main_text.COSTS.items()))
+    piece = f"case when starts_with(w, '<') then case when regexp_matches(w, {S.q(main_text.LINE_TAGS)}) then chr(10) else '' end when regexp_matches(w, '^[{space}]') then ' ' else w end"
+    return f"""(
+with g as (select page_id, regexp_extract_all({h}, '{main_text.TOKEN}') as toks from pages),
+m as (select * from (values {costs}) as v(ord, method, cost)),
+t as (select page_id, ord, method, w, k, case when starts_with(w, '<') then -cost when regexp_matches(w, '^[{space}]') then 0 else 1 end as s from (select page_id, unnest(toks) as w, generate_subscripts(toks, 1) as k from g), m),
+p as (select *, sum(s) over (partition by page_id, ord order by k) - s as before from t),
+q as (select *, min(before) over (partition by page_id, ord order by k) as least from p),
+r as (select *, before + s - least as total, max(case when before = least then k end) over (partition by page_id, ord order by k) as start from q),
+b as (select page_id, ord, min_by(start, struct_pack(a := -total, b := k)) as first, min_by(k, struct_pack(a := -total, b := k)) as last, max(total) as best from r group by page_id, ord)
+select g.page_id, m.ord, m.method, {S.layout(S.unescape("coalesce(x.t, '')"))} as text from g cross join m left join (
+  select t.page_id, t.ord, string_agg({piece}, '' order by k) as t from t join b on t.page_id = b.page_id and t.ord = b.ord and k between first and last and best > 0 group by all) x on x.page_id = g.page_id and x.ord = m.ord)"""
+
+
 def _candidates() -> str:
+    from .web_queries import _html_layout, _meta
+
+    og, own = _meta("og:description", "property"), _meta("description", "name")
+    found = f"""(select page_id + {PAGES} as doc_id, ord, method, text from {_segments()} union all select page_id + {PAGES}, 2, 'innerText', {_html_layout('html')} from pages
+      union all select page_id + {PAGES}, 3, 'og:description', case when {og} <> '' then {og} else {own} end from (select page_id, coalesce(html, '') as h from pages) union all select doc_id, ord, method, text from {X.CANDIDATES.sql})"""
     return f"""
-with c as (select doc_id, ord, method, {_uncommented('text')} as t from {X.CANDIDATES.sql}),
+with c as (select doc_id, ord, method, {_uncommented('text')} as t from {found}),
 l as (select *, lower(t) as low, list_filter({_LINES.format('t')}, lambda x: {S.strip('x')} <> '') as lines from c),
-s as (select *, case when t = '' then 0.0 else greatest(0.0, length(t) * case method when 'json-ld' then 1.0 when 'trafilatura' then 1.0 when 'resiliparse' then 1.0 when 'og:description' then 0.9 when 'innerText' then 0.4 when 'soup' then 0.35 else 0.5 end
+s as (select *, case when t = '' then 0.0 else greatest(0.0, length(t) * case method when 'json-ld' then 1.0 when 'trafilatura' then 1.0 when 'resiliparse' then 1.0 when 'wide_segment' then 1.0 when 'tight_segment' then 1.0 when 'og:description' then 0.9 when 'innerText' then 0.4 when 'soup' then 0.35 else 0.5 end
   - (400 * {S.occurrences('low', L.COMMENT_MARKERS)} + 120 * {S.occurrences('low', L.BOILERPLATE_MARKERS)} + 5000 * {S.occurrences('low', L.CHALLENGE_MARKERS)} + 0.3 * length(t) * (len(list_filter(lines, lambda x: length(x) <= 3)) / greatest(1, len(lines))::double))
-  + case method when 'json-ld' then 1200 when 'trafilatura' then 300 when 'resiliparse' then 300 when 'og:description' then -200 else 0 end) end as score from l)
+  + case method when 'json-ld' then 1200 when 'trafilatura' then 300 when 'resiliparse' then 300 when 'wide_segment' then 300 when 'tight_segment' then 300 when 'og:description' then -200 else 0 end) end as score from l)
 select doc_id, method, t as text, cast(round(score, 6) as double) as score from s qualify row_number() over (partition by doc_id order by score desc, ord) = 1"""
 
 
@@ -166,6 +203,7 @@ QUERIES = {
     "docs_chrome": per_text("cleaned", text.drop_editor_chrome, X.RAW_TEXTS),
     "ocr_clean": per_text("cleaned", text.clean_ocr, X.RAW_TEXTS),
     "candidate_pick": candidate_pick,
+    "main_text_segments": main_text_segments,
     "pdf_backend_pick": pdf_backend_pick,
 }
 
@@ -190,5 +228,6 @@ ORACLES = {
     "docs_chrome": _cleaned("cleaned", _unchromed("text")),
     "ocr_clean": _cleaned("cleaned", _ocr("text")),
     "candidate_pick": _candidates(),
+    "main_text_segments": f"select page_id, method, text from {_segments()}",
     "pdf_backend_pick": f"select path, ord, text from (select *, coalesce(text, '') as t, {_WORDS.replace('coalesce(t, ', 'coalesce(text, ')} as words from {X.PDF_ATTEMPTS.sql}) where {_VALID} qualify row_number() over (partition by path order by ord) = 1",
 }

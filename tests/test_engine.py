@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import contacts, json_text, quality, text, urls
 from lodestone.functions import lexicon as L
-from lodestone.operators import model_calls, policy, rules
+from lodestone.operators import main_text, model_calls, policy, rules
 from lodestone.sources import files, result_pages, workbook
 from lodestone.streaming import queue
 
@@ -259,3 +259,36 @@ def test_urls(spark):
     assert one(spark, urls.is_drive, "https://drive.google.com/uc?id=abc") is False
     assert one(spark, urls.drive_id, "https://drive.google.com/uc?id=abc") == "abc"
     assert one(spark, urls.first_url, "see https://a.edu/x, now") == "https://a.edu/x,"
+
+
+def test_main_text_segments(spark):
+    pages = [
+        (1, None), (2, ""), (3, "<p></p> \n"), (4, "only words here"), (5, "<nav><a>x</a><a>y</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three four five six seven eight nine</p><p>ten eleven twelve &lt; x y</p></article><footer><a>z</a></footer>"),
+        (6, "<title>no</title><script>var a = '<p>many words of code are here and are not read at all</p>';</script><p>a b c d<!-- one two three four five six seven --></p><script>and this is never closed"), (7, "<p>" * 50_000 + "word " + "<script>" * 50_000 + "<" * 50_000), (8, "a<b>c</b> d"),
+    ]
+    frame = spark.createDataFrame([(i, h, 1) for i, h in pages], "page_id long, html string, ord int")
+    out = {(r["page_id"], r["method"]): r["text"] for r in main_text.main_texts(frame).collect()}
+    assert len(out) == 2 * len(pages) and not any(out[i, m] for i in (1, 2, 3) for m in main_text.COSTS)
+    assert out[4, "wide_segment"] == "only words here" and out[7, "tight_segment"] == "word" and out[8, "tight_segment"] == "a"
+    assert out[5, "wide_segment"] == "one two three four five six seven eight nine\n\nten eleven twelve < x y"
+    assert out[5, "tight_segment"] == "three four five six seven eight nine"
+    assert out[6, "wide_segment"] == "a b c d"
+    assert main_text.main_texts(frame.limit(0)).count() == 0
+
+
+def test_main_text_segments_find_articles(spark):
+    import re
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    found = {"wide_segment": [], "tight_segment": []}
+    for r in main_text.main_texts(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect():
+        article = re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", pages[r["page_id"]])
+        want = re.sub("<[^>]*>", " ", article[1]).replace("&amp;", "&").split() if article else []
+        got = r["text"].split()
+        if want and "&" not in "".join(want):
+            both = len(set(want) & set(got))
+            found[r["method"]].append((both / len(set(want)), both / max(1, len(set(got)))))
+    for method, least in (("wide_segment", (0.98, 0.85)), ("tight_segment", (0.9, 0.95))):
+        recall, precision = (sum(x) / len(x) for x in zip(*found[method]))
+        assert len(found[method]) > 200
+        assert recall >= least[0] and precision >= least[1]
