@@ -270,7 +270,7 @@ def test_main_text_segments(spark):
     out = {(r["page_id"], r["method"]): r["text"] for r in main_text.main_texts(frame).collect()}
     assert len(out) == 2 * len(pages) and not any(out[i, m] for i in (1, 2, 3) for m in main_text.COSTS)
     assert out[4, "wide_segment"] == "only words here" and out[7, "tight_segment"] == "word" and out[8, "tight_segment"] == "a"
-    assert out[5, "wide_segment"] == "one two three four five six seven eight nine\n\nten eleven twelve < x y"
+    assert out[5, "wide_segment"] == "three four five six seven eight nine\n\nten eleven twelve < x y"
     assert out[5, "tight_segment"] == "three four five six seven eight nine"
     assert out[6, "wide_segment"] == "a b c d"
     assert main_text.main_texts(frame.limit(0)).count() == 0
