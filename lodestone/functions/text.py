@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,9 +15,13 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: The characters of WS.
+WS_CHARACTERS = "".join(chr(c) for c in range(0x3001) if re.fullmatch(L.WS.replace("x{", "u").replace("}", ""), chr(c)))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end (F.trim takes off spaces only)."""
-    return F.regexp_replace(c, f"^{L.WS}+|{L.WS}+\\z", "")
+    """Without white space at the ends. Trimming looks at the ends only; a pattern would try every white space inside as the last one."""
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def is_blank(c: Column) -> Column:
@@ -29,7 +34,7 @@ def hits(c: Column, words: list[str]) -> Column:
 
 
 def has_any(c: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
 def occurrences(c: Column, words: list[str]) -> Column:
