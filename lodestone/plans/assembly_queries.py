@@ -28,6 +28,16 @@ SEARCHED = X.Fixture(
 ATTEMPTS = X.Fixture("page_id long, ord int, method string, content string, quality string, score int, reason string", [(1, 0, "http", "short", "low", 10, "thin"), (1, 1, "tls", "a longer text", "good", 60, ""), (1, 2, "browser", "another text", "good", 60, ""), (2, 0, "http", None, "empty", 0, "no content"), (3, 0, "http", "x", "low", None, "n/a")])
 PICKED = X.Fixture("query_id long, rank int, url string", [(1, 1, "https://uni.edu/x"), (1, 2, "https://z.org"), (3, 1, "https://a.org")])
 
+PAGED.derived = "select 'c' || conv_id as doc, turn + 1 as page, text from given_conversations"
+DATES.derived = f"""select {X.MORE} + o_orderkey as id, case o_orderkey % 6 when 0 then left(cast(o_orderdate as string), 10) when 1 then ' ' || replace(left(cast(o_orderdate as string), 10), '-', '/') when 2 then replace(left(cast(o_orderdate as string), 10), '-', '') when 3 then left(cast(o_orderdate as string), 10) || ' 10:00:00'
+  when 4 then o_orderpriority else substr(cast(o_orderdate as string), 9, 2) || '.' || substr(cast(o_orderdate as string), 6, 2) || '.' || left(cast(o_orderdate as string), 4) end as value from given_orders"""
+FILES.derived = f"select {X.MORE} + page_id as id, case page_id % 4 when 0 then url || '.webp' when 1 then 'mcp_browser' || (page_id % 5) || '_open_' || page_id when 2 then 'x' || page_id || '.JPG' else url end as name from given_pages"
+SEARCHED.derived = f"""select {X.MORE} + page_id % 61 as query_id, case page_id % 5 when 0 then 'web' when 1 then 'second' when 2 then 'targeted' when 3 then 'tool' else 'web' end as provider, page_id as ord, case page_id % 3 when 0 then 'Jo Lee homepage' else 'Results' end as title, case page_id % 9 when 0 then 'https://uni.edu/people/' || (page_id % 7) else url end as url,
+  case page_id % 4 when 0 then 'verified email at uni.edu' when 1 then 'x.y@uni.edu' else '' end as snippet from given_pages"""
+PICKED.derived = f"select {X.MORE} + page_id % 61 as query_id, page_id as rank, url from given_pages where url like '%/en/%'"
+ATTEMPTS.derived = f"""select {X.MORE} + page_id as page_id, 0 as ord, 'http' as method, case page_id % 3 when 0 then '' else html end as content, case page_id % 3 when 0 then 'empty' else 'low' end as quality, page_id % 50 as score, 'thin' as reason from given_pages
+  union all select {X.MORE} + page_id, 1, 'tls', html, 'good', 60, '' from given_pages union all select {X.MORE} + page_id, 2, 'browser', html, 'good', 60 + page_id % 3, '' from given_pages"""
+
 
 def soup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_html(spark, sf_dir).select("page_id", html_text.main_text("html").alias("text"))
@@ -42,7 +52,7 @@ def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.FEEDS.frame(spark).select("source", html_text.line_text(C("xml")).alias("text"))
+    return X.FEEDS.frame(spark, sf_dir).select("source", html_text.line_text(C("xml")).alias("text"))
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,53 +89,56 @@ def rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.attempt_log(ATTEMPTS.frame(spark))
+    return assembly.attempt_log(ATTEMPTS.frame(spark, sf_dir))
 
 
 def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.joined_pages(PAGED.frame(spark))
+    return assembly.joined_pages(PAGED.frame(spark, sf_dir))
 
 
 def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "id long, spans array<struct<lines:array<struct<spans:array<struct<text:string>>>>>>, flat array<struct<text:string,kind:int>>"
     rows = [(1, [([([("a",), ("b",)],), ([(" ",)],)],), (None,)], [("x", 0), ("y", 1), ("", 0), ("z", 0)]), (2, [], [])]
-    return spark.createDataFrame(rows, kind).select("id", assembly.spans_text(C("spans")).alias("lines"), assembly.blocks_text(C("flat")).alias("blocks"))
+    span = lambda *texts: F.array(F.struct(F.array(F.struct(F.array(*[F.struct(t.alias("text")) for t in texts]).alias("spans"))).alias("lines")))
+    flat = F.array(*[F.struct(C(c).alias("text"), F.lit(k).alias("kind")) for c, k in (("p_name", 0), ("p_brand", 1), ("p_type", 0))])
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((C("p_partkey") + X.MORE).cast("long").alias("id"), span(C("p_name"), F.lit(" "), C("p_brand")).alias("spans"), flat.alias("flat"))
+    return spark.createDataFrame(rows, kind).unionByName(parts).select("id", assembly.spans_text(C("spans")).alias("lines"), assembly.blocks_text(C("flat")).alias("blocks"))
 
 
 def targeted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.EMAILS.frame(spark).select("id", F.array_join(assembly.targeted_queries(C("name"), C("text")), "|").alias("queries"))
+    return X.EMAILS.frame(spark, sf_dir).select("id", F.array_join(assembly.targeted_queries(C("name"), C("text")), "|").alias("queries"))
 
 
 def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.cascade(SEARCHED.frame(spark))
+    return assembly.cascade(SEARCHED.frame(spark, sf_dir))
 
 
 def pages_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.pages_to_read(PICKED.frame(spark), assembly.cascade(SEARCHED.frame(spark)))
+    return assembly.pages_to_read(PICKED.frame(spark, sf_dir), assembly.cascade(SEARCHED.frame(spark, sf_dir)))
 
 
 def contact_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = X.NAMES.frame(spark).withColumn("title", F.coalesce("title", F.lit("")))
+    named = X.NAMES.frame(spark, sf_dir).withColumn("title", F.coalesce("title", F.lit("")))
     name, email = assembly.contact_update(C("name"), F.lit("old@x.org"), C("title"), F.when(C("id") % 2 == 0, "new@x.org").otherwise("-"), contacts.formatted_name(C("name"), C("title")))
     return named.select("id", name.alias("name"), email.alias("email"))
 
 
 def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, done = sheet.outcome(*(C(c) for c in ("found", "link", "from_notes", "content", "has_results", "stage_error")))
-    return assembly.run_counts(X.OUTCOMES.frame(spark).select(done.alias("done")))
+    return assembly.run_counts(X.OUTCOMES.frame(spark, sf_dir).select(done.alias("done")))
 
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DATES.frame(spark).select("id", assembly.is_date(C("value")).alias("is_date"))
+    return DATES.frame(spark, sf_dir).select("id", assembly.is_date(C("value")).alias("is_date"))
 
 
 def names_of_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     server, tool = assembly.tool_name(C("name"))
-    return FILES.frame(spark).select("id", assembly.media_type(C("name")).alias("media_type"), server.alias("server"), tool.alias("tool"))
+    return FILES.frame(spark, sf_dir).select("id", assembly.media_type(C("name")).alias("media_type"), server.alias("server"), tool.alias("tool"))
 
 
 def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.catalogue_lines(X.PRICES.frame(spark))
+    return assembly.catalogue_lines(X.PRICES.frame(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
@@ -176,7 +189,7 @@ ORACLES = {
     "chat_messages": "select conv_id, turn, contains(lower(if(turn % 2 = 0, 'Answer in JSON.', '') || text), 'json') as json_mode, cast(length(m) as bigint) as size, m as messages from (select *, '[' || if(turn % 2 = 0, '{\"role\":\"system\",\"content\":\"Answer in JSON.\"},', '') || '{\"role\":\"user\",\"content\":' || to_json(text) || '}]' as m from conversations where text is not null)",
     "stage_prompts": "select doc_id, md5('Find the deadline.' || chr(10) || 'Today: 2024-05-01' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || '---') as prompt from documents",
     "joined_pages": f"select doc, string_agg('--- Page ' || page || ' ---' || chr(10) || {S.strip('text')}, chr(10) || chr(10) order by page) as text from {PAGED.sql} where page <= 10 and {S.strip(S.q('') + ' || coalesce(text, ' + S.q('') + ')')} <> '' group by doc",
-    "block_texts": "select * from (values (cast(1 as bigint), 'ab', 'x' || chr(10) || 'z'), (2, '', '')) as v(id, lines, blocks)",
+    "block_texts": "select * from (values (cast(1 as bigint), 'ab', 'x' || chr(10) || 'z'), (2, '', '')) as v(id, lines, blocks) union all select 1000000 + p_partkey, p_name || ' ' || p_brand, p_name || chr(10) || p_type from part",
     "targeted_queries": _targeted(),
     "search_cascade": _cascade(),
     "pages_to_read": f"select query_id, cast(row_number() over (partition by query_id order by f, rank) as integer) as place, url from (select * from (select query_id, 0 as f, rank, url from {PICKED.sql} union all select query_id, 1, rank, url from ({_cascade()})) qualify row_number() over (partition by query_id, url order by f, rank) = 1) qualify place <= 8",

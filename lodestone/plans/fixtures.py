@@ -1,9 +1,16 @@
-"""Small inline tables for branches that the shared tables don't reach, the same rows for Spark and for SQL."""
+"""The queries' inputs: rows derived from the shared tables, and small inline tables for branches that these don't reach; the same for Spark and for SQL.
+
+A derivation is one SELECT that Spark and DuckDB read alike; `given_<table>` stands for a shared table. The inline rows' keys lie below MORE, the derived ones' above.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 
 def literal(v) -> str:
     if v is None:
@@ -22,19 +29,37 @@ class Fixture:
 
     SQL = {"long": "bigint", "int": "integer", "double": "double", "boolean": "boolean", "string": "varchar", "array<string>": "varchar[]"}
 
-    def __init__(self, schema: str, rows: list[tuple]):
-        self.schema, self.rows = schema, rows
+    def __init__(self, schema: str, rows: list[tuple], derived: str = ""):
+        self.schema, self.rows, self.derived = schema, rows, derived
         self.columns = [c.split(" ", 1) for c in schema.split(", ")]
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        """The inline rows; with a folder of tables, the derived rows too."""
+        inline = spark.createDataFrame(self.rows, self.schema)
+        return self.from_tables(spark, sf_dir).unionByName(inline) if sf_dir and self.derived else inline
+
+    def from_tables(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in set(re.findall(r"given_(\w+)", self.derived)):
+            spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(f"given_{t}")
+        return spark.sql(self.derived).selectExpr(*[f"cast(`{n}` as {k}) as `{n}`" for n, k in self.columns])
 
     @property
-    def sql(self) -> str:
-        """The rows as a parenthesised SQL query."""
-        cast = ", ".join(f'cast("{n}" as {self.SQL[k]}) as "{n}"' for n, k in self.columns)
+    def inline(self) -> str:
+        """The inline rows as a parenthesised SQL query."""
         names = ", ".join(f'"{n}"' for n, _ in self.columns)
-        return f"(select {cast} from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in self.rows)}) as v({names}))"
+        return f"(select {self._cast()} from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in self.rows)}) as v({names}))"
+
+    @property
+    def tables(self) -> str:
+        """The derived rows as a parenthesised SQL query."""
+        return f"(select {self._cast()} from ({re.sub('given_', '', self.derived)}))"
+
+    @property
+    def sql(self) -> str:
+        return f"(select * from {self.tables} union all select * from {self.inline})" if self.derived else self.inline
+
+    def _cast(self) -> str:
+        return ", ".join(f'cast("{n}" as {self.SQL[k]}) as "{n}"' for n, k in self.columns)
 
 
 def _padded(text: str, n: int) -> str:
@@ -282,3 +307,50 @@ POSTINGS = Fixture(
     ],
 )
 LOG_OF_TURNS = 4
+
+#: Added to the ids of derived rows.
+MORE = 1_000_000
+
+# What the inline tables' columns are in the shared ones: clients are contacts, pages are search results, fetches and links, orders are rows of the work table,
+# parts are records and models, turns of conversations are pages of papers and loads of a page, events are requests.
+EMAILS.derived = f"""select {MORE} + client_id as id, case client_id % 6 when 0 then replace(replace(email, '@', '[at]'), '.', '[dot]') when 1 then 'info@' || lower(segment) || '.org' when 2 then replace(email, '@', ' at ') else email end as email,
+  case client_id % 4 when 0 then 'Dr. ' || name when 1 then '-' else name end as name, 'Write to ' || case client_id % 3 when 0 then 'Professor ' else '' end || name || ' at ' || email || '. Verified email at ' || lower(segment) || '.example.org, ' || city as text from given_clients"""
+NAMES.derived = f"""select {MORE} + client_id as id, case client_id % 5 when 0 then 'Prof. Dr. ' || name || ', PhD' when 1 then 'Dr. ' || name when 2 then name || ' (' || city || ')' when 3 then 'Assistant Professor ' || name else name end as name,
+  case client_id % 4 when 0 then 'Dr.' when 1 then 'Ms.' when 2 then '' end as title, 'the page of ' || case client_id % 3 when 0 then name when 1 then lower(name) else segment end as text from given_clients"""
+REDIRECTS.derived = f"""select {MORE} + page_id as id, case page_id % 4 when 0 then '/l/?uddg=' || replace(replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '?', '%3F'), '&', '%26') || '&rut=1' when 1 then '//duckduckgo.com/l/?rut=' || replace(replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '?', '%3F'), '&', '%26') when 2 then '/p/' || page_id else url end as raw,
+  'https://duckduckgo.com/html/?q=' || page_id as base from given_pages"""
+FILENAMES.derived = f"select {MORE} + page_id as id, url || case page_id % 3 when 0 then '.pdf' when 1 then '' else url || '.docx' end as name, case page_id % 4 when 0 then 'pdf' when 1 then 'epub' when 2 then 'xyz' end as kind from given_pages"
+SHEET.derived = f"""select {MORE} + o_orderkey as row_index, case o_orderkey % 4 when 0 then 'see https://notes.org/' || o_orderkey || ' first' when 1 then 'no link' when 2 then '' end as Notes, case o_orderkey % 3 when 0 then 'https://uni.edu/jobs/' || o_custkey when 1 then '' end as Source,
+  case o_orderstatus when 'F' then 'LLM' when 'O' then '' end as Verifier, case o_orderpriority when '1-URGENT' then 'N' when '2-HIGH' then 'failed' when '3-MEDIUM' then '' end as Error from given_orders"""
+UPDATES.derived = f"""select {MORE} + o_orderkey as row_index, split(case o_orderkey % 3 when 0 then 'Notes,Unknown' when 1 then 'Source,Notes' else 'Source' end, ',') as keys, split(case o_orderkey % 3 when 0 then 'note ' || o_custkey || ',lost' when 1 then 'https://new.org,' else '' end, ',') as vals,
+  case o_custkey % 2 when 0 then 'LLM' else '' end as verifier, case o_custkey % 3 when 0 then 'partial' when 1 then '' end as error from given_orders where o_orderstatus = 'P'"""
+OUTCOMES.derived = f"""select {MORE} + page_id as id, page_id % 11 <> 0 as found, case when page_id % 7 <> 0 then case page_id % 5 when 0 then 'https://www.linkedin.com/' || page_id else url end end as link, page_id % 3 = 0 as from_notes, case when page_id % 13 <> 0 then html end as content, page_id % 4 <> 0 as has_results,
+  case page_id % 6 when 0 then 'stage 2 failed' when 1 then '' end as stage_error from given_pages"""
+RECORDS.derived = f"""select {MORE} + p_partkey as id, case p_size % 5 when 0 then '{{"GIS":"1","RS":"' || (p_partkey % 2) || '"}}' when 1 then '{{"WX_Label1":"' || p_name || '"}}'
+  else '{{"Deadline":"' || case p_partkey % 4 when 0 then 'Soon' when 1 then '2024-05-01' when 2 then '2024-05-01 noon' else 'later' end || '","Number_Places":"up to ' || p_size || ' of ' || p_partkey || '","Direction":" ' || p_name || ' ","University_EN":"' || p_brand || '","Contact_Name":"' || case p_partkey % 3 when 0 then '-' else p_name end || '","Contact_Email":"' || replace(p_name, ' ', '.') || '[at]uni.edu","GIS":"' || (p_partkey % 2) || '","Conference":"' || (p_partkey % 7) || '"}}' end as record from given_part"""
+STAGES.derived = f"""select {MORE} + p_partkey as id, case when p_size % 4 <> 0 then '{{"Deadline":"Soon","Direction":"' || p_name || '"}}' end as one, case when p_size % 3 <> 0 then '{{"GIS":"1","RS":"1"}}' end as two, case when p_size % 5 <> 0 then '{{"WX_Label1":"' || p_type || '","Direction":"' || p_brand || '"}}' end as three,
+  case when p_size % 4 = 0 then 'one failed' else '' end as e1, case when p_size % 3 = 0 then 'two failed' end as e2, case when p_size % 5 = 0 then 'three failed' end as e3 from given_part"""
+DIRECTIONS.derived = f"""select {MORE} + p_partkey as id, case p_size % 4 when 0 then '{{"directions":[]}}' else '{{"directions":["' || p_name || '","","' || p_type || '","' || p_brand || '","more"]}}' end as found, '{{"GIS":"' || (p_size % 2) || '","RS":"1","Other":"1","Urban":"' || (p_partkey % 3) || '"}}' as mapped from given_part"""
+DELTAS.derived = f"select {MORE} + client_id as id, name, email, case client_id % 3 when 0 then 'Dr. ' || name when 1 then name end as new_name, case client_id % 4 when 0 then lower(segment) || '@x.org' when 1 then '' else email end as new_email from given_clients"
+ATTEMPTS.derived = """select url || '#' || page_id as url, 0 as ord, 'http' as method, case page_id % 3 when 0 then '' else html end as content, false as transport_challenge, page_id * 37 % 100 as score from given_pages
+  union all select url || '#' || page_id, 1, 'playwright', case page_id % 5 when 0 then null else html end, false, page_id * 53 % 100 from given_pages union all select url || '#' || page_id, 2, 'browser_agent', html, true, 40 from given_pages"""
+RETRIES.derived = f"""select {MORE} + event_id as id, case event_type when 'error' then 403 when 'click' then 429 when 'purchase' then 500 when 'view' then 404 else 503 end as status, case user_id % 3 when 0 then 'cloudflare' when 1 then 'nginx' end as server, case user_id % 5 when 0 then 'ray-' || user_id end as ray, event_id % 3 as attempt from given_events"""
+ROUTES.derived = f"""select {MORE} + page_id as id, case page_id % 6 when 0 then 'https://docs.google.com/document/d/' || page_id || '/edit' when 1 then 'https://drive.google.com/file/d/' || page_id || '/view' when 2 then 'https://jobs.lever.co/acme/' || page_id when 3 then url || '/x.pdf' else url end as url,
+  case page_id % 4 when 0 then 'text/html' when 1 then 'application/pdf' else '' end as content_type, split(case page_id % 3 when 0 then 'curl_cffi,ocr' when 1 then 'playwright' else 'browser_agent,curl_cffi,playwright' end, ',') as available from given_pages"""
+PDF_ATTEMPTS.derived = "select 'd' || doc_id as path, 0 as ord, case when doc_id % 2 = 0 then '%PDF-1.4 ' || text end as text from given_documents union all select 'd' || doc_id, 1, text from given_documents"
+RESULTS.derived = f"""select {MORE} + page_id % 97 as query_id, page_id as ord, case page_id % 3 when 0 then 'Jo Lee homepage' when 1 then 'People of the university' else 'Results' end as title, case page_id % 10 when 0 then '' when 1 then 'https://uni.edu/people/' || (page_id % 7) when 2 then 'https://x.com/p' || page_id else url end as url,
+  case page_id % 4 when 0 then 'Professor Jo Lee, jo.lee@uni.edu' when 1 then 'J. Lee, researcher' else url end as snippet from given_pages"""
+ANALYSES.derived = f"""select {MORE} + c_nationkey as contact_id, c_custkey as ord, 'Jo Lee' as contact_name, c_acctbal > 3000 as has_doctorate, case c_custkey % 4 when 0 then 'info@x.edu' when 1 then 'jo.lee' || c_custkey || '[at]x.edu' when 2 then 'someone@x.edu' end as email_address,
+  case c_mktsegment when 'HOUSEHOLD' then 'male' when 'MACHINERY' then 'female' when 'BUILDING' then 'unknown' when 'FURNITURE' then '' end as gender from given_customer"""
+PRICES.derived = """select case p_size % 6 when 0 then 'gpt-4o-' when 1 then 'claude-' when 2 then 'models/gemini-' when 3 then 'text-embedding-' when 4 then 'qwen-vl-' else 'other-' end || p_partkey as model_name, p_size * 0.125 as model_ratio, case p_partkey % 3 when 0 then 4.0 when 1 then 0.0 end as completion_ratio,
+  case p_partkey % 9 when 0 then 1 else 0 end as quota_type, case p_partkey % 2 when 0 then 0.25 end as model_price, lower(p_brand) as owner_by, split(case p_partkey % 4 when 0 then 'openai' when 1 then 'anthropic,openai' else 'embeddings' end, ',') as endpoints from given_part"""
+PRICE_FEEDS.derived = """select case p_size % 2 when 0 then '{"data":[' else '{"models":[' end || '{"model_name":"' || p_name || '-' || p_partkey || '","model_ratio":' || (p_size % 4) || '.5,"completion_ratio":' || (p_partkey % 5) || ',"quota_type":' || (p_partkey % 2) || ',"model_price":0.25,"owner_by":"' || p_brand || '","supported_endpoint_types":["openai","' || lower(p_type) || '"]},{"model_name":"' || p_type || '"}]}' as payload from given_part"""
+CATALOGUES.derived = f"select {MORE} + o_orderkey as id, left(cast(o_orderdate as string), 10) || ' 10:00:00' as generated, case o_orderkey % 3 when 0 then left(cast(o_orderdate as string), 7) || '-28 23:59:59' when 1 then '2024-05-01 00:00:00' else left(cast(o_orderdate as string), 5) || '01-15 00:00:00' end as today from given_orders"
+LOADS.derived = "select 'c' || conv_id as page, turn as ord, length(role) as content_hash, case when turn < 2 then length(text) else 100 end as content_length from given_conversations"
+JSON_TEXTS.derived = f"""select {MORE} + conv_id * 1000 + turn as id, case turn % 4 when 0 then 'Here:' || chr(10) || '```json' || chr(10) || '{{"role":"' || role || '"}}' || chr(10) || '```' || chr(10) || said when 1 then said || ' {{"role":"' || role || '"}} ' || said when 2 then said when 3 then '[{{"role":"' || role || '"}}]' end as response
+  from (select conv_id, turn, role, translate(coalesce(text, ''), '{{}}[]`"', '      ') as said from given_conversations)"""
+PAYLOADS.derived = f"""select {MORE} + conv_id * 1000 + turn as id, case turn % 4 when 0 then '{{"choices":[{{"message":{{"content":"' || role || ' ' || n || '"}}}}]}}' when 1 then '{{"choices":[{{"message":{{"content":[{{"type":"text","text":"' || role || '"}},{{"type":"x"}},{{"text":" ' || n || '"}}]}}}}]}}'
+  when 2 then '{{"output":[{{"content":[{{"text":"' || role || ' ' || n || '"}}]}}]}}' else '{{"candidates":[{{"content":{{"parts":[{{"text":"' || role || ' ' || n || '"}}]}}}}]}}' end as payload from (select conv_id, turn, role, coalesce(length(text), 0) as n from given_conversations)"""
+FEEDS.derived = """select 'd' || page_id as source, '<rss><channel><item><title>Page ' || page_id || ' &amp;amp; more</title><link> https://a.org/' || page_id || ' </link><description>&lt;p&gt;On ' || (page_id % 7) || '&lt;/p&gt;</description><pubDate>Mon, 1 Jan 2024</pubDate></item><item><title>No link</title></item></channel></rss>' as xml from given_pages"""
+RESULT_PAGES.derived = f"""select {MORE} + page_id as query_id, case page_id % 2 when 0 then 'duckduckgo' else 'bing' end as provider, case page_id % 2 when 0 then '<div class="result"><a class="result__a" href="https://u' || page_id || '.edu/">T <b>' || page_id || '</b></a></div>' else '<ol><li class="b_algo"><h2><a href="https://v' || page_id || '.edu/">V' || page_id || '</a></h2><div class="b_caption"><p>said</p></div></li></ol>' end as html, '' as contact from given_pages"""
+POSTINGS.derived = f"""select {MORE} + p_partkey as id, 'https://boards.greenhouse.io/acme/jobs/' || p_partkey as url, '{{"title":"' || p_name || '","company_name":"' || p_brand || '","location":{{"name":"' || p_type || '"}},"application_deadline":null,"content":"&lt;p&gt;Build &amp;amp; run&lt;/p&gt;&lt;p&gt;size ' || p_size || '&lt;/p&gt;"}}' as payload from given_part"""

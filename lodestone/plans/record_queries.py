@@ -16,54 +16,54 @@ C = F.col
 
 
 def email_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.EMAILS.frame(spark).select("id", text.clean_email(C("email")).alias("cleaned"))
+    return X.EMAILS.frame(spark, sf_dir).select("id", text.clean_email(C("email")).alias("cleaned"))
 
 
 def email_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = documents(spark, sf_dir).unionByName(X.EMAILS.frame(spark).select(C("id").alias("doc_id"), "text"))
+    both = documents(spark, sf_dir).unionByName(X.EMAILS.frame(spark, sf_dir).select(C("id").alias("doc_id"), "text"))
     return both.select("doc_id", F.array_join(contacts.email_candidates(C("text")), ",").alias("emails"))
 
 
 def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.EMAILS.frame(spark).select("id", F.array_join(contacts.email_domains(C("text")), ",").alias("domains"))
+    return X.EMAILS.frame(spark, sf_dir).select("id", F.array_join(contacts.email_domains(C("text")), ",").alias("domains"))
 
 
 def email_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.EMAILS.frame(spark).select("id", contacts.generic_email(C("email"), C("name")).alias("generic"))
+    return X.EMAILS.frame(spark, sf_dir).select("id", contacts.generic_email(C("email"), C("name")).alias("generic"))
 
 
 def verify_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed, case = contacts.verify_decision(C("name"), C("email"), C("text"))
-    return X.EMAILS.frame(spark).select("id", needed.alias("needed"), case.alias("reason"))
+    return X.EMAILS.frame(spark, sf_dir).select("id", needed.alias("needed"), case.alias("reason"))
 
 
 def name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.NAMES.frame(spark).select("id", contacts.clean_name(C("name")).alias("cleaned"))
+    return X.NAMES.frame(spark, sf_dir).select("id", contacts.clean_name(C("name")).alias("cleaned"))
 
 
 def name_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.NAMES.frame(spark).select("id", contacts.formatted_name(C("name"), text.text_of(C("title"))).alias("formatted"))
+    return X.NAMES.frame(spark, sf_dir).select("id", contacts.formatted_name(C("name"), text.text_of(C("title"))).alias("formatted"))
 
 
 def name_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.NAMES.frame(spark).select("id", contacts.name_relevant(C("text"), C("name")).alias("relevant"))
+    return X.NAMES.frame(spark, sf_dir).select("id", contacts.name_relevant(C("text"), C("name")).alias("relevant"))
 
 
 def profile_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contacts.promising_profile(C("url"), C("title"), C("snippet"), F.lit("Dr. Jo Lee"))
-    return X.RESULTS.frame(spark).select("query_id", "ord", found.alias("promising"))
+    return X.RESULTS.frame(spark, sf_dir).select("query_id", "ord", found.alias("promising"))
 
 
 def result_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.distinct_results(X.RESULTS.frame(spark)).select("query_id", "ord", "url")
+    return selection.distinct_results(X.RESULTS.frame(spark, sf_dir)).select("query_id", "ord", "url")
 
 
 def result_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.top_results(X.RESULTS.frame(spark))
+    return selection.top_results(X.RESULTS.frame(spark, sf_dir))
 
 
 def contact_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.vote(X.ANALYSES.frame(spark))
+    return selection.vote(X.ANALYSES.frame(spark, sf_dir))
 
 
 def label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,20 +75,20 @@ def label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.DELTAS.frame(spark).select("id", rules.contact_delta(C("name"), C("email"), C("new_name"), C("new_email")).alias("changes"))
+    return X.DELTAS.frame(spark, sf_dir).select("id", rules.contact_delta(C("name"), C("email"), C("new_name"), C("new_email")).alias("changes"))
 
 
 def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.JSON_TEXTS.frame(spark).select("id", json_text.json_object(C("response")).alias("found"))
+    return X.JSON_TEXTS.frame(spark, sf_dir).select("id", json_text.json_object(C("response")).alias("found"))
 
 
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.JSON_TEXTS.frame(spark).select("id", json_text.json_array(C("response")).alias("found"))
+    return X.JSON_TEXTS.frame(spark, sf_dir).select("id", json_text.json_array(C("response")).alias("found"))
 
 
 def chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C("payload")
-    return X.PAYLOADS.frame(spark).select("id", json_text.chat_text(p).alias("chat"), json_text.response_text(p).alias("response"), json_text.candidates_text(p).alias("candidates"))
+    return X.PAYLOADS.frame(spark, sf_dir).select("id", json_text.chat_text(p).alias("chat"), json_text.response_text(p).alias("response"), json_text.candidates_text(p).alias("candidates"))
 
 
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,80 +97,80 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).filter("text is not null").select("doc_id", url.alias("data_url")).select("doc_id", "data_url", kind.alias("media_type"), encoded.alias("encoded"))
 
 
-def records(spark: SparkSession) -> DataFrame:
-    return X.RECORDS.frame(spark).withColumn("r", rules.record_of(C("record")))
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.RECORDS.frame(spark, sf_dir).withColumn("r", rules.record_of(C("record")))
 
 
 def stage_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = C("r")
-    return records(spark).select("id", rules.facts_verdict(r).alias("facts"), rules.flags_verdict(r).alias("flags"), rules.flags_strict(r).alias("flags_strict"), rules.labels_verdict(r).alias("labels"))
+    return records(spark, sf_dir).select("id", rules.facts_verdict(r).alias("facts"), rules.flags_verdict(r).alias("flags"), rules.flags_strict(r).alias("flags_strict"), rules.labels_verdict(r).alias("labels"))
 
 
 def places_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).select("id", rules.places(rules.value(C("r"), "Number_Places")).alias("places"))
+    return records(spark, sf_dir).select("id", rules.places(rules.value(C("r"), "Number_Places")).alias("places"))
 
 
 def flag_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).filter("r is not null").select("id", rules.rendered(rules.pruned_flags(C("r"))).alias("kept"))
+    return records(spark, sf_dir).filter("r is not null").select("id", rules.rendered(rules.pruned_flags(C("r"))).alias("kept"))
 
 
 def business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark).filter("r is not null").select("id", rules.rendered(rules.post_processed(C("r"))).alias("record"))
+    return records(spark, sf_dir).filter("r is not null").select("id", rules.rendered(rules.post_processed(C("r"))).alias("record"))
 
 
 def stage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     record, status, error = rules.merged_stages([rules.record_of(C(c)) for c in ("one", "two", "three")], [C("e1"), C("e2"), C("e3")])
-    return X.STAGES.frame(spark).select("id", rules.rendered(record).alias("record"), status.alias("status"), error.alias("error"))
+    return X.STAGES.frame(spark, sf_dir).select("id", rules.rendered(record).alias("record"), status.alias("status"), error.alias("error"))
 
 
 def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.directions(C("found"))
-    return X.DIRECTIONS.frame(spark).select("id", F.array_join(found, "|").alias("directions"), rules.directions_query(found).alias("query"), rules.direction_flow(C("found"), C("mapped")).alias("mapped"))
+    return X.DIRECTIONS.frame(spark, sf_dir).select("id", F.array_join(found, "|").alias("directions"), rules.directions_query(found).alias("query"), rules.direction_flow(C("found"), C("mapped")).alias("mapped"))
 
 
 def unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet.open_rows(X.SHEET.frame(spark)).select("row_index")
+    return sheet.open_rows(X.SHEET.frame(spark, sf_dir)).select("row_index")
 
 
 def row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet.row_at(X.SHEET.frame(spark), 4)
+    return sheet.row_at(X.SHEET.frame(spark, sf_dir), 4)
 
 
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     link, notes = sheet.link_of(C("Source"), C("Notes"))
-    return X.SHEET.frame(spark).select("row_index", link.alias("link"), notes.alias("used_notes"))
+    return X.SHEET.frame(spark, sf_dir).select("row_index", link.alias("link"), notes.alias("used_notes"))
 
 
 def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.filter(F.split(F.concat_ws("|", "keys"), "\\|"), lambda x: x != "")
-    return X.UPDATES.frame(spark).select("row_index", F.array_join(F.transform(sheet.padded(cells, 3), lambda x: F.coalesce(x, F.lit("-"))), ",").alias("cells"))
+    return X.UPDATES.frame(spark, sf_dir).select("row_index", F.array_join(F.transform(sheet.padded(cells, 3), lambda x: F.coalesce(x, F.lit("-"))), ",").alias("cells"))
 
 
 def sheet_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = X.UPDATES.frame(spark).select("row_index", F.map_from_arrays("keys", "vals").alias("cells"), "verifier", "error")
-    return sheet.updated(X.SHEET.frame(spark), updates)
+    updates = X.UPDATES.frame(spark, sf_dir).select("row_index", F.map_from_arrays("keys", "vals").alias("cells"), "verifier", "error")
+    return sheet.updated(X.SHEET.frame(spark, sf_dir), updates)
 
 
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet.without_rows(X.SHEET.frame(spark), X.UPDATES.frame(spark))
+    return sheet.without_rows(X.SHEET.frame(spark, sf_dir), X.UPDATES.frame(spark, sf_dir))
 
 
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = X.UPDATES.frame(spark).select("row_index", F.get("vals", F.lit(0)).alias("Notes"), C("error").alias("Error"))
-    return sheet.with_rows(X.SHEET.frame(spark), new)
+    new = X.UPDATES.frame(spark, sf_dir).select("row_index", F.get("vals", F.lit(0)).alias("Notes"), C("error").alias("Error"))
+    return sheet.with_rows(X.SHEET.frame(spark, sf_dir), new)
 
 
 def sheet_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet.statistics(X.SHEET.frame(spark))
+    return sheet.statistics(X.SHEET.frame(spark, sf_dir))
 
 
 def sheet_stats_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet.statistics(X.SHEET.frame(spark), reviewed=True)
+    return sheet.statistics(X.SHEET.frame(spark, sf_dir), reviewed=True)
 
 
 def row_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     verifier, error, done = sheet.outcome(*(C(c) for c in ("found", "link", "from_notes", "content", "has_results", "stage_error")))
-    return X.OUTCOMES.frame(spark).select("id", verifier.alias("verifier"), error.alias("error"), done.alias("done"))
+    return X.OUTCOMES.frame(spark, sf_dir).select("id", verifier.alias("verifier"), error.alias("error"), done.alias("done"))
 
 
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def breaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker over the fixture and over events, whose errors stand for refused logins."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     calls = events.select(F.lit("events").alias("client"), C("user_id").cast("string").alias("model"), C("event_id").cast("long").alias("ord"), F.unix_timestamp("ts").alias("ts"), F.when(C("event_type") == "error", 401).otherwise(200).alias("status"))
-    return model_calls.breaker(X.MODEL_CALLS.frame(spark).unionByName(calls))
+    return model_calls.breaker(X.MODEL_CALLS.frame(spark, sf_dir).unionByName(calls))
 
 
 def chain_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,15 +192,15 @@ def chain_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = F.array(*[F.struct(F.lit(m).alias("model"), status.cast("int").alias("status")) for m, status in statuses.items()])
     turned = F.concat(F.slice(chain, (id_ % 3 + 1).cast("int"), 3), F.slice(chain, F.lit(1), (id_ % 3).cast("int")))
     asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(C("user_id").cast("string").alias("client"), id_.alias("ord"), F.unix_timestamp("ts").alias("ts"), turned.alias("outcomes"))
-    return model_calls.chain_results(X.CHAINS.frame(spark).select("client", "ord", "ts", outcomes.alias("outcomes")).unionByName(asked))
+    return model_calls.chain_results(X.CHAINS.frame(spark, sf_dir).select("client", "ord", "ts", outcomes.alias("outcomes")).unionByName(asked))
 
 
 def model_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.price_list(X.PRICES.frame(spark))
+    return catalog.price_list(X.PRICES.frame(spark, sf_dir))
 
 
 def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.catalogue_counts(X.PRICES.frame(spark))
+    return catalog.catalogue_counts(X.PRICES.frame(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (email_clean, email_candidates, email_domains, email_generic, verify_decision, name_clean, name_format, name_relevant, profile_results, result_dedup, result_topk, contact_vote, label_vote, contact_delta, json_object, json_array, chat_text, data_urls, stage_validate, places_digits, flag_prune, business_rules, stage_merge, directions, unfilled, row_lookup, link_resolve, ragged_rows, sheet_update, delete_rows, append_rows, sheet_stats, sheet_stats_reviewed, row_outcome, conversation_log, breaker_timeline, chain_pick, model_prices, model_counts)}
@@ -389,8 +389,10 @@ select p.contact_id, case when doctors * 2 > pages then 'Dr.' when gender = 'mal
     "label_vote": "select source, cast(count_if(quality = 1) as bigint) as good, count(*) as n, count_if(quality = 1) * 2 > count(*) as accepted from labels join documents using (doc_id) group by source",
     "contact_delta": f"select id, concat_ws('; ', case when new_name is distinct from name then 'Contact_Name=' || coalesce(new_name, '') end, case when new_email is distinct from email then 'Contact_Email=' || coalesce(new_email, '') end) as changes from {X.DELTAS.sql}",
     # What the six methods give for each response, worked out by hand.
-    "json_object": """select * from (values (cast(1 as bigint), '{"a":"1"}'), (2, '{"a":1}'), (3, '{"a":1}'), (4, '[1,2]'), (5, '{"a":2}'), (6, null), (7, '[1,2]'), (8, '{"a":1}'), (9, '{"k":"v"}'), (10, null), (11, null), (12, null), (13, '{"ok":true}')) as v(id, found)""",
-    "json_array": """select * from (values (cast(1 as bigint), '[]'), (2, '[]'), (3, '[]'), (4, '[1,2]'), (5, '[]'), (6, '[]'), (7, '[1,2]'), (8, '[{"a":1}]'), (9, '[]'), (10, '[]'), (11, '[]'), (12, '[]'), (13, '[]')) as v(id, found)""",
+    "json_object": """select * from (values (cast(1 as bigint), '{"a":"1"}'), (2, '{"a":1}'), (3, '{"a":1}'), (4, '[1,2]'), (5, '{"a":2}'), (6, null), (7, '[1,2]'), (8, '{"a":1}'), (9, '{"k":"v"}'), (10, null), (11, null), (12, null), (13, '{"ok":true}')) as v(id, found) union all
+select 1000000 + conv_id * 1000 + turn, case when turn % 4 <> 2 then '{"role":"' || role || '"}' end from conversations""",
+    "json_array": """select * from (values (cast(1 as bigint), '[]'), (2, '[]'), (3, '[]'), (4, '[1,2]'), (5, '[]'), (6, '[]'), (7, '[1,2]'), (8, '[{"a":1}]'), (9, '[]'), (10, '[]'), (11, '[]'), (12, '[]'), (13, '[]')) as v(id, found) union all
+select 1000000 + conv_id * 1000 + turn, case when turn % 4 = 3 then '[{"role":"' || role || '"}]' else '[]' end from conversations""",
     "chat_text": f"""select id, case json_type(payload, '$.choices[0].message.content') when 'ARRAY' then array_to_string(list_transform(json_extract(payload, '$.choices[0].message.content[*]'), lambda x: coalesce(x->>'$.text', '')), '') else coalesce(payload->>'$.choices[0].message.content', '') end as chat,
 {S.strip("array_to_string(payload->>'$.output[*].content[*].text', chr(10))")} as response, {S.strip("array_to_string(payload->>'$.candidates[*].content.parts[*].text', chr(10))")} as candidates from {X.PAYLOADS.sql}""",
     "data_urls": f"select doc_id, 'data:text/plain;base64,' || e as data_url, 'text/plain' as media_type, e as encoded from (select doc_id, base64(encode(text)) as e from (select doc_id, text from documents union all select * from {X.TEXTS.sql}) where text is not null)",

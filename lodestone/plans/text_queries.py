@@ -18,7 +18,7 @@ PAGES = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, more: X.Fixture = X.TEXTS) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(more.frame(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).unionByName(more.frame(spark, sf_dir))
 
 
 def _sql(more: X.Fixture = X.TEXTS) -> str:
@@ -48,7 +48,7 @@ def candidate_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + PAGES).alias("doc_id"), "html"))
     other = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("method"), t.alias("text")) for i, (m, t) in enumerate((("innerText", text.html_to_layout(F.col("html"))), ("og:description", selection.description(F.col("html")))), 2)])
     found = main_text.main_texts(pages, "doc_id").unionByName(pages.select("doc_id", F.explode(other).alias("c")).select("doc_id", "c.*"))
-    return selection.pick_candidates(found.unionByName(X.CANDIDATES.frame(spark))).withColumn("score", F.round("score", 6))
+    return selection.pick_candidates(found.unionByName(X.CANDIDATES.frame(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 def main_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def main_text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_backend_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.first_valid_backend(X.PDF_ATTEMPTS.frame(spark))
+    return selection.first_valid_backend(X.PDF_ATTEMPTS.frame(spark, sf_dir))
 
 
 def placeholder_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,11 @@ from ..sources import feeds
 from ..sources.files import spread
 from . import fixtures as X
 from . import sql_parts as S
+from .text_queries import _sql, _web_quality, documents
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url", F.lit("").alias("html")).unionByName(X.URLS.frame(spark))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url", F.lit("").alias("html")).unionByName(X.URLS.frame(spark, sf_dir))
 
 
 _URLS = f"(select page_id as id, url, '' as html from pages union all select * from {X.URLS.sql})"
@@ -30,18 +31,18 @@ def per_url(**columns):
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).unionByName(X.PAGES.frame(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).unionByName(X.PAGES.frame(spark, sf_dir))
 
 
 U = lambda: F.col("url")
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.REDIRECTS.frame(spark).select("id", urls.unwrap_redirect(F.col("raw"), F.col("base")).alias("target"))
+    return X.REDIRECTS.frame(spark, sf_dir).select("id", urls.unwrap_redirect(F.col("raw"), F.col("base")).alias("target"))
 
 
 def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.FILENAMES.frame(spark).select("id", urls.safe_filename(F.col("name")).alias("safe"), urls.docs_export(F.lit("https://docs.google.com/document/d/ID1/edit"), F.col("kind")).alias("export"))
+    return X.FILENAMES.frame(spark, sf_dir).select("id", urls.safe_filename(F.col("name")).alias("safe"), urls.docs_export(F.lit("https://docs.google.com/document/d/ID1/edit"), F.col("kind")).alias("export"))
 
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,32 +58,36 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.items(X.FEEDS.frame(spark))
+    return feeds.items(X.FEEDS.frame(spark, sf_dir))
 
 
 def rss_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.items(X.FEEDS.frame(spark), limit=1).select("source", "title", "url")
+    return feeds.items(X.FEEDS.frame(spark, sf_dir), limit=1).select("source", "title", "url")
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.ROUTES.frame(spark).select("id", policy.route(U(), F.col("content_type")).alias("route"), F.array_join(policy.tier_plan(F.col("available")), ",").alias("tiers"))
+    return X.ROUTES.frame(spark, sf_dir).select("id", policy.route(U(), F.col("content_type")).alias("route"), F.array_join(policy.tier_plan(F.col("available")), ",").alias("tiers"))
 
 
 def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return X.RETRIES.frame(spark).select("id", policy.retry_action(c("status"), c("server"), c("ray"), c("attempt")).alias("action"), policy.retry_wait(c("attempt")).alias("wait"))
+    return X.RETRIES.frame(spark, sf_dir).select("id", policy.retry_action(c("status"), c("server"), c("ray"), c("attempt")).alias("action"), policy.retry_wait(c("attempt")).alias("wait"))
 
 
 def attempts_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.best_attempt(X.ATTEMPTS.frame(spark))
+    return selection.best_attempt(X.ATTEMPTS.frame(spark, sf_dir))
 
 
 def escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.escalate(X.ATTEMPTS.frame(spark).drop("score"))
+    """Attempts over the fixture, and over documents: by HTTP for every third one, else empty-handed, then by a browser."""
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("https://docs.org/"), "doc_id").alias("url"), "doc_id", "text")
+    tried = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("method"), text_.alias("content")) for i, (m, text_) in enumerate((("http", F.when(F.col("doc_id") % 3 == 0, F.col("text"))), ("playwright", F.col("text"))))])
+    found = docs.select("url", F.explode(tried).alias("a")).select("url", "a.*", F.lit(False).alias("transport_challenge"))
+    return policy.escalate(X.ATTEMPTS.frame(spark).drop("score").unionByName(found))
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.settled(X.LOADS.frame(spark))
+    return policy.settled(X.LOADS.frame(spark, sf_dir))
 
 
 def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +96,13 @@ def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ats_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = page_urls(spark, sf_dir).select("id", "url").unionByName(X.POSTINGS.frame(spark).select(F.col("id") + 1000, "url").toDF("id", "url")).withColumn("kind", urls.ats_kind(U()))
+    kinds = page_urls(spark, sf_dir).select("id", "url").unionByName(X.POSTINGS.frame(spark, sf_dir).select(F.col("id") + 1000, "url").toDF("id", "url")).withColumn("kind", urls.ats_kind(U()))
     account, posting = postings.posting_ids(F.col("kind"), U())
     return kinds.filter("kind is not null").select("id", "kind", account.alias("account"), posting.alias("posting"))
 
 
 def ats_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.decoded(X.POSTINGS.frame(spark), least=1).select("url", "kind", "text")
+    return postings.decoded(X.POSTINGS.frame(spark, sf_dir), least=1).select("url", "kind", "text")
 
 
 def _any_host(words: list[str]) -> str:
@@ -182,7 +187,17 @@ def _decode() -> str:
         9: ("bamboohr", ["Tester", "Location: Riga, LV", "Department: QA", "Test"]), 10: ("oracle_hcm", ["Pilot", "Location: Kiel", "Fly"]), 11: ("teamtailor", ["Baker", "Location: Graz", "Employment type: FULL", "Bake"]), 12: ("eightfold", ["Second", "Location: Nice, Lyon", "Department: R&D", "Think"]), 13: ("greenhouse", None), 14: (None, None),
     }
     rows = ", ".join(f"({i}, {X.literal(k)}, {nl.join(map(X.literal, t)) if t else 'null'})" for i, (k, t) in lines.items())
-    return f"select url, kind, cast(text as varchar) as text from {X.POSTINGS.sql} p join (values {rows}) as v(id, kind, text) using (id)"
+    parts = f"select 'https://boards.greenhouse.io/acme/jobs/' || p_partkey, 'greenhouse', p_name{nl}'Company: ' || p_brand{nl}'Location: ' || p_type{nl}'Build & run'{nl}'size ' || p_size from part"
+    return f"select url, kind, cast(text as varchar) as text from {X.POSTINGS.inline} p join (values {rows}) as v(id, kind, text) using (id) union all {parts}"
+
+
+def _escalated() -> str:
+    """The policy for documents' two attempts, the first of which two in three times brings nothing; without an agent nothing is ruled out."""
+    flag = lambda f: f"contains(',' || flags || ',', ',{f},')"
+    return f"""select url, case e when 'good' then m when 'pdf' then 'pdf' else case when top >= {policy.BEST_EFFORT} then best end end as method, case e when 'good' then 'success' when 'pdf' then 'pdf' else case when top >= {policy.BEST_EFFORT} then 'best_effort' else 'failed' end end as status, tried
+from (select 'https://docs.org/' || doc_id as url, case when one <> '' then one when {flag('pdf_like_content')} then 'pdf' when {flag('challenge_page')} then 'stop' when quality = 'good' then 'good' else '' end as e,
+  case when one <> '' then 'http' else 'playwright' end as m, case when coalesce(text, '') <> '' then score else -1 end as top, case when doc_id % 3 = 0 then 'http' else 'playwright' end as best, case when one <> '' then 'http' else 'http,playwright' end as tried
+  from (select *, case when doc_id % 3 <> 0 then '' when {flag('pdf_like_content')} then 'pdf' when quality = 'good' then 'good' else '' end as one from ({_web_quality()}) join {_sql()} using (doc_id)))"""
 
 
 QUERIES = {
@@ -241,15 +256,16 @@ ORACLES = {
     "html_strip": f"select page_id, {_html_layout('html')} as text from {_HTML}",
     "jsonld_body": _jsonld(),
     "meta_desc": f"select page_id, case when {_meta('og:description', 'property')} <> '' then {_meta('og:description', 'property')} else {_meta('description', 'name')} end as description from (select page_id, coalesce(html, '') as h from {_HTML})",
-    "rss_items": "select * from (values ('one', cast(0 as bigint), 'PhD in GIS & RS', 'https://a.org/1', 'Text & more', 'Mon, 1 Jan 2024'), ('one', 2, 'Second', 'https://a.org/2', '', ''), ('two', 0, 'Only', 'https://b.org', 'd', '')) as v(source, ord, title, url, description, published)",
-    "rss_limited": "select * from (values ('one', 'PhD in GIS & RS', 'https://a.org/1'), ('two', 'Only', 'https://b.org')) as v(source, title, url)",
+    "rss_items": "select * from (values ('one', cast(0 as bigint), 'PhD in GIS & RS', 'https://a.org/1', 'Text & more', 'Mon, 1 Jan 2024'), ('one', 2, 'Second', 'https://a.org/2', '', ''), ('two', 0, 'Only', 'https://b.org', 'd', '')) as v(source, ord, title, url, description, published) union all select 'd' || page_id, 0, 'Page ' || page_id || ' & more', 'https://a.org/' || page_id, 'On ' || (page_id % 7), 'Mon, 1 Jan 2024' from pages",
+    "rss_limited": "select * from (values ('one', 'PhD in GIS & RS', 'https://a.org/1'), ('two', 'Only', 'https://b.org')) as v(source, title, url) union all select 'd' || page_id, 'Page ' || page_id || ' & more', 'https://a.org/' || page_id from pages",
     "fetch_route": f"""select id, case when {_IS_DOCS} then 'docs' when {_IS_DRIVE} then 'drive' when ({_KIND}) is not null then 'ats' when {_IS_PDF} or contains(lower(coalesce(content_type, '')), 'application/pdf') then 'pdf' else 'web' end as route,
 array_to_string(list_filter(['http', 'curl_cffi', 'playwright', 'ocr', 'browser_agent'], lambda t: t = 'http' or list_contains(available, t)), ',') as tiers from (select *, coalesce(url, '') as u, {S.host('url')} as h from {X.ROUTES.sql})""",
     "retry_class": f"select id, case when status in (403, 503) and (contains(lower(coalesce(server, '')), 'cloudflare') or ray is not null) then 'challenge' when status between 400 and 499 and status not in (408, 429) then 'stop' when attempt >= 2 then 'give_up' else 'retry' end as action, cast(2 ** attempt as bigint) as wait from {X.RETRIES.sql}",
     "attempt_best": f"select url, ord, method, score from {X.ATTEMPTS.sql} where coalesce(content, '') <> '' qualify row_number() over (partition by url order by score desc, ord) = 1",
     # What the policy gives for each URL, worked out by hand.
     "escalation": """select * from (values ('https://a.org', 'http', 'success', 'http'), ('https://b.org', 'browser_agent', 'success', 'http,curl_cffi,browser_agent'), ('https://c.taleo.net/x', 'http', 'best_effort', 'http,browser_agent'), ('https://d.org', 'pdf', 'pdf', 'http,curl_cffi'),
-('https://e.org', 'http', 'best_effort', 'http,playwright'), ('https://f.org', null, 'failed', 'http,curl_cffi,browser_agent'), ('https://g.org', 'http', 'best_effort', 'http,curl_cffi,playwright,browser_agent'), ('https://h.org', null, 'failed', 'http')) as v(url, method, status, tried)""",
+('https://e.org', 'http', 'best_effort', 'http,playwright'), ('https://f.org', null, 'failed', 'http,curl_cffi,browser_agent'), ('https://g.org', 'http', 'best_effort', 'http,curl_cffi,playwright,browser_agent'), ('https://h.org', null, 'failed', 'http')) as v(url, method, status, tried) union all """
+    + _escalated(),
     "stability_run": f"""with s as (select *, coalesce(content_hash = lag(content_hash) over w and content_length = lag(content_length) over w, false) as same from {X.LOADS.sql} window w as (partition by page order by ord))
 select a.page, min(case when b.same and a.same and b.ord = a.ord - 1 then a.ord end) as settled_at from s a left join s b on a.page = b.page and b.ord = a.ord - 1 group by a.page""",
     "screenshot_plan": "select doc_id, cast(case when n_chars <= 1200 then 1 else least(10, n_chars // 800 + 1) end as integer) as shots from documents",
