@@ -1,5 +1,6 @@
 """Golden cases, properties and sources of the engine's own operators."""
 
+import os
 import zipfile
 
 import pytest
@@ -197,25 +198,79 @@ def test_queue_stream(spark, tmp_path):
     assert [r["row_index"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
 
 
-def test_workbook_round_trip(spark, tmp_path):
-    path = str(tmp_path / "book.xlsx")
-    other = workbook.write_sheet(None, "Unfilled", [["Notes", "Source", "Verifier", "Error"], ["a", "https://a.org", None, "x & <y>"], [None, "b"]])
+HEADER = ["Notes", "Source", "Verifier", "Error"]
+
+
+def book(path, rows, header=HEADER, sheet="Unfilled"):
+    """A workbook of one sheet, written without Spark."""
+    part = f"{path}.rows"
+    with open(part, "w", encoding="utf-8") as f:
+        f.writelines(workbook._row_xml(r) for r in rows)
     with open(path, "wb") as f:
-        f.write(other)
+        workbook.write_sheet(None, sheet, header, [part], f)
+    os.remove(part)
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    path, other = str(tmp_path / "book.xlsx"), str(tmp_path / "other.xlsx")
+    book(path, [["a", "https://a.org", None, "x & <y>"], [None, "b\x01"]])
     df = workbook.load(spark, path)
     assert [tuple(r) for r in df.orderBy("row_index").collect()] == [(0, "a", "https://a.org", None, "x & <y>"), (1, None, "b", None, None)]
     workbook.save(df.withColumn("Verifier", F.lit("LLM")), path)
     assert workbook.load(spark, path).filter("Verifier = 'LLM'").count() == 2
-    with zipfile.ZipFile(path) as z:
-        assert "xl/workbook.xml" in z.namelist()
-    with pytest.raises(ValueError):
-        workbook.save(df, path, most_rows=1)
-    assert workbook.load(spark, path).count() == 2
-    with pytest.raises(Exception):
-        bad = workbook.write_sheet(None, "Unfilled", [["Notes"]])
-        with open(path, "wb") as f:
-            f.write(bad)
-        workbook.load(spark, path).count()
+    # other parts of the file stay, byte for byte
+    with zipfile.ZipFile(path) as z, zipfile.ZipFile(other, "w") as out:
+        for name in z.namelist():
+            out.writestr(name, z.read(name))
+        out.writestr("xl/notes.xml", b"<kept/>")
+    workbook.save(df, other)
+    with zipfile.ZipFile(other) as z:
+        assert z.read("xl/notes.xml") == b"<kept/>" and "xl/workbook.xml" in z.namelist()
+    with pytest.raises(Exception, match="lost"):
+        workbook.save(df, other, sheet="lost")
+    book(other, [["x"]], header=["Notes"])
+    with pytest.raises(Exception, match="lacks columns"):
+        workbook.load(spark, other).count()
+    assert sorted(os.listdir(tmp_path)) == ["book.xlsx", "other.xlsx"]
+
+
+def test_workbook_parts_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    rows = spark.range(5000).select(F.col("id").alias("row_index"), F.concat(F.lit("n"), F.col("id") * 7).alias("Notes"), F.when(F.col("id") % 3 == 0, "s").alias("Source"), F.lit("").alias("Verifier"), F.lit(None).cast("string").alias("Error"))
+    workbook.save(rows.repartition(7), path)
+    back = workbook.load(spark, path).orderBy("row_index").collect()
+    assert [(r["row_index"], r["Notes"], r["Source"], r["Verifier"], r["Error"]) for r in back] == [(i, f"n{i * 7}", "s" if i % 3 == 0 else None, "", None) for i in range(5000)]
+    workbook.save(rows.limit(0), path)
+    assert workbook.load(spark, path).count() == 0
+
+
+def test_workbook_stays_when_a_task_or_the_commit_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "book.xlsx")
+    book(path, [["old", None, None, None]])
+    with open(path, "rb") as f:
+        old = f.read()
+    rows = spark.range(4000).select(F.col("id").alias("row_index"), *[F.lit("x").alias(c) for c in HEADER[:3]], F.when(F.col("id") == 3999, F.raise_error(F.lit("killed"))).otherwise("y").alias("Error"))
+    with pytest.raises(Exception, match="killed"):
+        workbook.save(rows.repartition(4), path)
+    assert open(path, "rb").read() == old and os.listdir(tmp_path) == ["book.xlsx"]
+    writer = workbook._Writer(path, "Unfilled", HEADER)
+    monkeypatch.setattr(workbook, "MOST_ROWS", 1)
+    os.makedirs(writer.staged)
+    with pytest.raises(ValueError, match="rows at most"):
+        writer.commit([workbook.Part(0, 2, f"{writer.staged}/part-0-0"), None])
+    assert open(path, "rb").read() == old and os.listdir(tmp_path) == ["book.xlsx"]
+
+
+def test_workbook_counts_one_attempt_of_a_task(tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    writer = workbook._Writer(path, "Unfilled", HEADER)
+    os.makedirs(writer.staged)
+    for name, text in (("part-0-0", "a"), ("part-0-5", "again"), ("part-1-1", "b")):
+        with open(f"{writer.staged}/{name}", "w") as f:
+            f.write(workbook._row_xml([text]))
+    writer.commit([workbook.Part(1, 1, f"{writer.staged}/part-1-1"), workbook.Part(0, 1, f"{writer.staged}/part-0-5")])
+    with open(path, "rb") as f:
+        assert workbook.read_sheet(f.read(), "Unfilled") == [HEADER, ["again"], ["b"]]
 
 
 def test_sources_and_cache(spark, tmp_path):
