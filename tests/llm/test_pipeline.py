@@ -81,3 +81,17 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = pipeline.drop_near_duplicates(spark, docs, DATA).collect()
     assert sorted(((r["doc_id"] or -1), r["text"]) for r in out) == sorted([(3, text), (3, ""), (3, ""), (-1, text), (9, rows[-1][1])])
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    words = lambda seed, n=40: " ".join(f"w{(seed * 7919 + i * i * 31) % 10_007}" for i in range(n))
+    t, t2, t3 = words(1), words(2), words(3)
+    near = t2.replace("w", "w", 1) + " more"
+    rows = [(3, t), (5, t), (5, ""), (7, t2), (7, t3), (7, None), (9, near), (2, t3), (7, t3), (11, words(4)), (11, words(4) + " more")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, near_node int").repartition(3)
+    out = pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len([g for g in got if g[0] == 11]) == 1  # near to each other, under one id
+    # t3 stays under its smaller id, t2 before its near copy, empty and null texts as they are
+    assert sorted(map(str, (g for g in got if g[0] != 11))) == sorted(map(str, [(3, t), (5, ""), (7, t2), (7, None), (2, t3)]))
