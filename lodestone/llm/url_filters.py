@@ -123,23 +123,26 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), Scratch(spark, "op1")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def oracle(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, least: float = LEAST_DISTRUST) -> str:
-    """In SQL: `rounds` rounds written out, and distrust divided among the hosts that link to one; verdicts may differ from the query's where hosts link to each other."""
+#: Rounds of the SQL: what is left to change after them is below DAMPING ** SQL_ROUNDS, 5e-7.
+SQL_ROUNDS = 90
+
+
+def oracle(rules=RULES, rounds: int = SQL_ROUNDS, damping: float = DAMPING, least: float = LEAST_DISTRUST) -> str:
+    """The same propagation in SQL, round by round. A verdict could differ only where a score lies within TOLERANCE / (1 - damping) of a threshold."""
     fits = [((f"(host = '{t.partition('/')[0]}' or ends_with(host, '.{t.partition('/')[0]}')) and starts_with(path, '/{t.partition('/')[2]}')"), w, t) for w, t in longest_first(rules)]
     case = lambda i: "case " + " ".join(f"when {f[0]} then '{f[i]}'" for f in fits) + " end"
     link = LINK.replace("'", "''")
-    steps, last = [], "select kind, host, seed as score from seeds"
-    for i in range(rounds):
-        steps.append(f"r{i} as ({last})")
-        last = f"select kind, host, sum(score) as score from (select e.kind, e.dst as host, e.p * r.score * {damping} as score from kinds e join r{i} r on e.kind = r.kind and e.src = r.host union all select kind, host, seed * {1 - damping} from seeds) group by kind, host"
     return f"""
-with cut as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{URL}', 2) as path from pages),
+with recursive cut as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{URL}', 2) as path from pages),
 ruled as (select *, {case(2)} as rule, {case(1)} as ruled from cut),
 pairs as (select src, dst, count(*) as n from (select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{UPPER}', '{LOWER}') as dst from cut) where src <> '' and src <> dst group by src, dst),
 edges as (select src, dst, n / sum(n) over (partition by src) as p from pairs),
-kinds as (select 1 as kind, src, dst, p from edges union all select 0, dst, src, p / sum(p) over (partition by dst) from edges),
-seeds as (select case when count_if(ruled = 'allow') * 2 > count(*) then 1 else 0 end as kind, host, cast(1 as double) as seed from ruled where ruled is not null and host <> '' group by host),
-{", ".join(steps)}, r as ({last}),
+kinds as (select 1 as kind, src, dst, p from edges union all select 0, dst, src, p from edges),
+seeds as (select case when count_if(ruled = 'allow') * 2 > count(*) then 1 else 0 end as kind, host, {1 - damping}::double as home from ruled where ruled is not null and host <> '' group by host),
+walk as (select 0 as step, kind, host, home as score from seeds union all
+  select step + 1, kind, host, sum(score) from (select r.step, e.kind, e.dst as host, e.p * r.score * {damping} as score from kinds e join walk r on e.kind = r.kind and e.src = r.host
+    union all select r.step, s.kind, s.host, s.home from seeds s, (select distinct step from walk) r) where step < {rounds} group by step, kind, host),
+r as (select kind, host, score from walk where step = {rounds}),
 scores as (select host, coalesce(sum(score) filter (kind = 1), 0) as trust, coalesce(sum(score) filter (kind = 0), 0) as distrust from r group by host)
 select page_id, ruled.host, path, rule, coalesce(ruled, case when distrust >= {least} and distrust > trust then 'block' else 'allow' end) as verdict
 from ruled left join scores on ruled.host = scores.host"""
