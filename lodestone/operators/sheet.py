@@ -53,6 +53,18 @@ def updated(sheet: DataFrame, updates: DataFrame, key: str = "row_index") -> Dat
     return met.select(*columns)
 
 
+def latest(updates: DataFrame, key: str = "row_index") -> DataFrame:
+    """Updates (key, ord, cells, verifier, error) in the order of ord as one per key: of each cell its last value, the last verifier that isn't empty, the last error given.
+
+    Of updates equal in ord the larger value counts. A key of many updates is folded by partial aggregates, never gathered.
+    """
+    cells = updates.select(key, "ord", F.explode("cells").alias("_name", "_value")).groupBy(key, "_name").agg(F.max_by("_value", F.struct("ord", "_value")).alias("_value"))
+    cells = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("cells"))
+    last = lambda c, kept: F.max_by(F.when(kept, F.col(c)), F.when(kept, F.struct("ord", c))).alias(c)
+    rest = updates.groupBy(key).agg(last("verifier", text_of(F.col("verifier")) != ""), last("error", F.col("error").isNotNull()))
+    return rest.join(cells, key, "left")
+
+
 def without_rows(sheet: DataFrame, gone: DataFrame, key: str = "row_index") -> DataFrame:
     """sheet without the keys of gone."""
     return sheet.join(gone.select(key).distinct(), key, "left_anti")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import contacts, json_text, text
 from ..functions import lexicon as L
 from ..operators import catalog, model_calls, rules, selection, sheet
+from ..sources import layout
+from ..streaming import flush
 from . import fixtures as X
 from . import sql_parts as S
 from .text_queries import documents
@@ -177,6 +179,25 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet.conversation_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def flush_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is delivered twice; each conversation leaves once."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return flush.flushed_once(turns.unionByName(turns).withColumn("last", F.lit(False)))
+
+
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales as a work table in ranges of their numbers, after an update by those that arrived over a day late."""
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
+    text = lambda name: C(name).cast("string")
+    path = layout.shared_folder(spark, "sales")
+    layout.create(sales.select(C("sale_id").alias("row_index"), "client_id", "status", text("priority").alias("priority"), F.lit(None).cast("string").alias("Verifier"), F.lit("").alias("Error")), path)
+    late = sales.filter("arrived_at - sold_at > interval 1 day")
+    cells = F.map_from_entries(F.array(F.struct(F.lit("status"), F.concat(F.lit("late "), F.coalesce("status", F.lit("-")))), F.struct(F.lit("priority"), (C("priority") + 1).cast("string"))))
+    layout.merge(spark, path, late.select(C("sale_id").alias("row_index"), C("arrived_at").alias("ord"), cells.alias("cells"), F.when(C("priority") > 3, "LLM").otherwise("").alias("verifier"), F.when(C("total") < 50, "low").alias("error")))
+    counts = late.groupBy(C("sale_id").alias("row_index")).agg(F.count("*").alias("updates"))
+    return layout.load(spark, path).join(counts, "row_index", "left")
+
+
 def breaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker over the fixture and over events, whose errors stand for refused logins."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -203,7 +224,7 @@ def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalogue_counts(X.PRICES.frame(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (email_clean, email_candidates, email_domains, email_generic, verify_decision, name_clean, name_format, name_relevant, profile_results, result_dedup, result_topk, contact_vote, label_vote, contact_delta, json_object, json_array, chat_text, data_urls, stage_validate, places_digits, flag_prune, business_rules, stage_merge, directions, unfilled, row_lookup, link_resolve, ragged_rows, sheet_update, delete_rows, append_rows, sheet_stats, sheet_stats_reviewed, row_outcome, conversation_log, breaker_timeline, chain_pick, model_prices, model_counts)}
+QUERIES = {f.__name__: f for f in (email_clean, email_candidates, email_domains, email_generic, verify_decision, name_clean, name_format, name_relevant, profile_results, result_dedup, result_topk, contact_vote, label_vote, contact_delta, json_object, json_array, chat_text, data_urls, stage_validate, places_digits, flag_prune, business_rules, stage_merge, directions, unfilled, row_lookup, link_resolve, ragged_rows, sheet_update, delete_rows, append_rows, sheet_stats, sheet_stats_reviewed, row_outcome, conversation_log, flush_once, incremental_update, breaker_timeline, chain_pick, model_prices, model_counts)}
 
 _E, _N, _R, _H = X.EMAILS.sql, X.NAMES.sql, X.RECORDS.sql, X.SHEET.sql
 _TOKENS = "list_filter(regexp_extract_all(lower(n), '[a-z]+'), lambda t: length(t) >= {})"
@@ -415,6 +436,13 @@ case when {_EMPTY} then 'empty' when {_lacks(L.STAGE3_FIELDS)} then 'missing fie
     "sheet_stats_reviewed": f"select cast(total as bigint) as total, cast(filled as bigint) as filled, cast(reviewed as bigint) as reviewed, cast(error as bigint) as error, cast(pending as bigint) as pending, round(100.0 * filled / total, 4)::double as rate from (select {_STATS}, count_if(\"Error\" = 'N') as reviewed, count_if(coalesce(\"Error\", '') not in ('', 'N')) as error, count_if(coalesce(\"Verifier\", '') = '' and coalesce(\"Error\", '') = '') as pending from {_H})",
     "row_outcome": _outcome(),
     "conversation_log": "select conv_id, printf('row_%04d.txt', conv_id) as name, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) order by turn) as log from conversations group by conv_id",
+    "flush_once": "select conv_id, printf('row_%04d.txt', conv_id) as name, count(*) as turns, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) order by turn) as log from conversations group by conv_id",
+    "incremental_update": """with late as (select sale_id, arrived_at, 'late ' || coalesce(status, '-') as s, cast(priority + 1 as varchar) as p, case when priority > 3 then 'LLM' end as v, case when total < 50 then 'low' end as e
+from sales where arrived_at - sold_at > interval 1 day and sale_id >= 0),
+-- the last value of each cell, the last verifier and error given; nulls among the cells' values count
+folded as (select sale_id, (max(struct_pack(a := arrived_at, s := s))).s as s, count(*) as updates, (array_agg(p order by arrived_at desc, p desc nulls last))[1] as p, (max(struct_pack(a := arrived_at, v := v)) filter (where v is not null)).v as v, (max(struct_pack(a := arrived_at, e := e)) filter (where e is not null)).e as e from late group by sale_id)
+select sales.sale_id as row_index, client_id, case when f.sale_id is null then status else f.s end as status, case when f.sale_id is null then cast(priority as varchar) else f.p end as priority, f.v as "Verifier", coalesce(f.e, '') as "Error", f.updates
+from sales left join folded f on f.sale_id = sales.sale_id""",
     "breaker_timeline": _breaker(),
     # The chains' folds, worked out by hand.
     "chain_pick": _chains(),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import contacts, json_text, quality, text, urls
 from lodestone.functions import lexicon as L
 from lodestone.operators import main_text, model_calls, policy, rules
-from lodestone.sources import files, result_pages, workbook
-from lodestone.streaming import queue
+from lodestone.sources import files, layout, result_pages, workbook
+from lodestone.streaming import flush, queue
 
 
 def one(spark, expression, *values):
@@ -347,3 +347,82 @@ def test_main_text_segments_find_articles(spark):
         recall, precision = (sum(x) / len(x) for x in zip(*found[method]))
         assert len(found[method]) > 200
         assert recall >= least[0] and precision >= least[1]
+
+
+def turns_of(rows):
+    return [(c, t, "user", f"text {c} {t}", last) for c, t, last in rows]
+
+
+def test_logs_are_flushed_once(spark, tmp_path):
+    """Turns delivered again, in other files, in a later run, after the log left, and by a batch that ran but was not committed."""
+    schema, folder, out, checkpoint = "conv_id long, turn long, role string, text string, last boolean", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def deliver(rows):
+        spark.createDataFrame(turns_of(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+        assert flush.write_logs(spark.readStream.schema(schema).parquet(folder), out, checkpoint, quiet=3_600_000).awaitTermination(60)
+        return sorted((r["conv_id"], r["turns"], r["log"]) for r in spark.read.parquet(out).collect())
+
+    first = (1, 2, "[user] text 1 0\n[user] text 1 1")
+    assert deliver([(1, 0, False), (1, 1, True), (1, 1, True), (2, 0, False), (None, 0, True), (3, None, True)]) == [first]
+    assert deliver([(1, 0, False), (1, 1, True), (1, 5, True), (2, 0, False)]) == [first]
+    both = deliver([(2, 1, True), (2, 1, True)])
+    assert both == [first, (2, 2, "[user] text 2 0\n[user] text 2 1")]
+    newest = max(int(f) for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
+    for name in (str(newest), f".{newest}.crc"):
+        if os.path.exists(f"{checkpoint}/commits/{name}"):
+            os.remove(f"{checkpoint}/commits/{name}")
+    assert deliver([(1, 0, False)]) == both
+
+
+def test_a_quiet_conversation_is_flushed(spark, tmp_path):
+    schema, folder = "conv_id long, turn long, role string, text string, last boolean", str(tmp_path / "in")
+    spark.createDataFrame(turns_of([(7, 1, False), (7, 0, False), (8, 0, None)]), schema).write.parquet(folder)
+    query = flush.write_logs(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "out"), str(tmp_path / "ck"), quiet=500, trigger={"processingTime": "1 second"})
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            if os.path.isdir(tmp_path / "out") and len(found := [tuple(r) for r in spark.read.schema("conv_id long, log string").parquet(str(tmp_path / "out")).collect()]) == 2:
+                break
+    finally:
+        query.stop()
+    assert sorted((r[0], r[1]) for r in found) == [(7, "[user] text 7 0\n[user] text 7 1"), (8, "[user] text 8 0")]
+
+
+def files_of(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_an_update_rewrites_its_ranges_only(spark, tmp_path):
+    path, n = str(tmp_path / "sheet"), 20_000
+    rows = spark.range(n).select(F.col("id").alias("row_index"), F.lit("a").alias("Notes"), F.lit("").alias("Verifier"), F.lit("").alias("Error"))
+    rows = rows.unionByName(rows.limit(1).withColumn("row_index", F.lit(None).cast("long")))
+    layout.create(rows, path, width=100)
+    before = files_of(path)
+    cells = F.create_map(F.lit("Notes"), F.concat(F.lit("b"), "ord"), F.lit("Lost"), F.lit("x"))
+    updates = spark.range(5_000, 5_200).select(F.col("id").alias("row_index"), F.explode(F.array(F.lit(2), F.lit(10), F.lit(1))).alias("ord"))
+    updates = updates.select("row_index", "ord", cells.alias("cells"), F.when(F.col("ord") == 1, "LLM").otherwise("").alias("verifier"), F.when(F.col("ord") == 2, "late").alias("error"))
+    strays = updates.limit(2).withColumn("row_index", F.when(F.col("ord") == 2, n + 7).otherwise(-4)).unionByName(updates.limit(1).withColumn("row_index", F.lit(None).cast("long")))
+    assert layout.merge(spark, path, updates.unionByName(strays), width=100) == 3  # two, and the stray's own, which holds nothing
+    after = files_of(path)
+    changed = {f for f in before if after.get(f) != before[f]}
+    assert len({os.path.dirname(f) for f in changed}) == 2 == len({os.path.dirname(f) for f in set(after) - set(before)})
+    assert len(changed) <= 0.02 * len(before)
+    whole = {r["row_index"]: (r["Notes"], r["Verifier"], r["Error"]) for r in layout.load(spark, path).collect()}
+    assert len(whole) == n + 1 and all(v == (("b10", "LLM", "late") if k is not None and 5_000 <= k < 5_200 else ("a", "", "")) for k, v in whole.items())
+    assert layout.merge(spark, path, updates.limit(0), width=100) == 0
+    assert files_of(path) == after
+
+
+def test_a_cut_update_is_put_in_place_later(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "sheet")
+    rows = spark.range(300).select(F.col("id").alias("row_index"), F.lit("a").alias("Notes"), F.lit("").alias("Verifier"), F.lit("").alias("Error"))
+    layout.create(rows, path, width=100)
+    # a commit that was cut: the new rows are staged, the old range is gone
+    staged = rows.filter("row_index between 100 and 199").withColumn("Notes", F.lit("b")).withColumn(layout.RANGE, F.lit(1).cast("long"))
+    staged.write.partitionBy(layout.RANGE).parquet(f"{path}.{layout.STAGED}")
+    shutil.rmtree(f"{path}/{layout.RANGE}=1")
+    assert layout.recover(spark, path) and not layout.recover(spark, path)
+    assert sorted(tuple(r) for r in layout.load(spark, path).groupBy("Notes").count().collect()) == [("a", 200), ("b", 100)]
+    assert not os.path.exists(f"{path}.{layout.STAGED}")
