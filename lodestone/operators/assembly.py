@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,6 +143,17 @@ def run_counts(outcomes: DataFrame) -> DataFrame:
     return out.withColumn("failed", F.col("processed") - F.col("succeeded")).withColumn("rate", F.when(F.col("processed") > 0, F.round(F.col("succeeded") * 100 / F.col("processed"), 4)).otherwise(0.0))
 
 
+def observed(outcomes: DataFrame, counts: Observation) -> DataFrame:
+    """outcomes (done) as they are; `counts` is filled by the job that writes them, without a pass of its own."""
+    return outcomes.observe(counts, F.count("*").alias("processed"), F.count_if("done").alias("succeeded"))
+
+
+def observed_counts(counts: Observation) -> dict:
+    """What run_counts says, from an observation whose job has ended."""
+    n, ok = counts.get["processed"], counts.get["succeeded"]
+    return {"processed": n, "succeeded": ok, "failed": n - ok, "rate": round(ok * 100 / n, 4) if n else 0.0}
+
+
 def is_date(c: Column) -> Column:
     """Text that one of the usual forms of a date reads."""
     forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss")

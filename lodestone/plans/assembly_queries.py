@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, html_text
 from ..functions import lexicon as L
-from ..operators import assembly, sheet
+from ..operators import assembly, sheet, tasks
 from . import fixtures as X
 from . import sql_parts as S
 from .record_queries import _prices, _score
@@ -66,6 +66,13 @@ def stage_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(assembly.stage_prompt(F.lit("Find the deadline."), C("text"), F.lit("2024-05-01").cast("date"))).alias("prompt"))
 
 
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of the three stages for each document, and of the search for its source as a person."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    person = tasks.prompt(tasks.person_task(C("source")), C("text"))
+    return docs.select("doc_id", F.posexplode(F.concat(tasks.stage_prompts(C("text"), F.lit("2024-05-01").cast("date")), F.array(person))).alias("stage", "p")).select("doc_id", "stage", F.md5("p").alias("prompt"))
+
+
 def local_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of a local model, with a system text for every other document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -141,7 +148,14 @@ def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.catalogue_lines(X.PRICES.frame(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
+QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, task_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
+
+
+def _task_prompts() -> str:
+    years = "chr(10) || 'Today is 2024-05-01. A day without a year lies in 2024, or in 2025 if it has passed.'"
+    before, after = ("Say what a page tells about ", f":\n{tasks.rules(tasks.PERSON)}\n{tasks.ONLY} Give every field.")
+    asked = [f"{X.literal(tasks.task(1))} || {years}", X.literal(tasks.task(2)), X.literal(tasks.task(3)), f"{X.literal(before)} || coalesce(source, '') || {X.literal(after)}"]
+    return " union all ".join(f"select doc_id, cast({i} as integer) as stage, md5({a} || chr(10) || '<text>' || chr(10) || coalesce(text, '') || chr(10) || '</text>') as prompt from documents" for i, a in enumerate(asked))
 
 
 def _cascade() -> str:
@@ -188,6 +202,7 @@ ORACLES = {
     "line_text": f"select source, {S.collapse(S.unescape("regexp_replace(" + S.unescape('xml') + ", '<[^>]+>', ' ', 'g')"))} as text from {X.FEEDS.sql}",
     "chat_messages": "select conv_id, turn, contains(lower(if(turn % 2 = 0, 'Answer in JSON.', '') || text), 'json') as json_mode, cast(length(m) as bigint) as size, m as messages from (select *, '[' || if(turn % 2 = 0, '{\"role\":\"system\",\"content\":\"Answer in JSON.\"},', '') || '{\"role\":\"user\",\"content\":' || to_json(text) || '}]' as m from conversations where text is not null)",
     "stage_prompts": "select doc_id, md5('Find the deadline.' || chr(10) || 'Today: 2024-05-01' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || '---') as prompt from documents",
+    "task_prompts": _task_prompts(),
     "joined_pages": f"select doc, string_agg('--- Page ' || page || ' ---' || chr(10) || {S.strip('text')}, chr(10) || chr(10) order by page) as text from {PAGED.sql} where page <= 10 and {S.strip(S.q('') + ' || coalesce(text, ' + S.q('') + ')')} <> '' group by doc",
     "block_texts": "select * from (values (cast(1 as bigint), 'ab', 'x' || chr(10) || 'z'), (2, '', '')) as v(id, lines, blocks) union all select 1000000 + p_partkey, p_name || ' ' || p_brand, p_name || chr(10) || p_type from part",
     "targeted_queries": _targeted(),

@@ -6,11 +6,12 @@ import zipfile
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lodestone.functions import contacts, json_text, quality, text, urls
 from lodestone.functions import lexicon as L
-from lodestone.operators import main_text, model_calls, policy, rules
+from lodestone.operators import assembly, main_text, model_calls, policy, rules, tasks
 from lodestone.sources import files, layout, result_pages, workbook
 from lodestone.streaming import flush, queue
 
@@ -426,3 +427,27 @@ def test_a_cut_update_is_put_in_place_later(spark, tmp_path):
     assert layout.recover(spark, path) and not layout.recover(spark, path)
     assert sorted(tuple(r) for r in layout.load(spark, path).groupBy("Notes").count().collect()) == [("a", 200), ("b", 100)]
     assert not os.path.exists(f"{path}.{layout.STAGED}")
+
+
+def test_tasks_name_every_field(spark):
+    day = F.lit("2024-12-31").cast("date")
+    one, two, three = spark.range(1).select(tasks.stage_prompts(F.lit("a posting"), day).alias("p")).first()["p"]
+    for prompt, fields in ((one, L.STAGE1_FIELDS), (two, L.STAGE2_FIELDS), (three, L.STAGE3_FIELDS)):
+        assert all(f'"{f}"' in prompt for f in fields) and prompt.endswith("<text>\na posting\n</text>") and "JSON" in prompt
+    assert "2024-12-31" in one and "2025" in one and "2024" not in two + three
+    row = spark.range(1).select(tasks.prompt(tasks.person_task(F.lit(None).cast("string")), F.lit(None).cast("string")).alias("p")).first()
+    assert row["p"].endswith("<text>\n\n</text>")
+    with pytest.raises(ValueError):
+        tasks.task(4)
+
+
+def test_counts_come_with_the_rows(spark, tmp_path):
+    spark.range(1_000).select((F.col("id") % 3 > 0).alias("done")).write.parquet(str(tmp_path / "in"))
+    rows, counts = spark.read.parquet(str(tmp_path / "in")), Observation()
+    out = assembly.observed(rows, counts)
+    out.write.parquet(str(tmp_path / "out"))
+    assert assembly.observed_counts(counts) == assembly.run_counts(rows).first().asDict()
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    empty = Observation()
+    assembly.observed(rows.filter("done is null"), empty).collect()
+    assert assembly.observed_counts(empty) == {"processed": 0, "succeeded": 0, "failed": 0, "rate": 0.0}
