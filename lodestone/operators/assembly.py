@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.contacts import clean_name, email_domains, present
+from ..functions.json_text import json_object
 from ..functions.text import is_blank, strip, text_of
+from ..functions.urls import is_useful
 from . import catalog, selection
 
 SEARCHES = ("web", "second", "targeted", "tool")
@@ -123,6 +125,20 @@ def cascade(results: DataFrame) -> DataFrame:
     return selection.top_results(kept.select("query_id", "ord", "title", "url", "snippet"), SHOWN)
 
 
+def chosen_pages(ranked: DataFrame, answers: DataFrame, few: int = 3) -> DataFrame:
+    """query_id, rank, url: the pages to read, from the model's answers (query_id, response) on the ranked results (query_id, rank, url).
+
+    `few` results or less are all read. Else the addresses under selected_urls that pass the gate for useful ones, in the model's order, none
+    if the answer holds no such list; without an answer, the first `few` results that pass it. Ranked results are at most SHOWN a query.
+    """
+    found = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("all"))
+    met = found.join(answers.select("query_id", "response"), "query_id", "left")
+    selected = F.from_json(F.get_json_object(json_object(F.col("response")), "$.selected_urls"), "array<string>")
+    useful = lambda several: F.filter(several, lambda u: is_useful(u))
+    chosen = F.when(F.size("all") <= few, F.col("all")).when(text_of(F.col("response")) != "", useful(F.coalesce("selected", F.array().cast("array<string>")))).otherwise(useful(F.slice("all", 1, few)))
+    return met.withColumn("selected", selected).select("query_id", F.posexplode(chosen).alias("at", "url")).select("query_id", (F.col("at") + 1).alias("rank"), "url")
+
+
 def pages_to_read(chosen: DataFrame, ranked: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
     """query_id, place, url: chosen pages first, then the ranked ones, each once, up to max(least, most)."""
     both = chosen.select("query_id", F.lit(0).alias("from"), "rank", "url").unionByName(ranked.select("query_id", F.lit(1).alias("from"), "rank", "url"))

@@ -27,6 +27,7 @@ SEARCHED = X.Fixture(
 )
 ATTEMPTS = X.Fixture("page_id long, ord int, method string, content string, quality string, score int, reason string", [(1, 0, "http", "short", "low", 10, "thin"), (1, 1, "tls", "a longer text", "good", 60, ""), (1, 2, "browser", "another text", "good", 60, ""), (2, 0, "http", None, "empty", 0, "no content"), (3, 0, "http", "x", "low", None, "n/a")])
 PICKED = X.Fixture("query_id long, rank int, url string", [(1, 1, "https://uni.edu/x"), (1, 2, "https://z.org"), (3, 1, "https://a.org")])
+ANSWERS = X.Fixture("query_id long, response string", [(1, '{"selected_urls": ["https://uni.edu/people/late"]}'), (2, None), (3, '{"selected_urls": []}')])
 
 PAGED.derived = "select 'c' || conv_id as doc, turn + 1 as page, text from given_conversations"
 DATES.derived = f"""select {X.MORE} + o_orderkey as id, case o_orderkey % 6 when 0 then left(cast(o_orderdate as string), 10) when 1 then ' ' || replace(left(cast(o_orderdate as string), 10), '-', '/') when 2 then replace(left(cast(o_orderdate as string), 10), '-', '') when 3 then left(cast(o_orderdate as string), 10) || ' 10:00:00'
@@ -35,6 +36,8 @@ FILES.derived = f"select {X.MORE} + page_id as id, case page_id % 4 when 0 then
 SEARCHED.derived = f"""select {X.MORE} + page_id % 61 as query_id, case page_id % 5 when 0 then 'web' when 1 then 'second' when 2 then 'targeted' when 3 then 'tool' else 'web' end as provider, page_id as ord, case page_id % 3 when 0 then 'Jo Lee homepage' else 'Results' end as title, case page_id % 9 when 0 then 'https://uni.edu/people/' || (page_id % 7) else url end as url,
   case page_id % 4 when 0 then 'verified email at uni.edu' when 1 then 'x.y@uni.edu' else '' end as snippet from given_pages"""
 PICKED.derived = f"select {X.MORE} + page_id % 61 as query_id, page_id as rank, url from given_pages where url like '%/en/%'"
+ANSWERS.derived = f"""select {X.MORE} + page_id % 61 as query_id, case page_id % 61 % 4 when 0 then 'Here: ```json {{"selected_urls": ["https://uni.edu/people/' || max(page_id) || '", "https://facebook.com/x", "' || max(url) || '", "https://uni.edu/people/2"], "reasoning": "own pages"}}```'
+  when 1 then 'none of these' when 2 then '{{"selected_urls": []}}' end as response from given_pages group by page_id % 61"""
 ATTEMPTS.derived = f"""select {X.MORE} + page_id as page_id, 0 as ord, 'http' as method, case page_id % 3 when 0 then '' else html end as content, case page_id % 3 when 0 then 'empty' else 'low' end as quality, page_id % 50 as score, 'thin' as reason from given_pages
   union all select {X.MORE} + page_id, 1, 'tls', html, 'good', 60, '' from given_pages union all select {X.MORE} + page_id, 2, 'browser', html, 'good', 60 + page_id % 3, '' from given_pages"""
 
@@ -124,6 +127,10 @@ def pages_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.pages_to_read(PICKED.frame(spark, sf_dir), assembly.cascade(SEARCHED.frame(spark, sf_dir)))
 
 
+def page_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.chosen_pages(assembly.cascade(SEARCHED.frame(spark, sf_dir)), ANSWERS.frame(spark, sf_dir))
+
+
 def contact_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = X.NAMES.frame(spark, sf_dir).withColumn("title", F.coalesce("title", F.lit("")))
     name, email = assembly.contact_update(C("name"), F.lit("old@x.org"), C("title"), F.when(C("id") % 2 == 0, "new@x.org").otherwise("-"), contacts.formatted_name(C("name"), C("title")))
@@ -148,7 +155,7 @@ def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.catalogue_lines(X.PRICES.frame(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, task_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
+QUERIES = {f.__name__: f for f in (soup_text, flat_text, legacy_text, line_text, chat_messages, stage_prompts, task_prompts, local_prompt, fetched_page, snapshot_context, rendered_text, attempt_log, joined_pages, block_texts, targeted_queries, search_cascade, pages_to_read, page_choice, contact_update, run_counts, date_texts, names_of_things, catalogue_lines)}
 
 
 def _task_prompts() -> str:
@@ -158,6 +165,17 @@ def _task_prompts() -> str:
     return " union all ".join(f"select doc_id, cast({i} as integer) as stage, md5({a} || chr(10) || '<text>' || chr(10) || coalesce(text, '') || chr(10) || '</text>') as prompt from documents" for i, a in enumerate(asked))
 
 
+def _page_choice() -> str:
+    low = f"lower(coalesce(u, {S.q('')}))"
+    useful = f"(not {S.any_of(low, L.BLOCKED_URLS)} and {S.any_of(low, L.ALLOWED_URLS)})"
+    return f"""
+with found as (select query_id, array_agg(url order by rank) as every from ({_cascade()}) group by query_id),
+met as (select query_id, every, response, json_extract_string(nullif(regexp_extract(response, '\\{{.*\\}}', 0, 's'), ''), '$.selected_urls[*]') as given from found left join {ANSWERS.sql} a using (query_id)),
+picked as (select query_id, len(every) <= 3 as few, case when len(every) <= 3 then every when coalesce(response, '') <> '' then coalesce(given, []) else every[1:3] end as urls from met),
+laid as (select query_id, few, unnest(urls) as u, generate_subscripts(urls, 1) as i from picked)
+select query_id, cast(row_number() over (partition by query_id order by i) as integer) as rank, u as url from laid where few or {useful}"""
+
+
 def _cascade() -> str:
     hinted = f"regexp_matches(coalesce(title, '') || ' ' || coalesce(snippet, ''), '(?i)email at{S.WS}+[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')"
     return f"""
@@ -208,6 +226,7 @@ ORACLES = {
     "targeted_queries": _targeted(),
     "search_cascade": _cascade(),
     "pages_to_read": f"select query_id, cast(row_number() over (partition by query_id order by f, rank) as integer) as place, url from (select * from (select query_id, 0 as f, rank, url from {PICKED.sql} union all select query_id, 1, rank, url from ({_cascade()})) qualify row_number() over (partition by query_id, url order by f, rank) = 1) qualify place <= 8",
+    "page_choice": _page_choice(),
     "contact_update": f"select id, case when title in ('Dr.', 'Mr.', 'Ms.') and f <> '' then title || ' ' || f else name end as name, if(id % 2 = 0, 'new@x.org', 'old@x.org') as email from (select id, name, title, {_formatted_title()} as f from (select *, {S.clean_name('name')} as n from {X.NAMES.sql}))",
     "run_counts": f"select count(*) as processed, cast(count_if(ok) as bigint) as succeeded, cast(count(*) - count_if(ok) as bigint) as failed, round(100.0 * count_if(ok) / count(*), 4)::double as rate from (select found and link is not null and coalesce(content, '') <> '' and has_results as ok from {X.OUTCOMES.sql})",
     "date_texts": f"select id, coalesce(try_strptime(v, ['%Y-%m-%d', '%Y/%m/%d', '%d.%m.%Y', '%m/%d/%Y', '%-d %B %Y', '%B %-d, %Y', '%b %-d, %Y', '%Y%m%d', '%Y-%m-%d %H:%M:%S']) is not null, false) as is_date from (select id, {S.strip('value')} as v from {DATES.sql})",

@@ -451,3 +451,16 @@ def test_counts_come_with_the_rows(spark, tmp_path):
     empty = Observation()
     assembly.observed(rows.filter("done is null"), empty).collect()
     assert assembly.observed_counts(empty) == {"processed": 0, "succeeded": 0, "failed": 0, "rate": 0.0}
+
+
+def test_pages_are_chosen_by_the_answer(spark):
+    one = [(1, i, f"https://uni.edu/people/{i}" if i % 2 else f"https://x.com/{i}") for i in range(1, 6)]
+    ranked = spark.createDataFrame(one + [(q, r, u) for q in (2, 3, 4, 5) for _, r, u in one] + [(6, 1, "https://x.com/1"), (6, 2, None)], "query_id long, rank int, url string")
+    said = [(1, 'x {"selected_urls": ["https://x.com/9", "https://b.edu/people/1", null, 3, "https://uni.edu/people/5"]}'), (2, ""), (3, "no"), (5, '{"selected_urls": "https://uni.edu/people/1"}'), (6, '{"selected_urls": []}')]
+    out = assembly.chosen_pages(ranked, spark.createDataFrame(said, "query_id long, response string"))
+    by_rank = [("https://uni.edu/people/1", 1), ("https://uni.edu/people/3", 2)]
+    expected = {1: [("https://b.edu/people/1", 1), ("https://uni.edu/people/5", 2)], 2: by_rank, 4: by_rank, 6: [("https://x.com/1", 1), (None, 2)]}
+    found = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["url"], r["rank"]))
+    assert found == expected
