@@ -476,3 +476,9 @@ def test_references_without_semicolon_legacy_text(spark):
     page = "<title>a&amp;&amp</title><p>x &lt y &copyz &#38 &am</p>b &amp;lt; &eacute; &amp"
     read = lambda c: html_text.legacy_text(html_text.plain_ampersands(c))
     assert one(spark, read, page) == "a&&ampx &lt y &copyz &#38 &amb &lt; é &"
+
+
+def test_references_without_semicolon_soup_text(spark):
+    page = "<title>a&amp;&amp</title><p>x &lt y &copyz &#38 &am</p>b &amp;lt; &eacute; &amp"
+    read = lambda c: html_text.main_text(html_text.plain_ampersands(c))
+    assert one(spark, read, page) == "a&&amp\nx &lt y &copyz &#38 &am\nb &lt; é &"
