@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import lexicon as L
 from .text import collapse, has_any, hits, is_blank, occurrences, strip, text_of
@@ -25,49 +32,55 @@ def unavailable(c: Column) -> Column:
     return (n < 50) | has_any(low, L.UNAVAILABLE) | ((n < 200) & has_any(low, L.ERROR_WORDS))
 
 
-def raw_pdf(c: Column) -> Column:
-    c = text_of(c)
-    return strip(c).startswith("%PDF-") | (hits(c, L.PDF_MARKERS) >= 3) | (F.regexp_count(c, F.lit(CONTROL)) > F.length(c) * 0.1)
+#: Runs of four signs or more. Python's \w and \s are letters, numbers and `_`, and WS.
+SIGNS = re.compile(r"[^\w\s]{4,}")
+CONTROLS = frozenset(map(chr, [*range(9), 11, 12, *range(14, 32)]))
+COUNTS = ("letters", "most", "solid", "controls", "signs", "words", "plain", "plain_size")
 
 
-def _letters(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\p{L}]", "")
+def _counted(t: str) -> dict[str, int]:
+    codes, counts = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)
+    chars, words = Counter(dict(zip(map(chr, codes.tolist()), counts.tolist()))), t.split()
+    plain = [len(w) for w in words if w.isalpha()]
+    letters = [n for ch, n in chars.items() if ch.isalpha()]
+    signs, controls = len(SIGNS.findall(t)), sum(n for ch, n in chars.items() if ch in CONTROLS)
+    return {"letters": sum(letters), "most": max(letters, default=0), "solid": len(t) - chars[" "] - chars["\n"], "controls": controls, "signs": signs, "words": len(words), "plain": len(plain), "plain_size": sum(plain)}
 
 
-def once(c: Column, f) -> Column:
-    """f of a value that is worked out once: inside a lambda an expression is otherwise evaluated for every element."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+@F.arrow_udf(StructType([StructField(name, IntegerType()) for name in COUNTS]))
+def _text_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([(name, pa.int32()) for name in COUNTS])
+    for texts in batches:
+        yield pa.array([_counted(t.as_py() or "") for t in texts], kind)
 
 
-def most_common_share(c: Column) -> Column:
-    """The share of the commonest letter among all letters; null without letters. A text has few different letters: each is counted by what its removal shortens."""
+def text_counts(c: Column) -> Column:
+    """What the verdicts below need of a text, each character looked at once: letters and the commonest one, characters that are
+    neither spaces nor line ends, control characters, runs of signs, words, and words of letters only with their length."""
+    return _text_counts(F.make_valid_utf8(text_of(c)))
 
-    def share(letters: Column) -> Column:
-        counts = F.transform(F.array_distinct(F.split(letters, "")), lambda x: F.length(letters) - F.length(F.replace(letters, x, F.lit(""))))
-        return F.when(letters != "", F.array_max(counts) / F.length(letters))
 
-    return once(_letters(c), share)
+def raw_pdf(c: Column) -> Column:
+    c = text_of(c)
+    return strip(c).startswith("%PDF-") | (hits(c, L.PDF_MARKERS) >= 3) | (text_counts(c)["controls"] > F.length(c) * 0.1)
 
 
 def corrupted(c: Column) -> Column:
     """One letter makes over 40 %, words are over 25 letters on average, or runs of four signs are frequent."""
-    c = text_of(c)
-    words = F.filter(F.split(collapse(c), " "), lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))
-    long_words = once(words, lambda ws: (F.size(ws) > 10) & (F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w)) > F.size(ws) * 25))
-    signs = F.regexp_count(c, F.lit(f"[^\\p{{L}}\\p{{N}}_{L.WS[1:-1]}]{{4,}}"))
-    return F.coalesce(most_common_share(c) > 0.4, F.lit(False)) | long_words | (signs > F.length(c) / 200)
+    n = text_counts(c)
+    long_words = (n["plain"] > 10) & (n["plain_size"] > n["plain"] * 25)
+    return ((n["letters"] > 0) & (n["most"] / n["letters"] > 0.4)) | long_words | (n["signs"] > F.length(text_of(c)) / 200)
 
 
 def letter_share(c: Column) -> Column:
     """Letters among the characters that are neither spaces nor line ends; null if there are none of these."""
-    n = F.length(F.translate(c, " \n", ""))
-    return F.when(n > 0, F.length(_letters(c)) / n)
+    n = text_counts(c)
+    return F.when(n["solid"] > 0, n["letters"] / n["solid"])
 
 
 def valid_text(c: Column) -> Column:
     c = text_of(c)
-    words = F.size(F.filter(F.split(collapse(c), " "), lambda w: w != ""))
-    return (F.length(strip(c)) >= 50) & ~raw_pdf(c) & ~corrupted(c) & (words >= 5) & F.coalesce(letter_share(c) >= 0.2, F.lit(False))
+    return (F.length(strip(c)) >= 50) & ~raw_pdf(c) & ~corrupted(c) & (text_counts(c)["words"] >= 5) & F.coalesce(letter_share(c) >= 0.2, F.lit(False))
 
 
 def challenge(c: Column) -> Column:

@@ -482,3 +482,10 @@ def test_references_without_semicolon_soup_text(spark):
     page = "<title>a&amp;&amp</title><p>x &lt y &copyz &#38 &am</p>b &amp;lt; &eacute; &amp"
     read = lambda c: html_text.main_text(html_text.plain_ampersands(c))
     assert one(spark, read, page) == "a&&amp\nx &lt y &copyz &#38 &am\nb &lt; é &"
+
+
+def test_verdicts_look_at_a_text_once(spark, tmp_path):
+    spark.createDataFrame([("x",)], "text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select(quality.valid_text(F.col("text")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambdafunction" not in plan and plan.count("_text_counts(") == 1
