@@ -7,10 +7,14 @@ favours recall, a high one precision. The sum is one fold over the tokens, so a
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import layout, text_of, unescape
 
@@ -23,34 +27,58 @@ LINE_TAGS = rf"(?i)^</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|ar
 #: What a tag costs, by method.
 COSTS = {"wide_segment": 2, "tight_segment": 6}
 
+_TOKEN, _LINE_TAGS, _SPACES = re.compile(TOKEN), re.compile(LINE_TAGS, re.ASCII), frozenset(" \t\n\x0b\x0c\r")
+_UNREAD = [(re.compile(rf"(?is)<{tag}[{SPACE}/>].*", re.ASCII), re.compile(rf"(?i)</{tag}[^<>]*>", re.ASCII)) for tag in UNREAD]
 
-def without_unread(html: Column) -> Column:
+
+def without_unread(page: str) -> str:
     """Comments and unread elements as one space each. Cut at the closing marks first, so that no opening mark is sought twice."""
-    html = F.array_join(F.transform(F.split(html, "-->"), lambda x: F.regexp_replace(x, "(?s)<!--.*", " ")), " ")
-    return reduce(lambda x, tag: F.array_join(F.transform(F.split(x, f"(?i)</{tag}[^<>]*>"), lambda part: F.regexp_replace(part, rf"(?is)<{tag}[{SPACE}/>].*", " ")), " "), UNREAD, html)
+    page = " ".join(_cut(part, "<!--") for part in page.split("-->"))
+    for start, end in _UNREAD:
+        page = " ".join(start.sub(" ", part, count=1) for part in end.split(page))
+    return page
+
+
+def _cut(part: str, mark: str) -> str:
+    at = part.find(mark)
+    return part if at < 0 else part[:at] + " "
+
+
+def best_stretch(worth: np.ndarray) -> tuple[int, int]:
+    """The stretch with the largest sum, as a slice: the first end of equals, then the last start. Empty where no sum is above 0."""
+    sums = np.concatenate([[0], np.cumsum(worth)])
+    before = sums[:-1]
+    total = sums[1:] - np.minimum.accumulate(before)
+    end = int(total.argmax()) if len(total) else 0
+    if not len(total) or total[end] <= 0:
+        return 0, 0
+    return int(np.flatnonzero(before[: end + 1] == before[: end + 1].min())[-1]), end + 1
+
+
+def _stretches(page: str, costs: list[int]) -> list[str]:
+    tokens = _TOKEN.findall(without_unread(page))
+    tags, spaces = np.array([t[0] == "<" for t in tokens], bool), np.array([t[0] in _SPACES for t in tokens], bool)
+    found = []
+    for cost in costs:
+        start, end = best_stretch(np.where(tags, -cost, np.where(spaces, 0, 1)))
+        found.append("".join(t if t[0] != "<" and t[0] not in _SPACES else " " if t[0] != "<" else "\n" if _LINE_TAGS.match(t) else "" for t in tokens[start:end]))
+    return found
 
 
-def best_stretch(tokens: Column, cost: int) -> Column:
-    """start and end (from 1, inclusive) of the stretch with the largest sum; end is 0 without a word."""
-    worth = lambda t: F.when(t.startswith("<"), -cost).when(F.rlike(t, F.lit(rf"^[{SPACE}]")), 0).otherwise(1)
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("at", "total", "first", "best", "start", "end")])
+def stretches(html: Column, costs: list[int]) -> Column:
+    """The text of each cost's best stretch: line tags as line ends, other tags left out, white space as one space."""
 
-    def step(s: Column, t: Column) -> Column:
-        at, total = s["at"] + 1, F.greatest(s["total"], F.lit(0)) + worth(t)
-        first = F.when(s["total"] > 0, s["first"]).otherwise(at)
-        more = total > s["best"]
-        keep = lambda new, name: F.when(more, new).otherwise(s[name]).alias(name)
-        return F.struct(at.alias("at"), total.alias("total"), first.alias("first"), keep(total, "best"), keep(first, "start"), keep(at, "end"))
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([_stretches(p.as_py() or "", costs) for p in pages], pa.list_(pa.string()))
 
-    return F.aggregate(tokens, zero, step, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return run(F.make_valid_utf8(html))
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", html: str = "html", costs: dict[str, int] | None = None) -> DataFrame:
     """key, ord, method, text: a candidate of each page for every cost."""
     costs = costs or COSTS
-    rows = pages.select(key, without_unread(text_of(F.col(html))).alias("html")).select(key, F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    rows = rows.select(key, "tokens", F.posexplode(F.array(*[F.struct(F.lit(m).alias("method"), best_stretch(F.col("tokens"), c).alias("span")) for m, c in costs.items()])).alias("ord", "found"))
-    span = F.col("found.span")
-    piece = lambda t: F.when(~t.startswith("<"), F.when(F.rlike(t, F.lit(rf"^[{SPACE}]")), F.lit(" ")).otherwise(t)).when(F.rlike(t, F.lit(LINE_TAGS)), F.lit("\n")).otherwise("")
-    words = F.transform(F.slice("tokens", F.greatest(span["start"], F.lit(1)), F.when(span["end"] > 0, span["end"] - span["start"] + 1).otherwise(0)), piece)
-    return rows.select(key, "ord", F.col("found.method").alias("method"), layout(unescape(F.array_join(words, ""))).alias("text"))
+    texts = pages.select(key, stretches(text_of(F.col(html)), list(costs.values())).alias("texts")).select(key, F.posexplode("texts").alias("ord", "text"))
+    method = F.element_at(F.array(*[F.lit(m) for m in costs]), F.col("ord") + 1)
+    return texts.select(key, "ord", method.alias("method"), layout(unescape(F.col("text"))).alias("text"))
