@@ -164,14 +164,19 @@ def with_web_quality(df: DataFrame, text: str) -> DataFrame:
     return scored.withColumn("quality", quality).drop(*[c for c in scored.columns if c.startswith("q_")])
 
 
-def candidate_score(text: Column, method: Column) -> Column:
-    """Length by the method's trust, less penalties for markers and very short lines, plus the method's head start; 0 for an empty text."""
-    weight = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, w in L.METHOD_WEIGHTS.items() for x in (k, w[i])]), method), F.lit(L.OTHER_WEIGHT[i]))
-    low, n = F.lower(text), F.length(text)
+def with_candidate_score(df: DataFrame, text: str, method: str) -> DataFrame:
+    """df with score: length by the method's trust, less penalties for markers and very short lines, plus the method's head start; 0 for an empty text.
+
+    The lower-cased text and the lines are columns of a projection before, so that they are not worked out again for every marker.
+    """
+    weight = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, w in L.METHOD_WEIGHTS.items() for x in (k, w[i])]), F.col(method)), F.lit(L.OTHER_WEIGHT[i]))
     lines = F.filter(F.split(F.regexp_replace(text, L.LINE_END, "\n"), "\n"), lambda x: ~is_blank(x))
-    short = F.size(F.filter(lines, lambda x: F.length(x) <= 3)) / F.greatest(F.size(lines), F.lit(1))
-    penalty = occurrences(low, L.COMMENT_MARKERS) * 400 + occurrences(low, L.BOILERPLATE_MARKERS) * 120 + occurrences(low, L.CHALLENGE_MARKERS) * 5000
-    return F.when(text == "", 0.0).otherwise(F.greatest(F.lit(0.0), n * weight(0) - (penalty + short * n * 0.3) + weight(1)))
+    measured = df.withColumns({"c_low": F.lower(text), "c_lines": lines})
+    low, n, lines = F.col("c_low"), F.length(text), F.col("c_lines")
+    counts = measured.withColumns({"c_counts": occurrences(low, L.COMMENT_MARKERS, L.BOILERPLATE_MARKERS, L.CHALLENGE_MARKERS), "c_short": F.size(F.filter(lines, lambda x: F.length(x) <= 3)) / F.greatest(F.size(lines), F.lit(1))})
+    penalty = F.get("c_counts", F.lit(0)) * 400 + F.get("c_counts", F.lit(1)) * 120 + F.get("c_counts", F.lit(2)) * 5000
+    score = F.when(F.col(text) == "", 0.0).otherwise(F.greatest(F.lit(0.0), n * weight(0) - (penalty + F.col("c_short") * n * 0.3) + weight(1)))
+    return counts.withColumn("score", score).drop("c_low", "c_lines", "c_counts", "c_short")
 
 
 def drive_text(c: Column) -> Column:

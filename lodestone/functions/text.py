@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import lexicon as L
 
@@ -37,10 +40,15 @@ def has_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
-def occurrences(c: Column, words: list[str]) -> Column:
-    """The sum of the words' non-overlapping occurrences."""
-    each = [F.floor((F.length(c) - F.length(F.replace(c, F.lit(w), F.lit("")))) / len(w)).cast("int") for w in words]
-    return reduce(lambda a, b: a + b, each)
+def occurrences(c: Column, *lists: list[str]) -> Column:
+    """For each list the sum of its words' non-overlapping occurrences, as an array of integers: a text's search for all words is one Arrow call."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([[sum(map(t.count, words)) for words in lists] for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return run(F.make_valid_utf8(text_of(c)))
 
 
 def collapse(c: Column) -> Column:
@@ -49,9 +57,9 @@ def collapse(c: Column) -> Column:
 
 
 def layout(c: Column) -> Column:
-    """Spaces and tabs collapsed, lines kept, at most one blank line in a row."""
+    """Spaces and tabs collapsed, lines kept, at most one blank line in a row. The patterns match only what changes: most spaces and line ends stand alone."""
     c = F.translate(text_of(c), "\xa0\ufeff", " ")
-    for pattern, new in (("[ \\t]+", " "), (" *\\n *", "\n"), ("\\n{3,}", "\n\n")):
+    for pattern, new in ((" [ \\t]+|\\t[ \\t]*", " "), (" +\\n *|\\n +", "\n"), ("\\n{3,}", "\n\n")):
         c = F.regexp_replace(c, pattern, new)
     return strip(c)
 

@@ -21,7 +21,7 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
 def pick_candidates(candidates: DataFrame) -> DataFrame:
     """doc_id, method, text, score: each document's best candidate (doc_id, ord, method, text), comment noise taken off first."""
     cleaned = candidates.withColumn("text", strip_comment_noise(F.col("text")))
-    scored = cleaned.withColumn("score", quality.candidate_score(F.col("text"), F.col("method")))
+    scored = quality.with_candidate_score(cleaned, "text", "method")
     return first_by(scored, ["doc_id"], -F.col("score"), F.col("ord")).select("doc_id", "method", "text", "score")
 
 
@@ -75,10 +75,9 @@ def meta_content(html, name: str, attribute: str = "property"):
     quoted = name.replace(".", r"\.")
     one = F.regexp_extract(text_of(html), rf"""(?is)<meta[^>]+{attribute}=["']{quoted}["'][^>]*content=["'](.*?)["']""", 1)
     two = F.regexp_extract(text_of(html), rf"""(?is)<meta[^>]+content=["'](.*?)["'][^>]*{attribute}=["']{quoted}["']""", 1)
-    return layout(unescape(F.when(one != "", one).otherwise(two)))
+    return layout(unescape(F.coalesce(F.nullif(one, F.lit("")), two)))
 
 
 def description(html):
     """The page's own description: the og property, else the named one."""
-    og = meta_content(html, "og:description")
-    return F.when(og != "", og).otherwise(meta_content(html, "description", "name"))
+    return F.coalesce(F.nullif(meta_content(html, "og:description"), F.lit("")), meta_content(html, "description", "name"))

@@ -40,7 +40,8 @@ def web_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower(text.text_of(F.col("text")))
     counts = {"comments": L.COMMENT_MARKERS, "boilerplate": L.BOILERPLATE_MARKERS, "challenges": L.CHALLENGE_MARKERS}
-    return documents(spark, sf_dir).select("doc_id", *[text.occurrences(low, w).cast("long").alias(n) for n, w in counts.items()])
+    found = documents(spark, sf_dir).select("doc_id", text.occurrences(low, *counts.values()).alias("found"))
+    return found.select("doc_id", *[F.get("found", F.lit(i)).cast("long").alias(n) for i, n in enumerate(counts)])
 
 
 def candidate_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
