@@ -1,6 +1,7 @@
 """Golden cases, properties and sources of the engine's own operators."""
 
 import os
+import re
 import zipfile
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import contacts, html_text, json_text, quality, text, urls
 from lodestone.functions import lexicon as L
-from lodestone.operators import assembly, main_text, model_calls, policy, rules, tasks
+from lodestone.operators import assembly, main_text, model_calls, policy, rules, selection, tasks
 from lodestone.sources import files, layout, result_pages, workbook
 from lodestone.streaming import flush, queue
 
@@ -488,4 +489,21 @@ def test_verdicts_look_at_a_text_once(spark, tmp_path):
     spark.createDataFrame([("x",)], "text string").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t")).select(quality.valid_text(F.col("text")))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "regexp_extract_all" not in plan and "lambdafunction" not in plan and plan.count("_text_counts(") == 1
+    assert "regexp_extract_all" not in plan and "lambdafunction" not in plan and len(re.findall(r"ArrowEvalPython \[[^,]*, \)\.makeValid\(\)\)\)#\d+\]", plan)) == 1
+
+
+def test_segments_and_markers_are_found_in_one_call(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "wide_segment", "Sign in\nreaction reactions"), (2, 0, "x", "")], "doc_id long, ord int, method string, text string").write.parquet(str(tmp_path / "c"))
+    picked = selection.pick_candidates(spark.read.parquet(str(tmp_path / "c")))
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1 and plan.count("replace(") == plan.count("regexp_replace(")
+    assert {r["doc_id"]: r["score"] for r in picked.collect()} == {1: 0.0, 2: 0.0}
+    pages = main_text.main_texts(spark.createDataFrame([(1, "<p>a<br>b c")], "page_id long, html string"))
+    assert "aggregate(" not in pages._jdf.queryExecution().optimizedPlan().toString().lower().replace("hashaggregate(", "")
+    assert [tuple(r) for r in pages.orderBy("ord").collect()] == [(1, 0, "wide_segment", "b c"), (1, 1, "tight_segment", "b c")]
+
+
+def test_layout_equals_its_plain_patterns(spark):
+    for t in (" a \t b\t\n \n\t\n\n c  d\n", "\t \n a\xa0\ufeff b\n\n\n\n", "", "a\tb \n\n\n c"):
+        plain = re.sub("\n{3,}", "\n\n", re.sub(" *\n *", "\n", re.sub("[ \t]+", " ", t.replace("\xa0", " ").replace("\ufeff", "")))).strip()
+        assert one(spark, text.layout, t) == plain
