@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def record_of(json: Column) -> Column:
     return F.from_json(json, _TEXTS)
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once: a column named twice, or in a lambda that runs for every field, is worked out each time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def value(record: Column, field: str) -> Column:
     return F.try_element_at(record, F.lit(field))
 
@@ -56,8 +63,11 @@ def facts_verdict(record: Column) -> Column:
 def with_defaults(record: Column) -> Column:
     """Absent fields of stages 1 and 3 as empty texts; stage 2 stays sparse."""
     fields = F.array(*[F.lit(f) for f in L.STAGE1_FIELDS + L.STAGE3_FIELDS])
-    gaps = F.array_except(fields, F.map_keys(record))
-    return F.map_concat(record, F.map_from_arrays(gaps, F.transform(gaps, lambda _: F.lit(""))))
+
+    def filled(r: Column) -> Column:
+        return bound(F.array_except(fields, F.map_keys(r)), lambda gaps: F.map_concat(r, F.map_from_arrays(gaps, F.array_repeat(F.lit(""), F.size(gaps)))))
+
+    return bound(record, filled)
 
 
 def places(c: Column) -> Column:
@@ -87,10 +97,16 @@ def deadline_fits(record: Column) -> Column:
 
 def ruled(record: Column) -> Column:
     """Events have no places; a contact without a name has no address, but only where the deadline fits."""
-    event = F.exists(F.array(*[value(record, f) for f in L.EVENT_TYPES]), lambda v: v == "1")
-    unnamed = deadline_fits(record) & text_of(value(record, "Contact_Name")).eqNullSafe(F.lit("-"))
-    event = F.coalesce(event, F.lit(False))
-    return F.transform_values(record, lambda k, v: F.when(event & (k == "Number_Places"), "").when(unnamed & (k == "Contact_Email"), "-").otherwise(v))
+
+    def verdicts(r: Column) -> Column:
+        event = F.exists(F.array(*[value(r, f) for f in L.EVENT_TYPES]), lambda v: v == "1")
+        unnamed = deadline_fits(r) & text_of(value(r, "Contact_Name")).eqNullSafe(F.lit("-"))
+        return F.struct(F.coalesce(event, F.lit(False)).alias("event"), unnamed.alias("unnamed"))
+
+    def applied(r: Column, s: Column) -> Column:
+        return F.transform_values(r, lambda k, v: F.when(s["event"] & (k == "Number_Places"), "").when(s["unnamed"] & (k == "Contact_Email"), "-").otherwise(v))
+
+    return bound(record, lambda r: bound(verdicts(r), lambda s: applied(r, s)))
 
 
 def post_processed(record: Column) -> Column:
@@ -99,7 +115,7 @@ def post_processed(record: Column) -> Column:
 
 def rendered(record: Column) -> Column:
     """field=value, sorted and joined, for comparing records."""
-    return F.array_join(F.array_sort(F.transform(F.map_entries(record), lambda e: F.concat(e["key"], F.lit("="), text_of(e["value"])))), "; ")
+    return F.array_join(F.sort_array(F.transform(F.map_entries(record), lambda e: F.concat(e["key"], F.lit("="), text_of(e["value"])))), "; ")
 
 
 def _without(record: Column, keys: Column) -> Column:

@@ -305,6 +305,16 @@ def test_business_rules_order(spark):
     assert "Contact_Email=a@b.cd" in out and "Number_Places=;" in out
 
 
+def test_business_rules_read_the_record_once(spark):
+    """Each step works on the value of the one before: the plan holds one record, however often the rules look at it."""
+    df = spark.createDataFrame([('{"Workshop":"1","Number_Places":"7","Contact_Name":"-","Contact_Email":"a@b.cd"}',), ("{}",), (None,)], "c string")
+    out = df.select(rules.rendered(rules.post_processed(rules.record_of(F.col("c")))).alias("r"))
+    assert out._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    one_, empty, none = (r["r"] for r in out.collect())
+    assert "Contact_Email=-;" in one_ and "Number_Places=;" in one_ and "Workshop=1" in one_
+    assert empty == "; ".join(f"{f}=" for f in sorted(L.STAGE1_FIELDS + L.STAGE3_FIELDS)) and none is None
+
+
 def test_escalation_skips(spark):
     rows = [("u", 0, "http", None, True), ("u", 1, "curl_cffi", None, None), ("u", 2, "playwright", "x", None), ("u", 4, "browser_agent", None, None)]
     out = policy.escalate(spark.createDataFrame(rows, "url string, ord int, method string, content string, transport_challenge boolean")).first()
