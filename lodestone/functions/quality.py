@@ -22,13 +22,15 @@ def pdf_like(c: Column) -> Column:
     """Text that is the inside of a PDF file: two indicators, its header, or many control or non-ASCII characters at the start."""
     head = F.left(c, F.lit(1000))
     size = F.length(head)
-    odd = (F.regexp_count(head, F.lit(CONTROL)) > size * 0.05) | (F.regexp_count(head, F.lit(r"[^\x00-\x7f]")) > size * 0.3)
+    count = lambda pattern: size - F.length(F.regexp_replace(head, f"{pattern}+", ""))
+    odd = (count(CONTROL) > size * 0.05) | (count(r"[^\x00-\x7f]") > size * 0.3)
     return F.coalesce((F.length(c) >= 50) & ((hits(F.left(c, F.lit(2000)), L.PDF_INDICATORS) >= 2) | strip(c).startswith("%PDF-") | ((F.length(c) > 200) & odd)), F.lit(False))
 
 
-def unavailable(c: Column) -> Column:
-    """Texts under 50 characters, with a note that the page can't be shown, or short ones with an error word."""
-    n, low = F.length(strip(text_of(c))), F.lower(text_of(c))
+def unavailable(c: Column, low: Column | None = None) -> Column:
+    """Texts under 50 characters, with a note that the page can't be shown, or short ones with an error word. low: a column that holds
+    the lower-cased text, which is otherwise worked out for every word sought."""
+    n, low = F.length(strip(text_of(c))), F.lower(text_of(c)) if low is None else low
     return (n < 50) | has_any(low, L.UNAVAILABLE) | ((n < 200) & has_any(low, L.ERROR_WORDS))
 
 
@@ -103,7 +105,7 @@ def with_web_quality(df: DataFrame, text: str) -> DataFrame:
             "q_n": F.size("q_words"),
             "q_unique": F.size(F.array_distinct(F.transform(F.filter("q_words", lambda w: F.length(w) >= 3), lambda w: F.lower(w)))),
             "q_pdf": pdf_like(F.col(t)),
-            "q_gone": unavailable(F.col(t)),
+            "q_gone": unavailable(F.col(t), low),
             "q_template": F.rlike(F.col(t), F.lit("|".join(L.TEMPLATE_PATTERNS))),
             "q_framework": F.contains(low, F.lit("{{$ctrl")),
             "q_session": F.rlike(F.col(t), F.lit(r"\{\p{Nd}+\}")),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -18,6 +18,11 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once: a column named twice, or in a lambda that runs for every field, is worked out each time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 #: The characters of WS.
 WS_CHARACTERS = "".join(chr(c) for c in range(0x3001) if re.fullmatch(L.WS.replace("x{", "u").replace("}", ""), chr(c)))
 
@@ -52,8 +57,8 @@ def occurrences(c: Column, *lists: list[str]) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Every run of white space as one space; none at the ends."""
-    return F.trim(F.regexp_replace(text_of(c), f"{L.WS}+", " "))
+    """Every run of white space as one space; none at the ends. The pattern matches only what changes: most spaces stand alone."""
+    return F.trim(F.regexp_replace(text_of(c), f" {L.WS}+|(?! ){L.WS}+", " "))
 
 
 def layout(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import has_any, strip, text_of
+from .text import bound, has_any, strip, text_of
 
 _PARTS = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -122,12 +122,15 @@ def ats_kind(url: Column) -> Column:
 
 
 def ats_signature(url: Column, html: Column) -> Column:
-    """The recruiting system that URL and page bear the signature of; the first that fits, else null."""
-    seen = F.lower(F.concat(text_of(url), F.lit(" "), text_of(html)))
-    kind = F.lit(None).cast("string")
-    for name, signs in reversed(L.ATS_SIGNATURES):
-        kind = F.when(has_any(seen, signs), name).otherwise(kind)
-    return kind
+    """The recruiting system that URL and page bear the signature of; the first that fits, else null. The page is lower-cased once for all signs."""
+
+    def first_of(seen: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for name, signs in reversed(L.ATS_SIGNATURES):
+            kind = F.when(has_any(seen, signs), name).otherwise(kind)
+        return kind
+
+    return bound(F.lower(F.concat(text_of(url), F.lit(" "), text_of(html))), first_of)
 
 
 def search_url(words: Column, engine: str = "https://duckduckgo.com/?q=") -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import clean_email, strip, text_of
+from ..functions.text import bound, clean_email, strip, text_of
 
 _TEXTS = "map<string,string>"
 
@@ -17,11 +15,6 @@ def record_of(json: Column) -> Column:
     return F.from_json(json, _TEXTS)
 
 
-def bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of c, which is worked out once: a column named twice, or in a lambda that runs for every field, is worked out each time."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def value(record: Column, field: str) -> Column:
     return F.try_element_at(record, F.lit(field))
 

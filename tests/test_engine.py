@@ -321,6 +321,21 @@ def test_escalation_skips(spark):
     assert (out["status"], out["tried"]) == ("failed", "http,curl_cffi,browser_agent")
 
 
+def test_escalation_lower_cases_a_page_once(spark):
+    rows = [("https://x.org", 0, "http", "Apply at BOARDS.greenhouse.io " * 20, None)]
+    judged = policy.escalate(spark.createDataFrame(rows, "url string, ord int, method string, content string, transport_challenge boolean"))
+    plan = judged._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") <= 4  # the text, the page with its address, the words
+    assert one(spark, urls.ats_signature, "https://x.org", "Apply at BOARDS.greenhouse.io/embed") == "greenhouse" and one(spark, urls.ats_signature, None, None) is None
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("a  \n\t\xa0\u3000\x1cé", max_size=12), min_size=1, max_size=20))
+def test_collapse_leaves_single_spaces(spark, texts):
+    out = [r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(text.collapse(F.col("t")).alias("v")).collect()]
+    assert sorted(out) == sorted(" ".join(t.split()) for t in texts)
+
+
 def test_urls(spark):
     assert one(spark, urls.is_third_party, "https://www.netflix.com/j") is True
     assert one(spark, urls.is_drive, "https://drive.google.com/uc?id=abc") is False
