@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,19 +35,43 @@ def unavailable(c: Column, low: Column | None = None) -> Column:
     return (n < 50) | has_any(low, L.UNAVAILABLE) | ((n < 200) & has_any(low, L.ERROR_WORDS))
 
 
-#: Runs of four signs or more. Python's \w and \s are letters, numbers and `_`, and WS.
-SIGNS = re.compile(r"[^\w\s]{4,}")
 CONTROLS = frozenset(map(chr, [*range(9), 11, 12, *range(14, 32)]))
 COUNTS = ("letters", "most", "solid", "controls", "signs", "words", "plain", "plain_size")
 
 
+LETTER, SPACE, SIGN, CONTROL_CODE, LOOSE = 1, 2, 4, 8, 16
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point is, once a worker. Signs are neither letters, numbers, `_` nor white space; spaces and line ends are loose."""
+    chars = list(map(chr, range(sys.maxunicode + 1)))
+    of = lambda test: np.fromiter(map(test, chars), bool, len(chars))
+    space, named = of(str.isspace), of(str.isalnum)
+    named[ord("_")] = True
+    kinds = of(str.isalpha) * LETTER + space * SPACE + ~(named | space) * SIGN
+    kinds[list(map(ord, CONTROLS))] += CONTROL_CODE
+    kinds[[ord(" "), ord("\n")]] += LOOSE
+    return kinds.astype(np.uint8)
+
+
 def _counted(t: str) -> dict[str, int]:
-    codes, counts = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)
-    chars, words = Counter(dict(zip(map(chr, codes.tolist()), counts.tolist()))), t.split()
-    plain = [len(w) for w in words if w.isalpha()]
-    letters = [n for ch, n in chars.items() if ch.isalpha()]
-    signs, controls = len(SIGNS.findall(t)), sum(n for ch, n in chars.items() if ch in CONTROLS)
-    return {"letters": sum(letters), "most": max(letters, default=0), "solid": len(t) - chars[" "] - chars["\n"], "controls": controls, "signs": signs, "words": len(words), "plain": len(plain), "plain_size": sum(plain)}
+    if not t:
+        return dict.fromkeys(COUNTS, 0)
+    codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    kinds = _kinds()[codes]
+    is_ = lambda kind: (kinds & kind) != 0
+    letter, sign, edges = is_(LETTER), is_(SIGN), np.zeros(len(codes) + 2, np.int8)
+    edges[1:-1] = ~is_(SPACE)
+    edges = np.flatnonzero(np.diff(edges))
+    starts, ends = edges[::2], edges[1::2]
+    spelled = np.concatenate([[0], np.cumsum(letter)])
+    sizes = (ends - starts)[spelled[ends] - spelled[starts] == ends - starts]
+    four = sign[:-3] & sign[1:-2] & sign[2:-1] & sign[3:]
+    signs = np.count_nonzero(four[1:] & ~four[:-1]) + int(len(four) > 0 and four[0])
+    found = codes[letter]
+    most = 0 if not len(found) else np.bincount(found).max() if found.max() < 4096 else np.unique(found, return_counts=True)[1].max()
+    return {"letters": len(found), "most": int(most), "solid": len(t) - np.count_nonzero(is_(LOOSE)), "controls": np.count_nonzero(is_(CONTROL_CODE)), "signs": signs, "words": len(starts), "plain": len(sizes), "plain_size": int(sizes.sum())}
 
 
 @F.arrow_udf(StructType([StructField(name, IntegerType()) for name in COUNTS]))
@@ -62,27 +87,32 @@ def text_counts(c: Column) -> Column:
     return _text_counts(F.make_valid_utf8(text_of(c)))
 
 
-def raw_pdf(c: Column) -> Column:
+def raw_pdf(c: Column, n: Column | None = None) -> Column:
+    """n: the text's counts, where the caller has them."""
     c = text_of(c)
-    return strip(c).startswith("%PDF-") | (hits(c, L.PDF_MARKERS) >= 3) | (text_counts(c)["controls"] > F.length(c) * 0.1)
+    n = text_counts(c) if n is None else n
+    return strip(c).startswith("%PDF-") | (hits(c, L.PDF_MARKERS) >= 3) | (n["controls"] > F.length(c) * 0.1)
 
 
-def corrupted(c: Column) -> Column:
+def corrupted(c: Column, n: Column | None = None) -> Column:
     """One letter makes over 40 %, words are over 25 letters on average, or runs of four signs are frequent."""
-    n = text_counts(c)
+    n = text_counts(c) if n is None else n
     long_words = (n["plain"] > 10) & (n["plain_size"] > n["plain"] * 25)
     return ((n["letters"] > 0) & (n["most"] / n["letters"] > 0.4)) | long_words | (n["signs"] > F.length(text_of(c)) / 200)
 
 
-def letter_share(c: Column) -> Column:
+def letter_share(c: Column, n: Column | None = None) -> Column:
     """Letters among the characters that are neither spaces nor line ends; null if there are none of these."""
-    n = text_counts(c)
+    n = text_counts(c) if n is None else n
     return F.when(n["solid"] > 0, n["letters"] / n["solid"])
 
 
 def valid_text(c: Column) -> Column:
+    """A text that is too short, or begins like a PDF file, is judged by that alone and not counted."""
     c = text_of(c)
-    return (F.length(strip(c)) >= 50) & ~raw_pdf(c) & ~corrupted(c) & (text_counts(c)["words"] >= 5) & F.coalesce(letter_share(c) >= 0.2, F.lit(False))
+    fits = (F.length(strip(c)) >= 50) & ~strip(c).startswith("%PDF-")
+    n = text_counts(F.when(fits, c))
+    return fits & ~raw_pdf(c, n) & ~corrupted(c, n) & (n["words"] >= 5) & F.coalesce(letter_share(c, n) >= 0.2, F.lit(False))
 
 
 def challenge(c: Column) -> Column:

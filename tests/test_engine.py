@@ -336,6 +336,25 @@ def test_collapse_leaves_single_spaces(spark, texts):
     assert sorted(out) == sorted(" ".join(t.split()) for t in texts)
 
 
+@settings(deadline=None)
+@given(st.text("aé地²_1!%. \n\x01\u3000", max_size=40))
+def test_text_counts_are_those_written_out(t):
+    words, letters = t.split(), [c for c in t if c.isalpha()]
+    plain = [len(w) for w in words if w.isalpha()]
+    loose, signs = t.count(" ") + t.count("\n"), len(re.findall(r"[^\w\s]{4,}", t))
+    want = (len(letters), max(map(letters.count, letters), default=0), len(t) - loose, t.count("\x01"), signs, len(words), len(plain), sum(plain))
+    assert tuple(quality._counted(t)[k] for k in quality.COUNTS) == want
+
+
+def test_rejected_texts_are_not_counted(spark):
+    """What is short or begins like a PDF file reaches the counting pass as null."""
+    df = spark.createDataFrame([("%PDF-1.4 " + "some words of a text " * 9,), ("short",), ("some words of a long text " * 9,), (None,)], "t string").coalesce(1)
+    out = df.select("t", quality.valid_text(F.col("t")).alias("v"))
+    calls = out._jdf.queryExecution().analyzed().toString().split("_text_counts(")[1:]
+    assert calls and all(p.startswith("make_valid_utf8(coalesce(CASE WHEN") for p in calls)
+    assert [r["v"] for r in out.collect()] == [False, False, True, False]
+
+
 def test_urls(spark):
     assert one(spark, urls.is_third_party, "https://www.netflix.com/j") is True
     assert one(spark, urls.is_drive, "https://drive.google.com/uc?id=abc") is False
