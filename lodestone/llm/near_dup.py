@@ -10,8 +10,10 @@ members, which true copies share in most tables, are taken as one (that of the f
 found in two steps, so that a bucket of n classes never becomes n * n rows:
 1. every member of a bucket against the bucket's smallest class, verified, gives components;
 2. in buckets that still hold several components, the members outside the largest one meet all members in place: pairs whose
-   sketches agree in at least half of the minhashes (a pair at the threshold fails that in about 5 cases of a million) get their
-   full sets, and are verified in the first table they share; a bucket yields only links that join components.
+   sketches agree in at least half of the minhashes (a pair at the threshold fails that in about 5 cases of a million) and whose
+   bins allow a link (`may_link`: sets of up to some 180 shingles lose none, larger ones about 2 of a million at the threshold) get their
+   full sets, and are verified in the first table they share; a bucket yields only links that join components. Texts that share a
+   passage without being links, which a sketch of 40 minhashes lets pass, so leave before their sets are joined.
 Pairs within a component need no check: they change no result. Buckets of more than BLOCK members, or
 BLOCK_SHINGLES shingles, are dealt as blocks of outside members against chunks of all members to different tasks: a bucket
 that is one component but for a few members stays linear.
@@ -40,6 +42,7 @@ SHINGLE, MOST_WORDS, SEED = 5, 16, 90_210
 HASHES, HALVES = 2, 10  # minhashes in a half key; half keys in each of the two collections
 SKETCH = 2 * HASHES * HALVES
 LEAST_EQUAL = SKETCH // 2
+BINS, DEVIATIONS = 256, 5  # bins of a set's hashes; standard deviations that a link's share of equal bins may fall short
 _RNG = np.random.default_rng(SEED)
 _ODD = lambda *shape: _RNG.integers(0, 2**63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE, PLACE, MULTIPLY, ADD = _ODD(256), _ODD(MOST_WORDS + 1), _ODD(SKETCH), _ODD(SKETCH)
@@ -98,6 +101,27 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def binned(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BINS bytes for each ascending set: its hashes fall in bins, of which each has a byte of its smallest, 0 if it has none."""
+    out = np.zeros((len(sets), BINS), np.uint8)
+    rows, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[::-1], np.concatenate(sets)[::-1]
+    out[rows, flat % np.uint64(BINS)] = (flat // np.uint64(BINS)) % np.uint64(255) + np.uint64(1)  # the last one written, the smallest, stays
+    return out
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
+    """Whether sets of n_a and n_b shingles can be links by their bins.
+
+    A link's union has at most `union` members, of which the filled bins show one each, drawn without return. Those not shown hide
+    no more than as many shared ones; for larger sets, chance keeps the shared ones shown within DEVIATIONS of their share.
+    """
+    share = PERCENT / 100
+    shown, same = ((bins_a | bins_b) != 0).sum(-1), ((bins_a == bins_b) & (bins_a != 0)).sum(-1)
+    union = (n_a + n_b) / (1 + share)
+    least = share * shown - DEVIATIONS * np.sqrt(share * (1 - share) * shown * np.maximum(1 - shown / union, 0))
+    return same + 1e-6 >= np.maximum(shown - (1 - share) * union, least)
+
+
 def table_keys(rows: np.ndarray) -> np.ndarray:
     """64-bit keys of the HALVES * HALVES tables: half key i of the first collection with half key j of the second."""
     halves = np.zeros((len(rows), 2 * HALVES), np.uint64)
@@ -108,26 +132,31 @@ def table_keys(rows: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, one, two (a 128-bit hash of the set), sketch for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, one, two (a 128-bit hash of the set), sketch, bins for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", most_bytes=1 << 20):
             sets = shingle_sets(texts_of(b, "text"), shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
-            found: list = [None] * len(sets)
-            for i, row in zip(full, sketches([sets[i] for i in full]) if full else ()):
-                found[i] = row.tobytes()
+            found, bins = [None] * len(sets), [None] * len(sets)
+            some = [sets[i] for i in full]
+            for i, row, own in zip(full, sketches(some), binned(some)) if full else ():
+                found[i], bins[i] = row.tobytes(), own.tobytes()
             one = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             two = np.array([np.bitwise_xor.reduce(mixed(s + PLACE[0])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.array(found, pa.binary())], ["doc_id", "n_shingles", "one", "two", "sketch"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), pa.array(found, pa.binary()), pa.array(bins, pa.binary())], ["doc_id", "n_shingles", "one", "two", "sketch", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, one long, two long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, one long, two long, sketch binary, bins binary")
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
 
 
+def _bin_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def keyed(classes: DataFrame) -> DataFrame:
     """key, place (the table's number), id for every class (id, sketch) and table."""
 
@@ -158,17 +187,18 @@ def bucket_members(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the threshold and whose sketches agree in LEAST_EQUAL minhashes."""
-    of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    """The pairs (a, b) whose sizes allow the threshold, whose sketches agree in LEAST_EQUAL minhashes and whose bins allow a link."""
+    of = lambda c: classes.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch", "bins")))
     met = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = (_sketch_rows(b.column("s_a")) == _sketch_rows(b.column("s_b"))).sum(1) >= LEAST_EQUAL
+            same = (_sketch_rows(b.column("sketch_a")) == _sketch_rows(b.column("sketch_b"))).sum(1) >= LEAST_EQUAL
+            same &= may_link(*(b.column(c).to_numpy() for c in ("n_a", "n_b")), *(_bin_rows(b.column(c)) for c in ("bins_a", "bins_b")))
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same))
 
-    return met.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", "bins_a", "bins_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -239,7 +269,7 @@ GROUP = ("key", "left", "right")
 
 
 def open_members(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The members of buckets that hold several components, with sketches, one row for each group (GROUP) that they take part in.
+    """The members of buckets that hold several components, with sketches and bins, one row for each group (GROUP) that they take part in.
 
     outside tells a member that isn't of its bucket's largest component, asks one that meets the group's rows there, met one that is
     met. Outside members are dealt to blocks (left), all members to chunks (right), both of a bounded size.
@@ -254,14 +284,14 @@ def open_members(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> Data
     at = lambda left, right, asks, met: F.struct(left.alias("left"), right.alias("right"), asks.alias("asks"), F.lit(met).alias("met"))
     stays = F.transform(numbers("lefts"), lambda x: at(x, F.col("own_right"), F.col("outside") & (x == F.col("own_left")), True))
     goes = F.transform(F.filter(numbers("rights"), lambda x: F.col("outside") & (x != F.col("own_right"))), lambda x: at(F.col("own_left"), x, F.lit(True), False))
-    return dealt.withColumn("at", F.explode(F.concat(stays, goes))).select("key", "at.left", "at.right", "at.asks", "at.met", "outside", "place", "id", "component", "n", "sketch")
+    return dealt.withColumn("at", F.explode(F.concat(stays, goes))).select("key", "at.left", "at.right", "at.asks", "at.met", "outside", "place", "id", "component", "n", "sketch", "bins")
 
 
 def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Each asking row with the rows of its group, in order of ids, that may be links: of another component, near in size, alike in
-    their sketches, meeting in no earlier table. Two outside members meet where the smaller id asks."""
+    their sketches and bins, meeting in no earlier table. Two outside members meet where the smaller id asks."""
     column = lambda c: group.column(c).to_numpy()
-    rows, n, place = _sketch_rows(group.column("sketch")), column("n"), group.column("place")[0].as_py()
+    rows, bins, n, place = _sketch_rows(group.column("sketch")), _bin_rows(group.column("bins")), column("n"), group.column("place")[0].as_py()
     parts = group.column("component").combine_chunks().dictionary_encode()
     parts = (parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts).indices.to_numpy()
     asks, met, outside, at = column("asks"), column("met"), column("outside"), np.arange(group.num_rows)
@@ -273,6 +303,7 @@ def partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
             halves = equal[enough].reshape(-1, 2 * HALVES, HASHES).all(2)
             first = halves[:, :HALVES].argmax(1) * HALVES + halves[:, HALVES:].argmax(1)
             found = other[enough][first == place]
+            found = found[may_link(n[found], n[i], bins[found], bins[i])]
             if len(found):
                 yield i, found
 
@@ -347,7 +378,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -
     docs = docs.select("doc_id", "text")
     signed = scratch.write(signatures(docs, shingle), "signatures")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
     classes = scratch.write(classes, "classes")
     members = bucket_members(classes, scratch)
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -355,7 +386,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -
     sets = scratch.write(full_sets(stars.select(F.col("a").alias("id")).union(stars.select("b")), docs, shingle), "star-sets")
     links = scratch.write(verified(stars, sets).unionByName(own_links(linked, classes)), "star-links")
     parts = components(links, scratch, "star-parts")
-    nodes = classes.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "sketch")
+    nodes = classes.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "sketch", "bins")
     rest = scratch.write(likely(open_members(members, nodes, scratch)), "open")
     sets = scratch.write(full_sets(rest.select("id"), docs, shingle), "cross-sets")
     links = scratch.write(links.unionByName(cross_links(rest.join(sets, "id"))), "links")

@@ -94,6 +94,40 @@ def test_sketches_of_pairs_at_the_threshold_agree_enough():
     assert (keys[::2] == keys[1::2]).any(1).all()
 
 
+@pytest.mark.parametrize("n", [60, 120])
+def test_sets_of_texts_with_a_common_passage_are_not_joined(spark, monkeypatch, n):
+    """Two thirds of every text are one passage, in no pair enough for a link: rows whose sets are joined come from real candidates only."""
+    rng, asked, sets_of = random.Random(12), [], near_dup.full_sets
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(100_000)}" for _ in range(40)])) for i in range(n)]
+    rows += [(n, f"{rows[-1][1]} and a few words more")]
+    monkeypatch.setattr(near_dup, "full_sets", lambda ids, *rest: (asked.append(ids.count()), sets_of(ids, *rest))[1])
+    assert found(spark, rows, 5) == brute_force(rows, 5)
+    assert len(asked) == 2 and sum(asked) <= 2 * near_dup.HALVES**2, asked
+
+
+@pytest.mark.parametrize("shared, own", [(4, 1), (8, 2), (40, 10), (120, 30), (400, 100), (2_000, 500)])
+def test_links_pass_the_bins(shared, own):
+    """Pairs at the threshold, with the other shingles on one side or on both; pairs of similarity 0.5 don't pass in large sets."""
+    rng = np.random.default_rng(shared)
+    for _ in range(300):
+        x = rng.integers(0, 2**63, shared + own).astype(np.uint64)
+        for cut in (own, own // 2):
+            a, b = np.unique(x[: shared + cut]), np.unique(np.concatenate([x[:shared], x[shared + cut :]]))
+            bins = near_dup.binned([a, b])
+            assert near_dup.may_link(np.array([len(a)]), len(b), bins[:1], bins[1]).all()
+    far = near_dup.binned([np.unique(x[: len(x) * 3 // 4]), np.unique(x[len(x) // 4 :])])
+    assert shared < 40 or not near_dup.may_link(np.array([len(x) * 3 // 4]), len(x) - len(x) // 4, far[:1], far[1]).any()
+
+
+def test_a_bin_keeps_its_smallest_hash():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 50, 3_000)]
+    for s, row in zip(sets, near_dup.binned(sets)):
+        least = {int(h) % near_dup.BINS: int(h) for h in s[::-1]}
+        assert row.tolist() == [least[k] // near_dup.BINS % 255 + 1 if k in least else 0 for k in range(near_dup.BINS)]
+
+
 def test_odd_rows(spark):
     out = near_dup.near_duplicates(documents(spark), Scratch(spark, "t")).collect()
     assert len(out) == 10
